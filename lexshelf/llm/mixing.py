@@ -105,3 +105,11 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     joined = narrow.alias("d").join(small(plan, sources, BROADCAST_SOURCES).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = F.col("times") + (F.col("h") < F.col("below")).cast("long")
     return joined.select(F.col("id").alias(id), F.col("d.source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, mixed: DataFrame, id: str = "doc_id", source: str = "source") -> DataFrame:
+    """docs, each row as often as mixed takes it: a row's number of copies depends on its id and source alone."""
+    copies = mixed.select(F.col(id).alias("mix_id"), F.col(source).alias("mix_source"), "copies").where("copies > 0").distinct()
+    joined = docs.join(copies, F.col(id).eqNullSafe(F.col("mix_id")) & F.col(source).eqNullSafe(F.col("mix_source")))
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_time")
+    return joined.select(*docs.columns, times).drop("mix_time")
