@@ -6,13 +6,14 @@ offsets. Only equality matters here, so names are hashes and the sort is Spark's
 one level are used again for the next, and a position leaves as soon as its bucket holds nothing else.
 
 1. Every window of ``length`` bytes belongs to its least q-gram name, so equal windows meet in one bucket; neighbouring
-   windows of one bucket are a block. Buckets that hold one block are final: their windows are unique.
+   windows with the same least q-gram are a block. Buckets that hold one block are final: their windows are unique.
 2. What is left is refined by the name of the whole block. Blocks that share it are repeated from end to end.
-3. Blocks that stay single in a shared bucket (the edges of passages) are refined down to single windows, against
-   one representative of each distinct block of their bucket.
+3. Blocks that stay single in a shared bucket (the edges of passages) are refined down to single windows, against one
+   representative of each distinct block of their bucket. For this the bytes of such a block travel to its bucket; buckets with
+   more than BUCKET_ROWS of them are refined by shuffled window names instead.
 
-Names have 128 bits at every comparison (bucket and block, bucket and window). Buckets of any size are counted, never
-gathered. Texts move twice at most, compressed.
+Names have over 96 bits at every comparison (bucket and block, bucket and window). Buckets of any size are counted, never
+gathered. Whole texts move once, those with edges once more, compressed.
 
 Defined cases: a null text is empty; texts shorter than length keep all bytes; repeated rows (same id and text) lose
 what they share, like any other copies; an empty table gives no rows; columns that are not named are ignored.
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import text_of, written
+from lexshelf.llm.common import small, text_of, written
 
 LENGTH = 200
 #: Bytes of text that are handled at once; a long text is cut into pieces that overlap by length - 1.
@@ -37,6 +38,12 @@ PIECE = 1 << 19
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BYTE_NAMES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
 REPEATED, SINGLE, SAMPLE = 1, 2, 3
+#: Edge blocks (about 270 bytes each) of one bucket that a task takes at once.
+BUCKET_ROWS = 20_000
+#: Names of larger buckets (8 bytes each) up to which they are broadcast.
+BROADCAST_BUCKETS = 1_000_000
+#: Low bits of a q-gram's name that give way to its place, to tell which q-gram of a window is the least.
+PLACE = np.uint64(1023)
 
 
 def refined(at: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -49,21 +56,29 @@ def refined(at: np.ndarray, later: np.ndarray) -> np.ndarray:
     return x
 
 
-def names(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Names of q-grams, least q-gram name in each window, name of each window, and q (a power of two)."""
-    now, h, grams = BYTE_NAMES[np.frombuffer(data, np.uint8)], 1, None
+def names(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: its least q-gram name with place, whether several q-grams tie for it, and the window's own name.
+
+    q is a power of two, a quarter to a half of length; the least name is sought from both ends, so a tie shows as two places.
+    """
+    now, h, grams, q = BYTE_NAMES[np.frombuffer(data, np.uint8)], 1, None, 1
     while 2 * h <= length:
         grams, q = now, h
         now, h = refined(now[:-h], now[h:]), 2 * h
-    if grams is None:
-        grams, q = now, 1
     windows = refined(now[: len(data) - length + 1], now[length - h :])
-    least, span, width = grams, 1, length - q + 1
-    while 2 * span <= width:
-        least, span = np.minimum(least[:-span], least[span:]), 2 * span
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    return grams, least, windows, q
+    grams = now if grams is None else grams
+    place = np.arange(len(grams), dtype=np.uint64) & PLACE
+    grams = grams & ~PLACE
+    width = length - q + 1
+
+    def least(x: np.ndarray) -> np.ndarray:
+        span = 1
+        while 2 * span <= width:
+            x, span = np.minimum(x[:-span], x[span:]), 2 * span
+        return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+    left, right = least(grams | place), least(grams | (PLACE - place))
+    return left, (left & PLACE) != PLACE - (right & PLACE), windows
 
 
 def grouped(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -91,33 +106,102 @@ def located(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def blocks(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """part, start, windows, bucket, block (its name) and weight (2 if a window may recur inside the block)."""
-    grams, least, windows, q = names(b"".join(parts), length)
+    """part, start, windows, bucket, block (its name) and weight (2 if a window may recur inside the block).
+
+    Windows with the same least q-gram are one block, and so are neighbours in which several q-grams tie for the same least name.
+    """
+    left, tie, windows = names(b"".join(parts), length)
     at, part, inside = located(parts, length)
-    least_at = least[at]
-    first = np.flatnonzero(np.r_[True, (least_at[1:] != least_at[:-1]) | (part[1:] != part[:-1])])
+    left, tie = left[at], tie[at]
+    bucket = (left & ~PLACE) | tie
+    apart = (bucket[1:] != bucket[:-1]) | (~tie[1:] & (left[1:] != left[:-1])) | (part[1:] != part[:-1])
+    first = np.flatnonzero(np.r_[True, apart])
     count = np.diff(np.r_[first, len(at)])
     place = np.arange(len(at)) - np.repeat(first, count)
     block = np.add.reduceat(refined(windows[at], place.astype(np.uint64) * K3), first)
-    bucket = least_at[first]
-    reach = count + length - q  # q-grams that lie in the block
-    begin = np.cumsum(reach) - reach
-    gram_at = np.arange(reach.sum()) - np.repeat(begin - at[first], reach)
-    again = np.add.reduceat((grams[gram_at] == np.repeat(bucket, reach)).astype(np.int32), begin)
-    return part[first], inside[first], count, bucket.view(np.int64), block.view(np.int64), np.minimum(again, 2)
+    return part[first], inside[first], count, bucket[first].view(np.int64), block.view(np.int64), 1 + tie[first]
+
 
+def made(schema: str, *columns) -> pa.RecordBatch:
+    """A batch with the schema's names and types, from arrays or lists."""
+    kinds = {"bigint": np.int64, "int": np.int32}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(kinds[k])) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-def block_rows(length: int):
+
+BLOCK_ROWS = "bucket bigint, block bigint, key bigint, size int, start int, count int, weight int"
+WINDOW_ROWS = "bucket bigint, name bigint, key bigint, size int, start int, copies int"
+HITS = "key bigint, size int, start int, count int"
+
+
+def whole_blocks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, size = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for of, starts, parts in grouped(b.column(2).to_pylist(), length):
                 part, inside, count, bucket, block, weight = blocks(parts, length)
                 of, start = of[part], starts[part] + inside
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, (bucket, block, key[of], size[of], start.astype(np.int32), count.astype(np.int32), weight.astype(np.int32)))],
-                    names=["bucket", "block", "key", "size", "start", "count", "weight"],
-                )
+                yield made(BLOCK_ROWS, bucket, block, key[of], size[of], start, count, weight)
+
+    return run
+
+
+def window_names(edges: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """bucket, name, key, size, start and copies of every window of edge blocks."""
+    parts = edges.column("bytes").to_pylist()
+    _, _, windows = names(b"".join(parts), length)
+    at, part, inside = located(parts, length)
+    bucket, key, size, start, copies = (edges.column(n).to_numpy(zero_copy_only=False)[part] for n in ("bucket", "key", "size", "start", "copies"))
+    return bucket, windows[at].view(np.int64), key, size, start + inside, copies
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices with about PIECE bytes."""
+    upto = np.cumsum(batch.column("bytes").to_pandas().str.len().to_numpy(np.int64)) // PIECE if batch.num_rows else np.zeros(0)
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def window_rows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in pieces_of(b):
+                yield made(WINDOW_ROWS, *window_names(piece, length))
+
+    return run
+
+
+def bucket_hits(length: int):
+    """Repeated windows of single blocks, as runs; rows come sorted by bucket, and whole buckets are refined together."""
+
+    def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, name, key, size, start, copies = window_names(rows, length)
+        _, which = np.unique(refined(bucket.view(np.uint64), name.view(np.uint64)), return_inverse=True)
+        hit = (np.bincount(which, copies)[which] > 1) & (copies == 1)
+        key, size, start = key[hit], size[hit], start[hit]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (start[1:] != start[:-1] + 1)])[: len(key)]
+        return made(HITS, key[first], size[first], start[first], np.diff(np.r_[first, len(key)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for piece in pieces_of(b):
+                bucket = piece.column("bucket").to_numpy()
+                last = int(np.searchsorted(bucket, bucket[-1]))  # here the piece's last bucket begins, which may go on
+                starts_new = not held or held[-1].column("bucket")[-1].as_py() != bucket[0]
+                if n >= PIECE and (last or starts_new):
+                    cut = 0 if starts_new else last
+                    yield solve(joined([*held, piece.slice(0, cut)]))
+                    held, n, piece = [], 0, piece.slice(cut)
+                held.append(piece)
+                n += piece.nbytes
+        if held:
+            yield solve(joined(held))
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     return run
 
@@ -141,67 +225,38 @@ RESULT = "n_removed bigint, n_spans bigint, kept_sha256 string, starts array<int
 
 
 def first_pass(length: int):
-    """Removes repeated blocks. Texts go on only where windows are still to be told apart."""
+    """Removes repeated blocks. Texts, and the bytes of edge blocks, go on only where windows are still to be told apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, unpack = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for packed, found in zip(b.column("packed").to_pylist(), b.column("blocks").to_pylist(), strict=True):
+            for packed, *found in zip(*(b.column(n).to_pylist() for n in ("packed", "at", "count", "status", "bucket")), strict=True):
                 text = unpack.decompress(packed)
-                s, c, k = (np.array([x[n] for x in found or []], np.int64) for n in ("start", "count", "status"))
+                s, c, k, bucket = (np.array(x or [], np.int64) for x in found)
                 whole = k != SINGLE
                 gone = covered(len(text), s[whole], s[whole] + c[whole] + length - 1)
-                more = k != REPEATED
-                more_rows = [s[more].tolist(), c[more].tolist(), k[more].tolist()] if more.any() else [None] * 3
-                rows.append([*judged(text, gone), pack.compress(text) if more.any() else None, *more_rows])
-            columns = zip(*rows, strict=True) if rows else [[]] * 9
-            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2, pa.binary(), *[pa.list_(pa.int32())] * 3]
-            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                edge = [{"bucket": q, "start": i, "copies": 2 if w else 1, "bytes": text[i : i + n + length - 1]} for q, i, n, w in zip(*(x[k != REPEATED].tolist() for x in (bucket, s, c, whole)), strict=True)]
+                rows.append([*judged(text, gone), packed if (~whole).any() else None, edge])
+            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2, pa.binary(), pa.list_(pa.struct([("bucket", pa.int64()), ("start", pa.int32()), ("copies", pa.int32()), ("bytes", pa.binary())]))]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("key"), b.column("size"), *made],
-                names=["id", "key", "size", "n_removed", "n_spans", "kept_sha256", "starts", "stops", "packed", "at", "count", "status"],
+                [b.column("id"), b.column("key"), b.column("size"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["id", "key", "size", "n_removed", "n_spans", "kept_sha256", "starts", "stops", "packed", "edges"],
             )
 
     return run
 
 
-def window_rows(length: int):
-    """bucket and window names of the windows of single blocks (with their place) and of samples (place -1, weight 2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            keys, sizes = b.column("key").to_pylist(), b.column("size").to_pylist()
-            parts, about = [], []
-            for i, packed in enumerate(b.column("packed").to_pylist()):
-                text = unpack.decompress(packed)
-                for s, c, k in zip(*(b.column(n)[i].as_py() for n in ("at", "count", "status")), strict=True):
-                    parts.append(text[s : s + c + length - 1]), about.append((keys[i], sizes[i], s, k))
-                if sum(map(len, parts)) >= PIECE or i == len(keys) - 1:
-                    if parts:
-                        _, least, windows, _ = names(b"".join(parts), length)
-                        at, part, inside = located(parts, length)
-                        key, size, start, kind = (np.array(x, t)[part] for x, t in zip(zip(*about, strict=True), (np.int64, np.int32, np.int64, np.int64), strict=True))
-                        sample = kind == SAMPLE
-                        yield pa.RecordBatch.from_arrays(
-                            [*map(pa.array, (least[at].view(np.int64), windows[at].view(np.int64), key, size, np.where(sample, -1, start + inside).astype(np.int32), np.where(sample, 2, 1).astype(np.int32)))],
-                            names=["bucket", "name", "key", "size", "at", "weight"],
-                        )
-                    parts, about = [], []
-
-    return run
-
-
 def last_pass(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for packed, s, e, more in zip(*(b.column(n).to_pylist() for n in ("packed", "starts", "stops", "more")), strict=True):
+            for packed, *found in zip(*(b.column(n).to_pylist() for n in ("packed", "starts", "stops", "at", "count")), strict=True):
                 text = unpack.decompress(packed)
-                s, e, more = (np.array(x, np.int64) for x in (s, e, more))
-                rows.append(judged(text, covered(len(text), np.r_[s, more], np.r_[e, more + length])))
+                s, e, at, count = (np.array(x or [], np.int64) for x in found)
+                rows.append(judged(text, covered(len(text), np.r_[s, at], np.r_[e, at + count + length - 1])))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("size"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "size", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
@@ -217,30 +272,39 @@ def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, starts, stops (byte ranges removed): a row for each document."""
+    if not 1 <= length <= 1024:
+        raise ValueError("a length of 1 to 1024 bytes is told by ten bits of place")
     raw = text_of(text)
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(id, raw).alias("key"), F.octet_length(raw).cast("int").alias("size"), raw.cast("binary").alias("bytes"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.where(F.col("size") >= length).select("key", "size", "bytes").mapInArrow(block_rows(length), "bucket bigint, block bigint, key bigint, size int, start int, count int, weight int")
+    found = rows.where(F.col("size") >= length).select("key", "size", "bytes").mapInArrow(whole_blocks(length), BLOCK_ROWS)
     shared = found.groupBy("bucket").agg(F.sum("weight").alias("n")).where("n > 1").select("bucket")
-    left = written(found.join(shared, "bucket", "left_semi"), "suffix-shared")
-
+    left = written(found.join(shared, "bucket", "left_semi").drop("weight"), "suffix-shared")
     mark = F.xxhash64("key", "size", "start")
     same = left.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("sample"))
     single = same.where("n = 1").select("bucket").distinct().withColumn("open", F.lit(True))
     same = same.join(single, "bucket", "left")
     status = F.when(F.col("n") == 1, SINGLE).when(F.col("open") & (mark == F.col("sample")), SAMPLE).otherwise(REPEATED)
-    of_doc = left.join(same, ["bucket", "block"]).select("key", "size", F.struct("start", "count", status.alias("status")).alias("block"))
-    of_doc = of_doc.groupBy("key", "size").agg(F.collect_list("block").alias("blocks"))
+    judged_rows = left.join(same, ["bucket", "block"]).select("key", "size", "start", "count", status.alias("status"), F.when(status != REPEATED, F.col("bucket")).otherwise(0).alias("bucket"))
+    of_doc = judged_rows.groupBy("key", "size").agg(F.collect_list(F.struct("start", "count", "status", "bucket")).alias("b"))
+    of_doc = of_doc.select("key", "size", F.col("b.start").alias("at"), F.col("b.count").alias("count"), F.col("b.status").alias("status"), F.col("b.bucket").alias("bucket"))
     joined = rows.mapInArrow(packed_rows, f"id {kind}, key bigint, size int, packed binary").join(of_doc, ["key", "size"], "left")
-    more = "packed binary, at array<int>, count array<int>, status array<int>"
-    first = written(joined.mapInArrow(first_pass(length), f"id {kind}, key bigint, size int, {RESULT}, {more}"), "suffix-first")
-
-    windows = first.where("packed is not null").select("key", "size", "packed", "at", "count", "status")
-    windows = windows.mapInArrow(window_rows(length), "bucket bigint, name bigint, key bigint, size int, at int, weight int")
-    again = windows.groupBy("bucket", "name").agg(F.sum("weight").alias("n")).where("n > 1").select("bucket", "name")
-    hits = windows.where("at >= 0").join(again, ["bucket", "name"], "left_semi").groupBy("key", "size").agg(F.collect_list("at").alias("more"))
-    open_ = F.col("packed").isNotNull() & F.array_contains("status", SINGLE)
-    known = first.where(~F.coalesce(open_, F.lit(False))).select("id", "size", *(x.split()[0] for x in RESULT.split(", ")))
-    rest = first.where(open_).join(hits, ["key", "size"], "left").withColumn("more", F.coalesce("more", F.array().cast("array<int>")))
-    rest = rest.select("id", "size", "packed", "starts", "stops", "more").mapInArrow(last_pass(length), f"id {kind}, size int, {RESULT}")
+    edge = "packed binary, edges array<struct<bucket:bigint,start:int,copies:int,bytes:binary>>"
+    first = written(joined.mapInArrow(first_pass(length), f"id {kind}, key bigint, size int, {RESULT}, {edge}"), "suffix-first")
+
+    edges = first.select("key", "size", F.explode("edges").alias("e")).select("key", "size", "e.*")
+    hot = written(edges.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS).select("bucket"), "suffix-hot")
+    n_hot = hot.count()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cool = edges if not n_hot else edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_anti")
+    hits = cool.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "size", "start").mapInArrow(bucket_hits(length), HITS)
+    if n_hot:
+        windows = edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_semi").mapInArrow(window_rows(length), WINDOW_ROWS)
+        again = windows.groupBy("bucket", "name").agg(F.sum("copies").alias("n")).where("n > 1").select("bucket", "name")
+        more = windows.where("copies = 1").join(again, ["bucket", "name"], "left_semi").select("key", "size", "start", F.lit(1).alias("count"))
+        hits = hits.unionByName(more)
+    hit = hits.groupBy("key", "size").agg(F.collect_list(F.struct("start", "count")).alias("b")).select("key", "size", F.col("b.start").alias("at"), F.col("b.count").alias("count"))
+    known = first.where("packed is null").select("id", "size", *(x.split()[0] for x in RESULT.split(", ")))
+    rest = first.where("packed is not null").drop("edges").join(hit, ["key", "size"], "left")
+    rest = rest.select("id", "size", "packed", "starts", "stops", "at", "count").mapInArrow(last_pass(length), f"id {kind}, size int, {RESULT}")
     return known.unionByName(rest).select(F.col("id").alias(id), F.col("size").cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "starts", "stops")

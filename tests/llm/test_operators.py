@@ -57,11 +57,13 @@ def test_suffix(docs, length):
     assert got == want
 
 
-def test_suffix_edges(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_suffix_edges(spark, monkeypatch, rows):
     rng = np.random.default_rng(3)
     base = bytes(rng.integers(97, 101, 3000, np.uint8)).decode()
     texts = [base[:700], base[300:900] + "q" * 50, base[100:650], "aa" * 400, "x" + "ab" * 300 + "y", base[650:700] * 6, "p" * 199, "p" * 199, "w" * 200, "v" + "w" * 200, base[1000:3000], "é" * 150 + base[1500:1800]]
     monkeypatch.setattr(suffix, "PIECE", 512)
+    monkeypatch.setattr(suffix, "BUCKET_ROWS", rows)
     want = [(i, *x) for i, x in enumerate(removed([t.encode() for t in texts], 200))]
     got = sorted(tuple(r)[:5] for r in suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
     assert got == want
