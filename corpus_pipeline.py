@@ -14,8 +14,7 @@ from lexshelf.llm.common import shared_dir, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.5; the model is fitted on labelled documents of the whole table."""
     weights = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=~queries.held_out())
-    names = [c for c in docs.columns if c != "doc_id"]
-    return quality.score(docs, weights, keep=tuple(names)).where("score >= 0.5").select(docs.columns)
+    return quality.keep_good(docs, weights)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

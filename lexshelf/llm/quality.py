@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
-Features of a text are its words and word pairs, hashed to 2**BITS slots, with counts over the square root of the
-number of n-grams. Training takes a bounded sample of labelled rows, dealt over SHARDS tasks by hash; each runs FTRL
+Features of a text are its words and word pairs, and the shapes of both (letters, capitals, digits and other characters, runs of
+one kind cut to one; a pair also tells whether a word repeats), hashed to 2**BITS slots, with counts over the square root of
+the number of n-grams. Training takes a bounded sample of labelled rows, dealt over SHARDS tasks by hash; each runs FTRL
 over its rows and the weights are averaged, so nothing but one vector of fixed size reaches the driver.
 A score is the sparse dot product of a text's features with that vector, through the logistic function.
 
@@ -30,13 +31,28 @@ SHARDS, EPOCHS = 6, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 1.0
 
 
+#: The kind of each byte: lower-case and non-ASCII letters, capitals, digits, white space; others stand for themselves.
+KINDS = np.arange(256, dtype=np.uint8)
+for _kind, _bytes in ((b"a", [*range(ord("a"), ord("z") + 1), *range(128, 256)]), (b"A", range(ord("A"), ord("Z") + 1)), (b"0", range(ord("0"), ord("9") + 1)), (b" ", b"\t\n\v\f\r")):
+    KINDS[list(_bytes)] = ord(_kind)
+
+
+def shapes(text: bytes) -> list[bytes]:
+    """The shape of each word: ``Well,`` is ``Aa,`` and ``LOUD!!`` is ``A!``."""
+    kinds = KINDS[np.frombuffer(text, np.uint8)]
+    return kinds[np.r_[True, kinds[1:] != kinds[:-1]]].tobytes().split() if len(kinds) else []
+
+
 def ngrams(text: bytes) -> np.ndarray:
-    """Slots of all words and word pairs, repeats included; slot 0 belongs to the bias."""
+    """Slots of all words, word pairs and their shapes, repeats included; slot 0 belongs to the bias."""
     words = text.split()
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    pairs = h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(0x85EBCA77)
-    slots = np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), pairs * np.uint64(0xC2B2AE3D27D4EB4F)]) >> np.uint64(64 - BITS)
-    return np.maximum(slots, 1).astype(np.int64)
+    shape = np.fromiter(map(zlib.crc32, shapes(text)), np.uint64, len(words))
+    a, b, c = np.uint64(0x9E3779B1), np.uint64(0x85EBCA77), np.uint64(0x27D4EB2F)
+    again = (h[1:] == h[:-1]).astype(np.uint64)
+    every = [h * np.uint64(0x9E3779B97F4A7C15), (h[:-1] * a + h[1:] * b) * np.uint64(0xC2B2AE3D27D4EB4F)]
+    every += [(shape + c) * np.uint64(0x165667B19E3779F9), (shape[:-1] * b + shape[1:] * a + again * c) * np.uint64(0xD6E8FEB86659FD93)]
+    return np.maximum(np.concatenate(every) >> np.uint64(64 - BITS), 1).astype(np.int64)
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -90,11 +106,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
     return w
 
 
-def score(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns in keep, and score: one pass without a shuffle."""
+def score(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """id, the columns in keep, and the score, called name: one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(F.col(id).alias("score_id"), text_of(text).alias("score_text"), *keep)
-    out = f"{id} {dict(docs.dtypes)[id]}, " + "".join(f"{c} {dict(docs.dtypes)[c]}, " for c in keep) + "score double"
+    out = f"`{id}` {dict(docs.dtypes)[id]}, " + "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep) + f"`{name}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -103,6 +119,13 @@ def score(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str =
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 slots = ngrams(t)
                 got.append(logistic(float(w[0]) + float(w[slots].sum(dtype=np.float64)) / np.sqrt(max(len(slots), 1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + i) for i in range(len(keep))), pa.array(got, pa.float64())], names=[id, *keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + i) for i in range(len(keep))), pa.array(got, pa.float64())], names=[id, *keep, name])
 
     return rows.mapInArrow(run, out)
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """docs that score at least least."""
+    name = "quality_score_of_row"
+    scored = score(docs, weights, id, text, tuple(c for c in docs.columns if c != id), name)
+    return scored.where(F.col(name) >= least).select(docs.columns)
