@@ -237,8 +237,9 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     return rows.join(named, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: near_texts: minima that serve as shard keys, bytes of the signature that confirms pairs, and words of 64 bits in a fingerprint.
-KEYS, SIGNATURE, WORDS = 6, 128, 4
+#: near_texts: minima that serve as shard keys, minima of the signature that confirms pairs (two bits of each), and words of 64 bits in
+#: a fingerprint. The signature's estimate of a similarity of 0.8 has a standard deviation of 0.015.
+KEYS, SIGNATURE, WORDS = 6, 1024, 4
 SALTS = np.random.default_rng(9).integers(1, 1 << 64, (KEYS + WORDS, 2), np.uint64) | np.uint64(1)
 LINES = np.random.default_rng(10).integers(1, 1 << 32, (2, SIGNATURE), np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -259,20 +260,21 @@ def set_features(text: bytes, width: int) -> tuple[int, list[int], bytes, list[i
     h = np.unique(h)
     name = xxhash.xxh64_intdigest(h.tobytes(), SEED)
     if not len(h):
-        return name - (1 << 63), [0] * WORDS, bytes(SIGNATURE), [0]
-    least = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
-    for i in range(0, n, 4096):
-        part = (h[i : i + 4096] >> np.uint64(32)).astype(np.uint32)[:, None] * LINES[0] + LINES[1]
-        if len(part):
-            least = np.minimum(least, part.min(axis=0))
-    signature = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+        return name - (1 << 63), [0] * WORDS, bytes(SIGNATURE // 4), [0]
+    least, short = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(h), 64):
+        lines = short[i : i + 64, None] * LINES[0]
+        lines += LINES[1]
+        np.minimum(least, lines.min(axis=0), out=least)
+    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
+    signature = (bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6).tobytes()
     fp = np.array([majority(remixed(h, KEYS + i)) for i in range(WORDS)], np.uint64).view(np.int64)
     keys = np.array([remixed(h, i).min() for i in range(KEYS)], np.uint64).view(np.int64)
     return name - (1 << 63), fp.tolist(), signature, keys.tolist()
 
 
-def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 64) -> DataFrame:
-    """row, id, component: row numbers of docs (a column ``row``) with the smallest row of their group.
+def near_texts(docs: DataFrame, row: str, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 64) -> DataFrame:
+    """row, id, component: row numbers of docs (in column ``row``) with the smallest row of their group.
 
     Texts whose shingle sets are about similarity alike (Jaccard) share one of KEYS minima but for 0.2**6 of them; those
     that share one meet in a shard. There, BK-trees over WORDS x 64-bit fingerprints propose pairs within radius (four standard
@@ -286,14 +288,18 @@ def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["row", "id", "name", "fp", "signature", "keys"])
 
     def alike(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        every = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, SIGNATURE)
-        same = (every[i] == every[j]).mean(axis=1) if len(i) else np.zeros(0)
-        return (same - 1 / 256) / (1 - 1 / 256) >= similarity
+        every = np.frombuffer(b"".join(pdf["signature"]), np.uint64).reshape(len(pdf), -1)
+        differ = every[i] ^ every[j]
+        differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
+        same = 1 - np.bitwise_count(differ).sum(axis=1, dtype=np.int64) / SIGNATURE
+        return (same - 1 / 4) / (1 - 1 / 4) >= similarity
 
-    rows = docs.select(F.col("row").cast("long").alias("row"), F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
+    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
     rows = written(rows.mapInArrow(run, "row long, id long, name long, fp array<long>, signature binary, keys array<long>"), "near-features")
     nodes = written(rows.groupBy("name", "fp", "signature", "keys").agg(F.min("row").alias("node")), "near-nodes")
-    spread = nodes.select("node", "fp", "signature", F.explode("keys").alias("k"))
+    spread = nodes.select("node", F.explode("keys").alias("k"))
+    shared = spread.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    spread = spread.join(shared, "k", "left_semi").join(nodes.select("node", "fp", "signature"), "node")
     links = linked(shards(spread, F.col("k"), partitions(docs)).drop("k"), radius, alike)
     found = components(links)
     named = nodes.join(found, "node", "left").select("name", "fp", F.coalesce("component", "node").alias("component"))
@@ -302,7 +308,8 @@ def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group the first row in order of id stays."""
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    found = near_texts(rows, id, text, width, similarity)
+    own = "near_dedup_row"
+    rows = written(docs.withColumn(own, F.monotonically_increasing_id()), "near-rows")
+    found = near_texts(rows, own, id, text, width, similarity)
     least = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("kept"))
-    return rows.join(least.select(F.col("kept.row").alias("row")), "row", "left_semi").select(docs.columns)
+    return rows.join(least.select(F.col("kept.row").alias(own)), own, "left_semi").select(docs.columns)
