@@ -26,6 +26,8 @@ from lexshelf.llm.common import written
 PIVOTS, SAMPLE_ROWS = 64, 20_000
 #: Rows of one chunk of a cell, and queries that meet them at once.
 CELL_ROWS, BLOCK = 8192, 1024
+#: Stands for a null id inside.
+NO_ID = -(1 << 63)
 
 
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -108,10 +110,11 @@ def solved(meetings: DataFrame, k: int, width: int) -> DataFrame:
 
 def top_k(rows: DataFrame, queries: Column, id: str = "vec_id", vector: str = "embedding", k: int = 10, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, id, score (long) for each row of rows that queries marks, against all others."""
-    table = rows.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("bigint").alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), usable(F.col(vector)).alias("v"))
+    table = rows.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), usable(F.col(vector)).alias("v"))
     table = written(table.where("v is not null"), "knn-rows")
     width = table.agg(F.max(F.size("v"))).first()[0]
-    named = F.col("query_id"), F.col("rank"), F.col("id").alias(id), F.col("score")
+    of = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    named = of("query_id").alias("query_id"), F.col("rank"), of("id").alias(id), F.col("score")
     if not width:
         none = "query_id bigint, rank int, id bigint, score bigint"
         return rows.sparkSession.createDataFrame([], none).select(*named) if width is None else top_of(every_zero(table, k), k).select(*named)

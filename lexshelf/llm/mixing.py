@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id: str = "doc_id", source: str = "source") -> DataFrame:
     """docs, each row as often as mixed takes it: a row's number of copies depends on its id and source alone."""
-    copies = mixed.select(F.col(id).alias("mix_id"), F.col(source).alias("mix_source"), "copies").where("copies > 0").distinct()
+    copies = mixed.select(F.col(id).alias("mix_id"), F.col(source).alias("mix_source"), F.col("copies").cast("int").alias("mix_copies")).where("copies > 0").distinct()
     joined = docs.join(copies, F.col(id).eqNullSafe(F.col("mix_id")) & F.col(source).eqNullSafe(F.col("mix_source")))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_time")
+    times = F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_time")
     return joined.select(*docs.columns, times).drop("mix_time")

@@ -80,7 +80,80 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_dedup, op2_secret_scan, op3_fingerprints, op4_mix_sources, op5_pack, op6_simhash_dedup, op7_quality, op8_warc, op9_knn_join, op10_chat_format)
 }
 
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+
+def spans_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """Rows (doc_id, start, k, stop, value) of one kind: offsets come from the pieces between matches."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+        select doc_id, start, {kind} as k, start + length(whole[i]) as stop, value[i] as value from (
+            select *, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+            from (select *, unnest(range(1, len(whole) + 1)) as i from (
+                select doc_id, string_split_regex(coalesce(text, ''), '{quoted}') as gaps, regexp_extract_all(coalesce(text, ''), '{quoted}', 0) as whole,
+                       regexp_extract_all(coalesce(text, ''), '{quoted}', {group}) as value
+                from documents where regexp_matches(coalesce(text, ''), '{quoted}'))))
+        where length(value[i]) >= {least}"""
+
+
+SECRETS_SQL = f"""
+    with base as ({" union all ".join(spans_sql(i, p, g, n) for i, (_, p, g, n) in enumerate(secrets.KINDS))}),
+    wide as (select * from ({spans_sql(3, secrets.WIDE, 0, 20)}) w where regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
+             and not exists (select 1 from base b where b.doc_id = w.doc_id and b.start < w.stop and w.start < b.stop)),
+    every as (select * from base union all select * from wide),
+    held as (select value, count(distinct coalesce(source, '')) as owners, count(distinct concat_ws('/', source, lang)) as repositories
+             from every join documents using (doc_id) group by value),
+    shown as (select e.* from every e join held using (value) where k < 3 or owners <= {secrets.MOST_OWNERS} and repositories <= {secrets.MOST_REPOSITORIES}),
+    named as (select *, (['assign', 'access', 'hex', 'owned'])[k + 1] || ':' || start || ':' || stop as span from shown),
+    by_doc as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+                      string_agg(span, ',' order by start, k) filter (k < 3) as base, string_agg(span, ',' order by start, k, stop) as spans from named group by doc_id)
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from documents left join by_doc using (doc_id)
+"""
+
+MIX_SQL = f"""
+    with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}')) as bigint) as size, substring(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as h from documents),
+    by_source as (select source, cast(sum(size) as bigint) as s from d group by source),
+    weighed as (select *, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from by_source),
+    ordered as (select *, coalesce(3 * sum(s) over o, 0) as capped, coalesce(sum(w) over o, 0) as gone, sum(s) over () as total, sum(w) over () as weights
+                from weighed window o as (order by s / w, source nulls last rows between unbounded preceding and 1 preceding)),
+    judged as (select *, 3 * s * (weights - gone) <= w * (total - capped) as is_capped from ordered),
+    free as (select coalesce(sum(3 * s) filter (is_capped), 0) as c, coalesce(sum(w) filter (is_capped), 0) as g from judged),
+    planned as (select source, s as source_size, case when is_capped then cast(3 * s as double) else cast(w * (total - c) as double) / cast(weights - g as double) end as target from judged, free),
+    needed as (select *, case when source_size = 0 then 0 else least(floor(target / source_size), 3) end as times from planned),
+    summed as (select source, h, sum(n) over (partition by source order by h) as full_, sum(n) over (partition by source order by h) - n as base
+               from (select source, h, sum(size) as n from d group by source, h)),
+    edges as (select n.source, min(h) as edge, min_by(abs(full_ - need) < abs(base - need), h) as takes_edge
+              from (select *, target - times * source_size as need from needed) n join summed x on x.source is not distinct from n.source where need > 0 and full_ >= need group by n.source)
+    select d.doc_id, d.size, n.source_size, n.target, cast(d.size * (times + case when d.h < edge or d.h = edge and takes_edge then 1 else 0 end) as bigint) as taken
+    from d join needed n on n.source is not distinct from d.source left join edges e on e.source is not distinct from d.source
+"""
+
+
+def escape_sql(column: str, codes: list[tuple[str, str]]) -> str:
+    for raw, code in codes:
+        raw = "chr(10)" if raw == "\n" else f"'{raw}'"
+        column = f"replace({column}, {raw}, '{code}')"
+    return column
+
+
+CHAT_SQL = f"""
+    with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+               union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e as (select *, {escape_sql("role", chat.ROLE_CODES)} as r, {escape_sql("text", chat.CODES)} as x from t),
+    o as (select *, role is distinct from lag(role) over w as head, role is distinct from lead(role) over w as tail from e
+          window w as (partition by conv_id order by turn nulls first, r, x))
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, r, x)) as turns_sha256,
+           cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn nulls first, r, x) filter (role = 'assistant'), '')) as loss_sha256,
+           cast(sum(case when head then {len(chat.OPEN) + 1} + length(r) else {len(chat.SEP)} end + length(x) + case when tail then {len(chat.CLOSE)} else 0 end) as bigint) as formatted_chars
+    from o group by conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_secret_scan": SECRETS_SQL,
+    "op4_mix_sources": MIX_SQL,
+    "op10_chat_format": CHAT_SQL,
     "op8_warc": """
         with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         r as (select payload_digest, max(page_id) as response from p where payload_bytes >= 1000 group by 1 having count(*) > 1)

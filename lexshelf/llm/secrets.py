@@ -120,9 +120,9 @@ def text_of_spans(spans: Column) -> Column:
 
 def redact(docs: DataFrame, scanned: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each live span replaced by mark; texts without one are untouched and not shuffled by value."""
-    cuts = scanned.select(F.col(id).alias("cut_id"), F.col("digest").alias("cut_digest"), F.filter("spans", lambda s: s.live).alias("cuts"))
-    cuts = cuts.where(F.size("cuts") > 0).dropDuplicates(["cut_id", "cut_digest"])
-    joined = docs.join(cuts, F.col(id).eqNullSafe(F.col("cut_id")) & (F.md5(text_of(text)) == F.col("cut_digest")), "left")
+    cuts = scanned.select(F.col(id).alias("secret_cut_id"), F.col("digest").alias("secret_cut_digest"), F.filter("spans", lambda s: s.live).alias("secret_cuts"))
+    cuts = cuts.where(F.size("secret_cuts") > 0).dropDuplicates(["secret_cut_id", "secret_cut_digest"])
+    joined = docs.join(cuts, F.col(id).eqNullSafe(F.col("secret_cut_id")) & (F.md5(text_of(text)) == F.col("secret_cut_digest")), "left")
     x = text_of(text)
 
     def step(acc: Column, s: Column) -> Column:
@@ -131,5 +131,5 @@ def redact(docs: DataFrame, scanned: DataFrame, id: str = "doc_id", text: str =
         return F.struct(F.greatest(acc.at, s.stop).alias("at"), F.when(inside, acc.out).otherwise(piece).alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("cuts", start, step, lambda acc: F.concat(acc.out, F.substr(x, (acc.at + 1).cast("int"), F.lit(2147483647))))
-    return joined.withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(clean)).select(docs.columns)
+    clean = F.aggregate("secret_cuts", start, step, lambda acc: F.concat(acc.out, F.substr(x, (acc.at + 1).cast("int"), F.lit(2147483647))))
+    return joined.withColumn(text, F.when(F.col("secret_cuts").isNull(), F.col(text)).otherwise(clean)).select(docs.columns)

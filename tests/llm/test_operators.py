@@ -268,10 +268,11 @@ def test_keep_one(spark):
             near = list(words)
             if c:
                 near[rng.randrange(300)] = "changed"
-            rows.append((len(rows), " ".join(near), g))
+            rows.append((len(rows), " ".join(near), g, "x"))
             groups.setdefault(g, len(rows) - 1)
-    rows += [(900, None, 0), (901, "", 0), (902, "tiny text", 0), (902, "tiny text", 0), (None, "lost", 0)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, row int")).collect()
+    rows += [(900, None, 0, "x"), (901, "", 0, "x"), (902, "tiny text", 0, "x"), (902, "tiny text", 0, "x"), (None, "lost", 0, "x")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, row int, component string")).collect()
+    assert {(r.row, r.component) for r in kept} == {(g, "x") for g in range(40)}
     assert sorted(r.doc_id for r in kept if r.doc_id is not None and r.doc_id < 900) == sorted(groups.values())
     assert sorted((r.doc_id or 0, r.text) for r in kept if r.doc_id is None or r.doc_id >= 900) == [(0, "lost"), (900, None), (902, "tiny text")]
 
@@ -290,7 +291,7 @@ def test_quality(docs, spark):
     assert quality.score(df, quality.fit(df, labels.limit(0))).where("score <> 0.5").count() == 0
     x = "a b a c".encode()
     slots, values = quality.features(x)
-    assert float(weights[0]) + sum(float(weights[s]) for s in quality.ngrams(x)) / np.sqrt(7) == pytest.approx(float(weights[slots] @ values), abs=1e-6)
+    assert float(weights[0]) + sum(float(weights[s]) for s in quality.ngrams(x)) / np.sqrt(14) == pytest.approx(float(weights[slots] @ values), abs=1e-6)
 
 
 def test_warc(spark):
@@ -325,15 +326,15 @@ def test_knn(spark, monkeypatch, chunk):
     monkeypatch.setattr(knn, "CELL_ROWS", chunk)
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=8) * (1 + i % 3)).tolist()) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (400, [0.5, 0.25]), (100, rows[100][1]), *[(500 + i, [1.0] * 8) for i in range(60)]]
+    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (400, [0.5, 0.25]), (None, [2.0] * 8), ((1 << 60) + 1, [2.0] * 8), (100, rows[100][1]), *[(500 + i, [1.0] * 8) for i in range(60)]]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, row int").repartition(3)
     got = knn.top_k(df, F.col("vec_id") % 100 == 0, pivots=6).collect()
     ok = [(i, np.pad(np.floor(1024 * np.array(v)), (0, 8 - len(v))).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = Counter()
     for n, (i, v) in enumerate(ok):
-        if i % 100 == 0:
-            best = sorted((-int(v @ w), j) for m, (j, w) in enumerate(ok) if m != n)[:10]
-            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
+        if i is not None and i % 100 == 0:
+            best = sorted((-int(v @ w), j is not None, j or 0) for m, (j, w) in enumerate(ok) if m != n)[:10]
+            want.update((i, r + 1, j if known else None, -s) for r, (s, known, j) in enumerate(best))
     assert Counter(tuple(r) for r in got) == want
     assert knn.top_k(df.limit(0), F.lit(True)).count() == 0
     assert knn.top_k(df.where("vec_id in (300, 304)"), F.lit(True)).count() == 0
