@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: a Voronoi join of queries and data.
 
-A bounded sample gives pivots. Every vector belongs to its nearest pivot, and each cell is summarised by its number of rows,
-its radius about the pivot and a bounded number of exact scores per query. For a query q and a cell with pivot p and radius r, no score exceeds
+A bounded sample gives pivots. Every vector belongs to its nearest pivot, and each cell is summarised by its number of rows
+and its radius about the pivot. For a query q and a cell with pivot p and radius r, no score exceeds
 q.p + |q| r (Cauchy-Schwarz). Queries are first solved in their own cell, which gives each a threshold: the k-th
 score found there. Then a query goes only to the cells whose bound reaches its threshold, and the local results are merged.
 
