@@ -180,25 +180,27 @@ def blocks_done(found: DataFrame) -> DataFrame:
 
 
 def fetch_markup(entries: DataFrame, path: str) -> DataFrame:
-    """entries (block_start_bits, title_start_pos, title) with value, the page's text up to ``</page>`` (Q3 by position)."""
+    """entries (block_start_bits, title_start_pos, title) with value, the page's text up to ``</page>`` (Q3 by position).
+
+    Entries of one block meet in one task, so that each block is decoded once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dump = ByteParts(path)
+        dump, now, data = ByteParts(path), None, b""
+        following: Iterator[bytes] = iter(())
         for pdf in batches:
             values = []
             for start, pos in zip(pdf["block_start_bits"], pdf["title_start_pos"], strict=True):
-                data = b""
-                for more in decode_on(dump, int(start)):
-                    seek = max(len(data) - 7, pos)
+                if start != now:
+                    now, data, following = start, b"", decode_on(dump, int(start))
+                seek = int(pos)
+                while (stop := data.find(b"</page>", seek)) < 0 and (more := next(following, None)) is not None:
+                    seek = max(len(data) - 7, int(pos))
                     data += more
-                    if (stop := data.find(b"</page>", seek)) >= 0:
-                        break
-                else:
-                    stop = -1
                 values.append(data[pos:stop].decode("utf-8", "replace") if stop >= 0 else None)
             yield pdf.assign(value=values)
 
-    rows = conform(entries, TITLES)
+    rows = conform(entries, TITLES).repartition("block_start_bits").sortWithinPartitions("block_start_bits", "title_start_pos")
     return rows.mapInPandas(run, "block_start_bits bigint, title_start_pos bigint, title string, value string").where("value is not null")
 
 

@@ -63,3 +63,8 @@ def latest_block(blocks: DataFrame) -> DataFrame:
 def is_complete(blocks: DataFrame) -> DataFrame:
     """complete: whether every block is FINISHED (K-13)."""
     return blocks.agg(F.coalesce(F.bool_and(state_of(F.col("index_state")) == FINISHED), F.lit(False)).alias("complete"))
+
+
+def first_blocks(blocks: DataFrame, n: int) -> DataFrame:
+    """Positions of the first n blocks by number."""
+    return blocks.orderBy("block_no").limit(n).select("block_no", "block_start_bits")

@@ -162,6 +162,32 @@ def block_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.latest_block(catalog(spark, sf_dir))
 
 
+@query(f"with {BLOCKS_SQL} select block_no, block_start_bits from blocks_v order by block_no limit 25")
+def block_first_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.first_blocks(catalog(spark, sf_dir), 25)
+
+
+@query(f"with {BLOCKS_SQL} select count(*) as blocks, max(block_no) as latest from blocks_v")
+def block_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog(spark, sf_dir).agg(F.count(F.lit(1)).alias("blocks"), F.max("block_no").alias("latest"))
+
+
+@query("select page_id, cast(case when page_id % 3 = 0 then null else strlen(html) end as bigint) as content_length from pages")
+def header_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First Content-Length of header maps, null where the header is absent."""
+    name = F.when(F.col("page_id") % 3 == 0, "Date").otherwise("Content-Length")
+    headers = F.create_map(name, F.array(F.octet_length("html").cast("string"), F.lit("0")))
+    return table(spark, sf_dir, "pages").select("page_id", X.content_length(headers).alias("content_length"))
+
+
+@query(f"with {TITLES_SQL} select page_id, title from raw_v")
+def title_decode_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles whose entities decode alike with and without the pass-over quirk, and the plain decoding of the others."""
+    raw = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("raw"), F.col("html").rlike(r"(?s)<title>.*?</title>").alias("there"))
+    plain, quirk = X.decode_entities(F.col("raw")), X.decode_entities_compat(F.col("raw"))
+    return raw.where("there").select("page_id", F.when(plain == quirk, quirk).otherwise(plain).alias("title"))
+
+
 @query(f"with {BLOCKS_SQL} select *, lead(block_start_bits) over (order by block_no) as stop_bits from blocks_v")
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pair_blocks(catalog(spark, sf_dir))

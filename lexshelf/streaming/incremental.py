@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from lexshelf.operators.blocks import as_catalog, block_titles, blocks_done, titles_only
 from lexshelf.operators.index import first_wins, new_titles, pending, with_events
@@ -17,6 +18,26 @@ from lexshelf.schemas import FINISHED, TITLES
 from lexshelf.sources.dump import stream_dump
 
 
+class Progress(StreamingQueryListener):
+    """Calls told(batch, rows, rows a second) after each batch (C4, R5): spark.streams.addListener(Progress(print))."""
+
+    def __init__(self, told) -> None:
+        self.told = told
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.told(p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def table_or_none(spark: SparkSession, path: str, schema) -> DataFrame:
     """The Parquet table at path, empty before the first write."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from lexshelf.operators import blocks as B
 from lexshelf.operators import index as I
 from lexshelf.operators import search as S
 from lexshelf.operators.pages import broken_pages, parse_pages, titles_of
+from lexshelf.plans import stages
 from lexshelf.schemas import BLOCKS, FINISHED, TITLES, WIKI_PAGES, create_table
 from lexshelf.sources import parts, records
 from lexshelf.sources.dump import read_dump
-from lexshelf.streaming.incremental import index_blocks, index_stream, table_or_none
+from lexshelf.streaming.incremental import Progress, index_blocks, index_stream, table_or_none
 
 
 def page(n: int, rng: random.Random) -> str:
@@ -132,8 +134,17 @@ def test_stream(spark, dump, tmp_path):
     folder.mkdir()
     (folder / "a.bz2").write_bytes(dump[2])
     run = lambda: index_stream(spark, str(folder), index, state).awaitTermination()
+    told = []
+    listener = Progress(lambda *x: told.append(x))
+    spark.streams.addListener(listener)
     run()
     assert I.read_index(spark, index).count() == 120
+    for _ in range(100):
+        if told:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert sum(rows for _, rows, _ in told) > 0
     run()
     (folder / "b.bz2").write_bytes(bz2.compress(b"<page><title>Page &amp; 007 \xc3\xa9</title></page><page><title>New</title></page>"))
     run()
@@ -211,3 +222,27 @@ def test_create_table(spark):
     create_table(spark, "catalog_blocks", BLOCKS)
     spark.createDataFrame([(0, 32, 0)], BLOCKS).write.mode("append").insertInto("catalog_blocks")
     assert spark.table("catalog_blocks").select(F.max("block_no")).first()[0] == 0
+
+
+def test_staged_build(spark, dump, tmp_path):
+    path, home = str(dump[0] / "cut.xml.bz2"), str(tmp_path / "home")
+    with pytest.raises(ValueError, match="bytes"):
+        stages.build(spark, path, home, expected_bytes=5)
+    part = stages.build(spark, path, home, len(dump[2]), most_blocks=4).first()
+    assert not part.complete and 0 < part.titles < 120
+    for _ in range(2):
+        whole = stages.build(spark, path, home).first()
+        assert whole.complete and whole.titles == 120 and whole.blocks == stages.catalog(spark, home).count() > 10
+    stages.publish(spark, home, 4)
+    assert [r.title for r in S.seek(I.read_index(spark, f"{home}/sorted"), "Page & 118").collect()] == ["Page & 118 é", "Page & 119 é"]
+    with pytest.raises(ValueError, match="changed"):
+        stages.build(spark, str(dump[0] / "whole.xml.bz2"), home)
+
+
+def test_properties(spark, tmp_path):
+    path = str(tmp_path / "p")
+    assert {tuple(r) for r in stages.properties(spark, path, {"a": "1"}).collect()} == {("a", "1")}
+    stages.set_property(spark, path, "a", "2")
+    stages.set_property(spark, path, "a", "3")
+    stages.set_property(spark, path, "b", "4")
+    assert {tuple(r) for r in stages.properties(spark, path, {"a": "1", "c": "5"}).collect()} == {("a", "3"), ("b", "4"), ("c", "5")}
