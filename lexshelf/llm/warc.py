@@ -63,6 +63,12 @@ def version_block(version: int, name: str) -> str:
     return " ".join([values.get(f, str(len(content))) for f in ARC_FIELDS[version]]) + "\n" + content
 
 
+def write_text(records: DataFrame, end: str, path: str) -> None:
+    """One record a row, each followed by end, in quickly compressed files of FILE_RECORDS records at most."""
+    out = records.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
 def write_arc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """ARC files under path: each task writes one, by turns in version 1 and 2."""
     from pyspark import TaskContext
@@ -82,8 +88,7 @@ def write_arc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url"
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
 
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), text_of(payload).alias("body"))
-    out = rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip")
-    out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    write_text(rows.mapInArrow(run, "value string"), "\n", path)
 
 
 def files(df_reader, path: str) -> DataFrame:
@@ -211,7 +216,7 @@ def convert(arc_path: str, warc_path: str, spark, least: int = LEAST) -> None:
                 out.append(warc_record("revisit" if r["response"] not in (None, r["record"]) else "response", r))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    records.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(warc_path)
+    write_text(records.mapInArrow(run, "value string"), "\r\n\r\n", warc_path)
 
 
 def parse_warc(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
