@@ -6,6 +6,7 @@ is (block_no = page_id, block_start_bits = 32 + 8 x bytes of all earlier pages,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,11 @@ from lexshelf.functions import text as X
 from lexshelf.operators import blocks as B
 from lexshelf.operators import index as I
 from lexshelf.operators import search as S
+from lexshelf.operators.pages import parse_pages
+from lexshelf.shared import shared_dir
 from lexshelf.sources import records
+from lexshelf.sources.dump import read_dump
+from lexshelf.streaming.incremental import index_stream
 
 KEY, LIKE, REGEXP, BITS, PART = "M", "%the%", "[A-M].*", 100_000, 65_536
 #: Rows of one range in running sums over the catalog.
@@ -267,15 +272,11 @@ def scan_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bz2_dump(spark: SparkSession, sf_dir: str) -> str:
-    """All pages as a .bz2 dump in the session's shared folder, written by Spark and named by its content."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexshelf-")
+    """All pages as a .bz2 dump of several files in the session's shared folder, written by Spark."""
     pages = table(spark, sf_dir, "pages").select("page_id", X.title_of(F.col("html")).alias("title"), "html").where("title is not null")
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     row = F.concat(F.lit("<page><title>"), safe(F.col("title")), F.lit("</title><id>"), F.col("page_id").cast("string"), F.lit("</id><revision><id>"), (F.col("page_id") * 10).cast("string"), F.lit("</id><text>"), safe(F.col("html")), F.lit("</text></revision></page>"))
-    path = f"{shared.rstrip('/')}/dump-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
     pages.select(row).write.option("lineSep", "\n").option("compression", "bzip2").text(path)
     return path
 
@@ -283,9 +284,6 @@ def bz2_dump(spark: SparkSession, sf_dir: str) -> str:
 @query(f"with {TITLES_SQL} select title, page_id as id, page_id * 10 as rev_id from raw_v")
 def dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as a compressed dump, read back in parallel and parsed."""
-    from lexshelf.operators.pages import parse_pages
-    from lexshelf.sources.dump import read_dump
-
     return parse_pages(read_dump(spark, bz2_dump(spark, sf_dir))).select("title", "id", "rev_id")
 
 
@@ -299,8 +297,6 @@ def block_lane_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {TITLES_SQL} select title, page_id as id, html as text from titles_v join pages using (page_id)")
 def block_lane_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every indexed page fetched by block and position, and parsed."""
-    from lexshelf.operators.pages import parse_pages
-
     path = bz2_dump(spark, sf_dir)
     found = I.first_wins(B.titles_only(B.block_titles(B.find_blocks(spark, path), path)))
     return parse_pages(B.fetch_markup(found, path)).select("title", "id", "text")
@@ -314,8 +310,6 @@ def magic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {TITLES_SQL} select title from titles_v")
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The title index built by a stream over the dump's files, run twice on one checkpoint."""
-    from lexshelf.streaming.incremental import index_stream
-
     path = bz2_dump(spark, sf_dir)
     for _ in range(2):
         index_stream(spark, path, f"{path}-index", f"{path}-state").awaitTermination()
