@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lexshelf.llm.common import written
 
 PIVOTS, SAMPLE_ROWS = 64, 20_000
-#: Rows of one chunk of a cell, and queries that meet them at once.
-CELL_ROWS, BLOCK = 8192, 1024
+#: Rows of one chunk of a cell, and queries that meet them at once (32 MB of scores).
+CELL_ROWS, BLOCK = 32_768, 128
 #: Stands for a null id inside.
 NO_ID = -(1 << 63)
 
