@@ -2,9 +2,12 @@
 
 Fingerprints that differ in at most r bits agree on some of several bit blocks (pigeonhole), so each distinct
 fingerprint goes to the shards keyed by those blocks. A shard builds BK-trees - children keyed by the integer
-Hamming distance to the parent - and its members walk them, following only edges within the radius. Shards too large
-for one task are cut into chunks, and every pair of chunks meets in a task of its own. A task emits links that connect
-what it found, at most one per row and chunk, never all pairs.
+Hamming distance to the parent - and its members walk them, following only edges within the radius. A task emits links that
+connect what it found, at most one per row, never all pairs.
+
+Shards too large for one task are cut into chunks, which are solved alone first. A large group of near copies is then
+one component already, as each of its shards is cut otherwise; only rows outside a shard's largest component meet
+all of its chunks, in blocks of bounded size, so no link between components is lost and none is sought inside them.
 
 Links join distinct fingerprints only; documents follow their fingerprint. Components are found by star contraction
 over written link tables.
@@ -26,11 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import text_of, written
+from lexshelf.llm.common import small, text_of, written
 
 SEED = 42
 #: Rows of one chunk of a shard; a task compares two chunks at most.
 CHUNK = 2048
+#: Large shards (16 bytes each) up to which their table is broadcast.
+BROADCAST_SHARDS = 500_000
+#: What a row does in a task.
+TREE, QUERY, BOTH = 0, 1, 2
 #: Members of a BK-tree's leaf, which are compared at once.
 LEAF = 32
 
@@ -119,31 +126,48 @@ class Groups:
                 self.of[up] = self.of[self.of][up]
 
 
-def shards(rows: DataFrame, key: Column, n: int) -> DataFrame:
-    """rows by task: key, a and b (chunks that meet), mine (the row's chunk), with rows of large shards in several tasks.
+def shard_links(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """src, dst (src > dst): links that connect all that lies within the radius in some shard.
 
-    Only shards of over CHUNK rows are cut, into hash chunks; chunk pairs grow with the square of such a shard,
-    but each task's input stays bounded.
+    rows: node, key (the shard), fp (ARRAY<LONG>) and what accept(frame, i, j) needs to confirm pairs.
     """
-    rows = rows.withColumn("key", key)
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("cuts"))
-    rows = rows.join(large, "key", "left").withColumn("mine", F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node"), "cuts")).otherwise(0).cast("int"))
-    other = F.explode(F.when(F.col("cuts").isNotNull(), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.lit(0))))
-    rows = rows.withColumn("other", other).withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other")).drop("other", "cuts")
-    return rows.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
-
-
-def linked(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """src, dst (src > dst): links that connect what lies within the radius in each shard.
-
-    rows come from shards(): node, fp (ARRAY<LONG>) and what accept(frame, i, j) needs to confirm pairs.
+    n = partitions(rows)
+    rows = written(rows, "shard-rows")
+    large = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("cuts")), "shard-large")
+    n_large = large.count()
+    cut = rows.join(small(large, n_large, BROADCAST_SHARDS), "key", "left")
+    chunk = F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node", "key"), "cuts")).otherwise(0).cast("int")
+    alone = cut.withColumns({"a": chunk, "b": F.lit(0), "side": F.lit(BOTH), "component": F.col("node")}).drop("cuts")
+    first = linked(alone, n, radius, accept)
+    if not n_large:
+        return first
+    first = written(first, "shard-links")
+    big = cut.where("cuts is not null").withColumn("a", chunk).join(components(first).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    big = written(big.withColumn("component", F.coalesce("component", "node")).drop("of"), "shard-big")
+    sizes = big.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where(F.col("top.n") < F.col("n"))
+    most = most.select("key", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / CHUNK).cast("int").alias("others"))
+    big = big.join(small(most, n_large, BROADCAST_SHARDS), "key")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    trees = big.withColumn("b", every("others")).withColumn("side", F.lit(TREE))
+    outside = big.where(F.col("component") != F.col("main")).withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "others").cast("int"))
+    outside = outside.drop("a").withColumn("a", every("cuts")).withColumn("side", F.lit(QUERY))
+    return first.unionByName(linked(trees.unionByName(outside).drop("cuts", "main", "others"), n, radius, accept))
+
+
+def linked(rows: DataFrame, n: int, radius: int, accept: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None) -> DataFrame:
+    """src, dst (src > dst) for rows that meet by key, a and b: those of side TREE or BOTH are planted, those of side QUERY or BOTH walk.
+
+    Rows of one component count as connected, and one of them stands for it in the links.
     """
+    rows = rows.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
 
     def solve(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         fps = np.array(pdf["fp"].tolist(), np.int64).view(np.uint64)
-        mine, a, b = (pdf[c].to_numpy() for c in ("mine", "a", "b"))
+        side, every = pdf["side"].to_numpy(), np.arange(len(pdf))
+        _, first, which = np.unique(pdf["component"].to_numpy(), return_index=True, return_inverse=True)
         groups = Groups(len(pdf))
-        every = np.arange(len(pdf))
+        groups.of = first[which]
 
         def found(q: np.ndarray, m: np.ndarray) -> None:
             if accept is not None and len(q):
@@ -153,10 +177,10 @@ def linked(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np.ndar
                 q, m = q[ok], m[ok]
             groups.join(q, m)
 
-        tree, queries = every[mine == b], every[mine == a]
+        tree, queries = every[side != QUERY], every[side != TREE]
         if len(tree) and len(queries):
             walk(plant(fps, tree), fps, queries, radius, found)
-        moved = np.flatnonzero(groups.of != every)
+        moved = first[groups.of[first] != first]
         nodes = pdf["node"].to_numpy()
         yield nodes[moved], nodes[groups.of[moved]]
 
@@ -166,7 +190,8 @@ def linked(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np.ndar
             rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             ids = rest[["key", "a", "b"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
-            yield from flush(rest.iloc[: starts[-1]], starts[:-1])
+            if len(starts) > 1:  # the last group may go on in the next batch
+                yield from flush(rest.iloc[: starts[-1]], starts[:-1])
             rest = rest.iloc[starts[-1] :].reset_index(drop=True)
         if rest is not None and len(rest):
             yield from flush(rest, np.zeros(1, np.int64))
@@ -224,8 +249,8 @@ def near_fingerprints(nodes: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("a radius of 0 to 3 bits is exact by blocks; use near_texts for more")
     masks = [m - (1 << 64) if m >> 63 else m for m in block_keys(radius)]
     keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks))))
-    rows = nodes.select("node", F.array("fp").alias("fp"), keys.alias("k"))
-    return linked(shards(rows, F.col("k"), partitions(nodes)).drop("k"), radius)
+    rows = nodes.select("node", F.array("fp").alias("fp"), keys.alias("key"))
+    return shard_links(rows, radius)
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -297,11 +322,10 @@ def near_texts(docs: DataFrame, row: str, id: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(row).cast("long").alias("row"), F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
     rows = written(rows.mapInArrow(run, "row long, id long, name long, fp array<long>, signature binary, keys array<long>"), "near-features")
     nodes = written(rows.groupBy("name", "fp", "signature", "keys").agg(F.min("row").alias("node")), "near-nodes")
-    spread = nodes.select("node", F.explode("keys").alias("k"))
-    shared = spread.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    spread = spread.join(shared, "k", "left_semi").join(nodes.select("node", "fp", "signature"), "node")
-    links = linked(shards(spread, F.col("k"), partitions(docs)).drop("k"), radius, alike)
-    found = components(links)
+    spread = nodes.select("node", F.explode("keys").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    spread = spread.join(shared, "key", "left_semi").join(nodes.select("node", "fp", "signature"), "node")
+    found = components(shard_links(spread, radius, alike))
     named = nodes.join(found, "node", "left").select("name", "fp", F.coalesce("component", "node").alias("component"))
     return rows.join(named, ["name", "fp"]).select("row", "id", "component")
 

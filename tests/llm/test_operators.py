@@ -234,8 +234,9 @@ def test_simhash(docs):
     assert Counter(tuple(r) for r in got) == Counter((r[0], f"{f:016x}", least[c]) for r, f, c in zip(ROWS, fps, component, strict=True))
 
 
-def test_simhash_links(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 64)
+@pytest.mark.parametrize("chunk", [4, 64])
+def test_simhash_links(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 64, 40, np.uint64)
     fps = {int(b) for b in base}
@@ -256,15 +257,29 @@ def test_simhash_links(spark, monkeypatch):
     assert all(got.get(i, i) == c for i, c in enumerate(component))
 
 
-def test_keep_one(spark):
+def test_links_over_batches(spark):
+    fps = [(7 << 40) | (i << 1) for i in range(300)]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node bigint, fp bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = simhash.components(simhash.near_fingerprints(df, 2)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.component for r in got} == {0} and len(got) == 300
+
+
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_keep_one(spark, monkeypatch, chunk):
     import random
 
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+
     rng = random.Random(4)
     say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     rows, groups = [], {}
     for g in range(40):
         words = say(300)
-        for c in range(rng.choice([1, 1, 2, 5])):
+        for c in range(rng.choice([1, 1, 2, 5]) if g else 30):
             near = list(words)
             if c:
                 near[rng.randrange(300)] = "changed"
