@@ -211,7 +211,7 @@ def linked(rows: DataFrame, n: int, radius: int, accept: Callable[[pd.DataFrame,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node): a row for each node that has a link.
+    """node, component (its smallest reachable node): a row for each node that reaches a smaller one.
 
     Alternate large-star and small-star steps: every node's larger neighbours, then its smaller ones, are tied to the
     smallest neighbour. Neighbours are reduced by min(), never collected. Each round's links are written, so

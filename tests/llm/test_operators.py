@@ -265,7 +265,7 @@ def test_links_over_batches(spark):
         got = simhash.components(simhash.near_fingerprints(df, 2)).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert {r.component for r in got} == {0} and len(got) == 300
+    assert {r.component for r in got} == {0} and len(got) == 299  # the smallest itself has no row
 
 
 @pytest.mark.parametrize("chunk", [2048, 3])
