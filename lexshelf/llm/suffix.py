@@ -236,9 +236,11 @@ def first_pass(length: int):
                 s, c, k, bucket = (np.array(x or [], np.int64) for x in found)
                 whole = k != SINGLE
                 gone = covered(len(text), s[whole], s[whole] + c[whole] + length - 1)
-                edge = [{"bucket": q, "start": i, "copies": 2 if w else 1, "bytes": text[i : i + n + length - 1]} for q, i, n, w in zip(*(x[k != REPEATED].tolist() for x in (bucket, s, c, whole)), strict=True)]
+                edges = zip(*(x[k != REPEATED].tolist() for x in (bucket, s, c, whole)), strict=True)
+                edge = [{"bucket": q, "start": i, "copies": 2 if w else 1, "bytes": text[i : i + n + length - 1]} for q, i, n, w in edges]
                 rows.append([*judged(text, gone), packed if (~whole).any() else None, edge])
-            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2, pa.binary(), pa.list_(pa.struct([("bucket", pa.int64()), ("start", pa.int32()), ("copies", pa.int32()), ("bytes", pa.binary())]))]
+            of_edge = pa.struct([("bucket", pa.int64()), ("start", pa.int32()), ("copies", pa.int32()), ("bytes", pa.binary())])
+            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2, pa.binary(), pa.list_(of_edge)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("key"), b.column("size"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
@@ -259,7 +261,10 @@ def last_pass(length: int):
                 rows.append(judged(text, covered(len(text), np.r_[s, at], np.r_[e, at + count + length - 1])))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("size"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "size", "n_removed", "n_spans", "kept_sha256", "starts", "stops"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("size"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["id", "size", "n_removed", "n_spans", "kept_sha256", "starts", "stops"],
+            )
 
     return run
 

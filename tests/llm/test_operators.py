@@ -12,6 +12,8 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -69,6 +71,23 @@ def test_suffix_edges(spark, monkeypatch, rows):
     assert got == want
 
 
+def test_suffix_pieces(monkeypatch):
+    """Pieces of a long text hold every window once, and equal windows have one bucket wherever a text is cut."""
+    monkeypatch.setattr(suffix, "PIECE", 512)
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 123, 3000, np.uint8))
+    texts, bucket_of = [text, b"p" * 199, text[700:1900], b"", b"q" * 900, b"ab" + text[1000:2500]], defaultdict(set)
+    seen = Counter()
+    for of, starts, parts in suffix.grouped(texts, 200):
+        assert sum(map(len, parts)) < 512 + 512 + 199
+        for part, start, count, bucket, _, _ in zip(*suffix.blocks(parts, 200), strict=True):
+            for i in range(starts[part] + start, starts[part] + start + count):
+                seen[of[part], i] += 1
+                bucket_of[texts[of[part]][i : i + 200]].add(bucket)
+    assert seen == Counter({(d, i): 1 for d, t in enumerate(texts) for i in range(len(t) - 199)})
+    assert all(len(b) == 1 for b in bucket_of.values())
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     kinds = [(re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)]
     return sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(kinds) for m in p.finditer(text) if len(m[g]) >= least)
@@ -199,6 +218,20 @@ def test_packing_of_special_strings():
         assert list(ours(t)) == real.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=120))
+def test_plan_fills_every_slot_once(lengths):
+    ranks, slots = Counter(), defaultdict(list)
+    for length, rank, n, first, each, at in packing.plan(dict(Counter(lengths)), 20):
+        for j in range(n):
+            ranks[length, rank + j] += 1
+            slots[first + j // each].append((at + j % each * length, length))
+    assert ranks == Counter({(n, j): 1 for n, c in Counter(lengths).items() for j in range(c)})
+    for parts in slots.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and sum(parts[-1]) <= 20
+
+
 def test_plan_is_best_fit():
     rng = np.random.default_rng(5)
     for _ in range(30):
@@ -309,7 +342,9 @@ def test_quality(docs, spark):
     assert float(weights[0]) + sum(float(weights[s]) for s in quality.ngrams(x)) / np.sqrt(14) == pytest.approx(float(weights[slots] @ values), abs=1e-6)
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("records", [2048, 3])
+def test_warc(spark, monkeypatch, records):
+    monkeypatch.setattr(warc, "FILE_RECORDS", records)
     big = "<p>long\r\n\r\nWARC/1.1\r\n" + "é" * 600
     pages = [(1, "http://a/ b", big), (2, None, big), (5, "http://c/#x", big), (5, "http://c/#x", big), (3, "u", "small"), (4, "u", "small"), (6, "v", None), (None, "n", big), (7, "w", "x" * 5000)]
     df = spark.createDataFrame([(*p, "k", "d") for p in pages], "page_id bigint, url string, html string, record string, digest string").repartition(2)
