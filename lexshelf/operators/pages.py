@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexshelf.functions.text import title_of
-from lexshelf.schemas import WIKI_PAGES, conform
+from lexshelf.schemas import PAGES, conform
 
 PAGE = "title string, id bigint, revision array<struct<id: bigint, comment: string, text: string>>"
 #: Text as it stands: no trimming, and only an absent element is null.
@@ -25,11 +25,11 @@ def last_of(revisions: Column, field: str) -> Column:
 
 
 def parse_pages(rows: DataFrame, value: str = "value") -> DataFrame:
-    """wiki_pages; pages that are no well-formed XML, or have no title, are left out (see broken_pages)."""
+    """page rows; pages that are no well-formed XML, or have no title, are left out (see broken_pages)."""
     p = F.from_xml(page_markup(F.col(value)), PAGE, XML_OPTIONS)
     pages = rows.select(p.alias("p")).where("p.title is not null")
     r = F.col("p.revision")
-    return conform(pages.select("p.title", "p.id", last_of(r, "id").alias("rev_id"), last_of(r, "comment").alias("comment"), last_of(r, "text").alias("text")), WIKI_PAGES)
+    return conform(pages.select("p.title", "p.id", last_of(r, "id").alias("rev_id"), last_of(r, "comment").alias("comment"), last_of(r, "text").alias("text")), PAGES)
 
 
 def broken_pages(rows: DataFrame, value: str = "value") -> DataFrame:

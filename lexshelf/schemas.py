@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 BLOCKS = T.StructType([T.StructField("block_no", T.LongType(), False), T.StructField("block_start_bits", T.LongType(), False), T.StructField("index_state", T.IntegerType(), False)])
 TITLES = T.StructType([T.StructField("block_start_bits", T.LongType(), False), T.StructField("title_start_pos", T.LongType(), False), T.StructField("title", T.StringType(), False)])
-WIKI_PAGES = T.StructType(
+PAGES = T.StructType(
     [
         T.StructField("title", T.StringType(), False),
         T.StructField("id", T.LongType()),

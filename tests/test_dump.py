@@ -14,7 +14,7 @@ from lexshelf.operators import index as I
 from lexshelf.operators import search as S
 from lexshelf.operators.pages import broken_pages, parse_pages, titles_of
 from lexshelf.plans import stages
-from lexshelf.schemas import BLOCKS, FINISHED, TITLES, WIKI_PAGES, create_table
+from lexshelf.schemas import BLOCKS, FINISHED, PAGES, TITLES, create_table
 from lexshelf.sources import parts, records
 from lexshelf.sources.dump import read_dump
 from lexshelf.streaming.incremental import Progress, index_blocks, index_stream, table_or_none
@@ -34,7 +34,7 @@ def page(n: int, rng: random.Random) -> str:
 @pytest.fixture(scope="module")
 def dump(tmp_path_factory):
     rng = random.Random(3)
-    xml = "<mediawiki>\n<siteinfo><sitename>x</sitename></siteinfo>\n" + "".join(page(i, rng) for i in range(120)) + "</mediawiki>\n"
+    xml = "<dump>\n<siteinfo><sitename>x</sitename></siteinfo>\n" + "".join(page(i, rng) for i in range(120)) + "</dump>\n"
     folder = tmp_path_factory.mktemp("dump")
     data = bz2.compress(xml.encode(), 1)
     (folder / "whole.xml.bz2").write_bytes(data)
@@ -55,7 +55,7 @@ def test_page_lane(spark, dump):
         rows = read_dump(spark, str(dump[0] / "whole.xml.bz2"))
         assert rows.rdd.getNumPartitions() > 1
         pages = parse_pages(rows)
-        assert [f.name for f in pages.schema] == WIKI_PAGES.names
+        assert [f.name for f in pages.schema] == PAGES.names
         got = sorted(pages.collect(), key=lambda r: r.id)
         assert [(r.title, r.id, r.rev_id, r.comment) for r in got] == [(f"Page & {i:03d} é", i, i * 10, f"c{i}") for i in range(120)]
         assert all(r.text.startswith(" ") for r in got)
