@@ -4,31 +4,37 @@ A length of at most ``capacity`` is all that best fit looks at, so documents are
 counts, and documents take the planned slots by joining on their rank within their length. The plan has no more
 rows than there are pairs of lengths and gaps, whatever the number of documents.
 
-Defined cases: a null text is empty and packs as its end token alone, repeated rows are packed each for itself, an
-empty table gives no rows, and columns that are not named are ignored. Longer texts are cut into whole pieces, the
-first being the shorter one.
+Defined cases: a null text is empty and packs as its end token alone, a null id is kept as it is, repeated rows are packed each for
+itself, an empty table gives no rows, and columns that are not named are ignored. Longer texts are cut into whole pieces, the
+first being the shorter one; a text is encoded whole, however long, in the memory of one task.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import small, text_of, written
+from lexshelf.llm.common import text_of, written
 
 CAPACITY, END = 1024, 2
-#: Rows of the plan (40 bytes each) up to which it is broadcast: 20 MB.
-BROADCAST_PLAN = 500_000
+#: Rows of the plan (48 bytes each) up to which it is broadcast: 25 MB, more than any plan for a capacity of 1024 has.
+BROADCAST_PLAN = 525_000
 #: How this vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as Unicode has it, and how much of it in a row is a long run.
+SPACES = 1000
+LONG_SPACE = re.compile(rf"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{SPACES},}}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -38,19 +44,52 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+def merges_in_order(model: dict) -> bool:
+    """Whether a vocabulary file is plain byte-level BPE, whose ids are the ranks of its merges, with no text changed before."""
+    split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = model["model"]["type"] == "BPE" and not any(model["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or model["normalizer"] or {k: (model["pre_tokenizer"] or {}).get(k) for k in split} != split or model["truncation"]:
+        return False
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["special"] or re.search(r"\s", t["content"]) for t in model["added_tokens"]):
+        return False
+    vocab = model["model"]["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+    ranks = sorted(vocab[c] for c in byte_alphabet()) + merged
+    return ranks == list(range(len(ranks)))
+
+
 def encoder(vocabulary: str):
-    """text -> ids for a byte-level BPE vocabulary file (tokenizers' JSON), merged by tiktoken, which is several times faster.
+    """text -> ids, as tokenizers gives them for that file without added special tokens.
 
-    Ids are ranks in such a file: bytes first, then merges in order. A test compares the ids with tokenizers' own.
+    Plain byte-level BPE is merged by tiktoken, several times faster; any other file goes to tokenizers itself. So do runs
+    of SPACES white-space characters and more, over which tiktoken's look-ahead would run out of stack: such a run, but for its last character where
+    more text follows, is one word, so the text can be cut around it. Tests compare all of this with tokenizers' own ids.
     """
     import tiktoken
-
-    model = json.load(open(vocabulary, encoding="utf-8"))
-    special = {t["content"]: t["id"] for t in model["added_tokens"] if t["special"]}
+    from tokenizers import Tokenizer
+
+    exact = cache(lambda: Tokenizer.from_file(vocabulary))
+    whole = lambda text: exact().encode(text, add_special_tokens=False).ids
+    with open(vocabulary, encoding="utf-8") as f:
+        model = json.load(f)
+    if not merges_in_order(model):
+        return whole
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
     to_byte = byte_alphabet()
     ranks = {bytes(map(to_byte.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
     encoding = tiktoken.Encoding("lexshelf", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: encoding.encode(text, allowed_special="all")
+    fast = lambda text: encoding.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            alone = run.end() == len(text) or any(text.startswith(s, run.end()) for s in special)
+            out += fast(text[at : run.start()])
+            at = run.end() if alone else run.end() - 1
+            out += whole(text[run.start() : at])
+        return out + fast(text[at:]) if at else fast(text)
+
+    return encode
 
 
 def pieces(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -118,17 +157,36 @@ def pack(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text
     length are added up, so a length that most pieces have is no hot group.
     """
     cut = written(pieces(docs, vocabulary, id, text, capacity, end), "pack-pieces")
-    spark = docs.sparkSession
     by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     by_task = by_task.select("length", "task", F.coalesce(earlier, F.lit(0)).alias("earlier"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    planned = plan(counts, capacity)
-    slots = spark.createDataFrame(planned, "length bigint, first_rank bigint, ranks bigint, first_sequence bigint, each bigint, at bigint")
     ranked = cut.join(by_task, ["length", "task"]).withColumn("rank", F.col("earlier") + F.col("nth"))
-    nth = F.col("rank") - F.col("first_rank")
-    placed = ranked.join(small(slots, len(planned), BROADCAST_PLAN), "length").where((nth >= 0) & (nth < F.col("ranks")))
-    return placed.select(
-        F.col("id").alias(id), "piece", "start", "length", "ids_crc32",
-        (F.col("first_sequence") + F.floor(nth / F.col("each"))).alias("sequence_id"), (F.col("at") + nth % F.col("each") * F.col("length")).alias("offset"),
-    )
+    placed = slotted(ranked, plan(counts, capacity))
+    return placed.select(F.col("id").alias(id), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def slotted(ranked: DataFrame, planned: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """ranked (length, rank) with sequence_id and offset.
+
+    The plan, sorted by length and first rank, is searched by halving. It is broadcast up to BROADCAST_PLAN rows; a longer plan, which only larger
+    capacities can have, is joined by length and range of ranks.
+    """
+    spark = ranked.sparkSession
+    if len(planned) > BROADCAST_PLAN:
+        slots = spark.createDataFrame(planned, "length bigint, first_rank bigint, ranks bigint, first_sequence bigint, each bigint, at bigint")
+        nth = F.col("rank") - F.col("first_rank")
+        found = ranked.join(slots, "length").where((nth >= 0) & (nth < F.col("ranks")))
+        return found.withColumns({"sequence_id": F.col("first_sequence") + F.floor(nth / F.col("each")), "offset": F.col("at") + nth % F.col("each") * F.col("length")})
+    table = np.array(sorted(planned), np.int64).reshape(-1, 6)
+    most = int((table[:, 1] + table[:, 2]).max(initial=1))
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def slot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        t, n, r = shared.value, length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.searchsorted(t[:, 0] * most + t[:, 1], n * most + r, "right") - 1
+        nth = r - t[at, 1]
+        return pd.DataFrame({"sequence_id": t[at, 3] + nth // t[at, 4], "offset": t[at, 5] + nth % t[at, 4] * n})
+
+    return ranked.withColumn("slot", slot("length", "rank")).select(*ranked.columns, "slot.*")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import sys
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -214,10 +216,66 @@ def test_packing_of_special_strings():
     from tokenizers import Tokenizer
 
     real, ours = Tokenizer.from_file(queries.vocabulary()), packing.encoder(queries.vocabulary())
-    for t in ["", "<|endoftext|>x", "a  b\n\n c 　d", "naïve 漢字 🙂 " * 5, "'ll 've\t1234", "\u0000\u0001﻿", "x" * 5000, "=" * 3000 + " "]:
+    for t in ["", "<|endoftext|>x", "a  b\n\n c 　d", "naïve 漢字 🙂 " * 5, "'ll 've\t1234", "\u0000\u0001﻿", "x" * 5000, "=" * 3000 + " "]:
         assert list(ours(t)) == real.encode(t, add_special_tokens=False).ids
 
 
+LONG = [" " * 1_100_000 + "a", "\n" * 5_000_000, "x" + " \n\t　\x85" * 300_000 + "b  c", "a" + " " * 2000 + "<|endoftext|>" + " " * 2000 + "<|endoftext|>", " " * 999 + "a" + " " * 1000 + "b" + "\n" * 1001 + " ."]
+
+
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(queries.vocabulary())
+    got = packing.pack(spark.createDataFrame(list(enumerate(LONG)), "doc_id int, text string"), queries.vocabulary()).collect()
+    for i, t in enumerate(LONG):
+        ids = np.array([*real.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert {(r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i} == {(r.start, r.length, zlib.crc32(ids[r.start : r.start + r.length].tobytes())) for r in got if r.doc_id == i}
+        assert sum(r.length for r in got if r.doc_id == i) == len(ids)
+
+
+@cache
+def encoders():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.vocabulary()), packing.encoder(queries.vocabulary())
+
+
+@settings(deadline=None)
+@given(st.lists(st.sampled_from(["a", "B ", "  ", "   ", "\n", "\n\n\n", "　", "\x85", ".", "'s", "1", "<|endoftext|>", "é", "\x1c", "\u200b"]), max_size=14))
+def test_cuts_around_white_space(parts):
+    real, ours = encoders()
+    kept, packing.LONG_SPACE = packing.LONG_SPACE, re.compile(packing.LONG_SPACE.pattern.replace(str(packing.SPACES), "3"))
+    try:
+        assert list(ours("".join(parts))) == real.encode("".join(parts), add_special_tokens=False).ids
+    finally:
+        packing.LONG_SPACE = kept
+
+
+def test_other_vocabularies_go_to_tokenizers(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    model = json.load(open(queries.vocabulary(), encoding="utf-8"))
+    assert packing.merges_in_order(model)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        other = {**model, **change}
+        assert not packing.merges_in_order(other)
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(other), encoding="utf-8")
+        assert packing.encoder(str(path))("Some TEXT") == Tokenizer.from_file(str(path)).encode("Some TEXT", add_special_tokens=False).ids
+
+
+def test_slots_by_join(spark, monkeypatch):
+    rows = [(n, r) for n, c in {5: 7, 9: 4, 3: 20}.items() for r in range(c)]
+    ranked = spark.createDataFrame(rows, "length bigint, rank bigint")
+    planned = packing.plan({5: 7, 9: 4, 3: 20}, 20)
+    halved = sorted(map(tuple, packing.slotted(ranked, planned).select("length", "rank", "sequence_id", "offset").collect()))
+    monkeypatch.setattr(packing, "BROADCAST_PLAN", 0)
+    assert halved == sorted(map(tuple, packing.slotted(ranked, planned).select("length", "rank", "sequence_id", "offset").collect())) and len(halved) == len(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=120))
 def test_plan_fills_every_slot_once(lengths):
@@ -371,25 +429,49 @@ def test_arc_versions(tmp_path):
             list(warc.parse_arc(memoryview(text.encode()[:-30])))
 
 
-@pytest.mark.parametrize("chunk", [8192, 16])
+def nearest(rows: list[tuple], width: int, asked, k: int = 10) -> Counter:
+    ok = [(i, [*map(lambda x: math.floor(1024 * x), v), *[0] * (width - len(v))]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for n, (i, v) in enumerate(ok):
+        if i is not None and asked(i):
+            best = sorted((-sum(map(int.__mul__, v, w)), j is not None, j or 0) for m, (j, w) in enumerate(ok) if m != n)[:k]
+            want.update((i, r + 1, j if known else None, -s) for r, (s, known, j) in enumerate(best))
+    return want
+
+
+@pytest.mark.parametrize("chunk", [1 << 24, 1024])
 def test_knn(spark, monkeypatch, chunk):
-    monkeypatch.setattr(knn, "CELL_ROWS", chunk)
+    monkeypatch.setattr(knn, "CHUNK_BYTES", chunk)
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=8) * (1 + i % 3)).tolist()) for i in range(300)]
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (400, [0.5, 0.25]), (None, [2.0] * 8), ((1 << 60) + 1, [2.0] * 8), (100, rows[100][1]), *[(500 + i, [1.0] * 8) for i in range(60)]]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, row int").repartition(3)
     got = knn.top_k(df, F.col("vec_id") % 100 == 0, pivots=6).collect()
-    ok = [(i, np.pad(np.floor(1024 * np.array(v)), (0, 8 - len(v))).astype(int)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = Counter()
-    for n, (i, v) in enumerate(ok):
-        if i is not None and i % 100 == 0:
-            best = sorted((-int(v @ w), j is not None, j or 0) for m, (j, w) in enumerate(ok) if m != n)[:10]
-            want.update((i, r + 1, j if known else None, -s) for r, (s, known, j) in enumerate(best))
-    assert Counter(tuple(r) for r in got) == want
+    assert Counter(tuple(r) for r in got) == nearest(rows, 8, lambda i: i % 100 == 0)
     assert knn.top_k(df.limit(0), F.lit(True)).count() == 0
     assert knn.top_k(df.where("vec_id in (300, 304)"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [3e5, 1e6])
+def test_knn_beyond_floats(spark, scale):
+    """Products beyond 2**53 are whole numbers still: components reach 1e9, and neighbours differ by one in the last place."""
+    rng = np.random.default_rng(4)
+    base = np.floor(rng.normal(size=6) * scale)
+    rows = [(i, (base + rng.integers(-3, 4, 6) / 1024).tolist()) for i in range(120)] + [(200 + i, (rng.normal(size=6) * scale).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = Counter(tuple(r) for r in knn.top_k(df, F.col("vec_id") % 10 == 0).collect())
+    assert got == nearest(rows, 6, lambda i: i % 10 == 0) and max(s for *_, s in got) > 2**53
+
+
+def test_products_at_the_ends_of_a_long():
+    rng = np.random.default_rng(6)
+    for peak in (1 << 20, 1 << 30, (1 << 31) - 1, 3 << 30, 1 << 40, (1 << 62) + 5):
+        a, b = rng.integers(-peak, peak, (20, 5)), rng.integers(-peak, peak, (30, 5))
+        a[0], b[0] = [1 << 31, 1 << 31, 0, 0, -1], [1 << 31, 1 << 31, 7, 7, 1]
+        want = [[max(min(sum(int(p) * int(q) for p, q in zip(x, y, strict=True)), 2**63 - 1), -(2**63)) for y in b] for x in a]
+        assert knn.products(a, b).tolist() == want
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(1, 0, "user", "hi ~0 <|im_end|>\n<|im_sep|>"), (1, 1, "assistant", "a"), (1, 2, "assistant", said), (1, 3, "user", None), (1, 3, "user", ""), (2, 5, "assistant", "漢🙂"), (2, 5, "assistant", "漢🙂"), (2, None, "sys\ntem", "x"), (None, 1, None, "y~1"), (-7, 0, "user", said), (-7, 1, "assistant", said)]
