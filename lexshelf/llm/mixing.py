@@ -4,9 +4,9 @@ Each document has a fixed hash. A source takes every document a whole number of
 whose hash lies below the source's threshold. Thresholds come from nested histograms: sizes are summed by source
 and leading hash bits, and only the bucket that holds the threshold is refined, so no sort of documents is needed.
 
-Defined cases: a null text has size 0, a null source is a source of its own and comes last, rows that repeat an id
-have one hash and are taken together, documents of size 0 take 0, an empty table gives no rows, and columns that
-are not named are ignored.
+Defined cases: a null text has size 0, a null source is a source of its own and comes last, rows of one id (or of none) with different texts
+have hashes of their own while repeated rows have one and are taken together, documents of size 0 take 0, a document is never parted however long, so a
+source comes as near its target as its documents allow, an empty table gives no rows, and columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ def size_of(text: str) -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
-def hash_of(key: Column) -> Column:
-    """48 bits of MD5, the same in any run and engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+def hash_of(id: str, text: str) -> Column:
+    """48 bits of MD5 of id and text, the same in any run and engine."""
+    key = F.concat(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit(":"), text_of(text))
+    return F.conv(F.substring(F.md5(key), 1, LEVELS * BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -93,23 +94,34 @@ def thresholds(docs: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
     return state.select("source", "source_size", "target", "times", below.alias("below"))
 
 
+def narrowed(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
+    """id, source, size and hash of each document."""
+    return written(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), hash_of(id, text).alias("h")), "mix-docs")
+
+
+def planned(narrow: DataFrame) -> tuple[DataFrame, int]:
+    """source, source_size, target, times, below: a row for each source, and their number."""
+    plan = written(targets(narrow), "mix-targets")
+    sources = plan.count()
+    return thresholds(narrow, plan, sources), sources
+
+
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """id, source, size, source_size, target, copies, taken: one row for each document.
 
     Text is read once; everything after it works on a narrow table of ids, sizes and hashes.
     """
-    narrow = written(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), size_of(text).alias("size"), hash_of(F.col(id)).alias("h")), "mix-docs")
-    plan = written(targets(narrow), "mix-targets")
-    sources = plan.count()
-    plan = thresholds(narrow, plan, sources)
+    narrow = narrowed(docs, id, text, source)
+    plan, sources = planned(narrow)
     joined = narrow.alias("d").join(small(plan, sources, BROADCAST_SOURCES).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = F.col("times") + (F.col("h") < F.col("below")).cast("long")
     return joined.select(F.col("id").alias(id), F.col("d.source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs, each row as often as mixed takes it: a row's number of copies depends on its id and source alone."""
-    copies = mixed.select(F.col(id).alias("mix_id"), F.col(source).alias("mix_source"), F.col("copies").cast("int").alias("mix_copies")).where("copies > 0").distinct()
-    joined = docs.join(copies, F.col(id).eqNullSafe(F.col("mix_id")) & F.col(source).eqNullSafe(F.col("mix_source")))
-    times = F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_time")
-    return joined.select(*docs.columns, times).drop("mix_time")
+def apply_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs, each row as often as the mix takes it. Copies follow from a row's hash and its source's threshold, so no text is moved. An empty table gives no rows."""
+    plan, sources = planned(narrowed(docs, id, text, source))
+    named = small(plan.select(F.col("source").alias("mix_source"), F.struct("times", "below").alias("mix_plan")), sources, BROADCAST_SOURCES)
+    joined = docs.withColumn("mix_hash", hash_of(id, text)).join(named, F.col(source).eqNullSafe(F.col("mix_source")))
+    copies = F.col("mix_plan.times") + (F.col("mix_hash") < F.col("mix_plan.below")).cast("long")
+    return joined.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("mix_time")).drop("mix_time")

@@ -70,7 +70,8 @@ def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turn = F.col("id").alias("turn")
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), turn, F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     extra = extra.select(*(F.col(c).cast(rows.schema[c].dataType) for c in rows.columns))
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
@@ -96,8 +97,10 @@ def spans_sql(kind: int, pattern: str, group: int, least: int) -> str:
         where length(value[i]) >= {least}"""
 
 
+#: The base patterns as the contract has them, with the group that is judged and its least length.
+BASE = [(secrets.ASSIGN, 2, 12), ("AKIA[A-Z0-9]+", 0, 18), ("[0-9a-f]+", 0, 16)]
 SECRETS_SQL = f"""
-    with base as ({" union all ".join(spans_sql(i, p, g, n) for i, (_, p, g, n) in enumerate(secrets.KINDS))}),
+    with base as ({" union all ".join(spans_sql(i, *kind) for i, kind in enumerate(BASE))}),
     wide as (select * from ({spans_sql(3, secrets.WIDE, 0, 20)}) w where regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
              and not exists (select 1 from base b where b.doc_id = w.doc_id and b.start < w.stop and w.start < b.stop)),
     every as (select * from base union all select * from wide),
@@ -112,7 +115,7 @@ SECRETS_SQL = f"""
 """
 
 MIX_SQL = f"""
-    with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}')) as bigint) as size, substring(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as h from documents),
+    with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD_SQL}')) as bigint) as size, substring(md5(concat(coalesce(cast(doc_id as varchar), ''), ':', coalesce(text, ''))), 1, 12) as h from documents),
     by_source as (select source, cast(sum(size) as bigint) as s from d group by source),
     weighed as (select *, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from by_source),
     ordered as (select *, coalesce(3 * sum(s) over o, 0) as capped, coalesce(sum(w) over o, 0) as gone, sum(s) over () as total, sum(w) over () as weights

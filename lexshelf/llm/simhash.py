@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import small, text_of, written
+from lexshelf.llm.common import partitions, small, text_of, written
 
 SEED = 42
 #: Rows of one chunk of a shard; a task compares two chunks at most.
@@ -232,10 +232,6 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def block_keys(radius: int, blocks: int = 4) -> list[int]:
     """Masks of which at least one leaves two fingerprints equal if they differ in radius bits at most."""
     width = 64 // blocks
