@@ -17,3 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="lexshelf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path, in whatever file system it is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
