@@ -151,9 +151,12 @@ def redact(docs: DataFrame, scanned: DataFrame, id: str = "doc_id", text: str =
     cuts = written(cuts.agg(F.first(F.struct("keep", "rest")).alias("secret_cut"), F.count(F.lit(1)).alias("secret_n")), "secret-cuts")
     some = docs.where(suspect(x)).withColumns({own[0]: name, own[1]: F.md5(x), "secret_row": F.monotonically_increasing_id()})
     joined = join_cut(some, cuts.drop("secret_n"), cuts, own, ["secret_row"], "left", "secret_n")
-    raw = x.cast("binary")
-    piece = lambda begin, size: F.substr(raw, (begin + 1).cast("int"), size.cast("int")).cast("string")
-    pieces = F.transform("secret_cut.keep", lambda p: piece(p.begin, p.size))
-    clean = F.array_join(F.concat(pieces, F.array(piece(F.col("secret_cut.rest"), F.octet_length(x)))), mark)
+
+    def cut(raw: Column) -> Column:
+        piece = lambda begin, size: F.substr(raw, (begin + 1).cast("int"), size.cast("int")).cast("string")
+        pieces = F.transform("secret_cut.keep", lambda p: piece(p.begin, p.size))
+        return F.array_join(F.concat(pieces, F.array(piece(F.col("secret_cut.rest"), F.octet_length(x)))), mark)
+
+    clean = let(x.cast("binary"), cut)
     done = joined.withColumn(text, F.when(F.col("secret_cut").isNull(), F.col(text)).otherwise(clean)).select(docs.columns)
     return done.unionByName(docs.where(~suspect(x)))

@@ -141,7 +141,7 @@ def test_secrets_are_linear(spark):
     import time
 
     took = []
-    for n in (1000, 10_000, 100_000):
+    for n in (10_000, 100_000):
         text = " ".join(f"{i:032x}é" for i in range(n))
         df = spark.createDataFrame([(1, text, "en", "s"), (2, "none", "en", "s")], "doc_id int, text string, lang string, source string")
         began = time.time()
@@ -149,7 +149,7 @@ def test_secrets_are_linear(spark):
         row = secrets.redact(df, found).where("doc_id = 1").first()
         assert row.text == " ".join(["[SECRET]é"] * n) and len(found.where("doc_id = 1").first().spans) == n
         took.append(time.time() - began)
-    assert took[2] < 20 * max(took[1], 1)
+    assert took[1] < 20 * max(took[0], 1)
 
 
 def test_fingerprints(docs):
