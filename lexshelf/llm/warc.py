@@ -1,37 +1,41 @@
 """Legacy archive conversion: ARC files (versions 1 and 2) to WARC, with revisit records, and a WARC reader.
 
 An ARC file begins with a version block, whose version decides the fields of each record's header line; the last field declares the
-record's length. Conversion reads records by these lengths and synthesises what WARC wants: record ids, ISO
-timestamps, types and SHA-1 digests. Records with equal payloads of at least ``least`` bytes become one response and revisits to it.
+record's length. Conversion reads records by these lengths and synthesises what WARC wants: record ids, ISO timestamps, types and SHA-1
+digests. The version block becomes a warcinfo record, content that begins with an HTTP status line a
+response, and anything else (dns, ftp, bare content) a resource with its own content type. Responses with equal payloads of at least
+``least`` bytes become one response and revisits to it. Everything stays bytes from end to end.
 
-Archives are files written by Spark's text writer, one record a row, in the shared folder. A task reads a file whole, so a file holds
-at most FILE_RECORDS records.
+Archives are compressed record by record, one gzip member each, and bounded by ARCHIVE_BYTES; only a record that is larger itself makes a larger file.
 
-Defined cases: a null payload is empty, a null URL is ``-``, white space and ``#`` in URLs are percent-encoded, repeated rows are records of their
-own (of equal largest ids one is the response), a null id is written as ``null`` and comes last in choosing a response, an empty table gives no rows,
-and columns that are not named are ignored.
+Defined cases: a null payload is empty, a null URL is ``-``, bytes that no URI may hold are percent-encoded (and ``#`` in a page's URL), repeated rows are
+records of their own (of equal largest ids one is the response), a null id is written as ``null`` and comes last in choosing a response, an empty table
+gives no rows, columns that are not named are ignored, a head without a blank line is all of its record, and dates of fewer than 14 digits are
+filled up. A file that ends inside a record, lacks its version block or names other fields raises an error.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from base64 import b32decode, b32encode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import small, text_of, written
-from lexshelf.shared import shared_dir
+from lexshelf.llm.common import join_cut, scratch_path, written
 
 LEAST = 1000
-#: Records of one archive file at most, and payload bytes that a reader hands on at once.
-FILE_RECORDS, BATCH_BYTES = 2048, 2 << 20
+#: Bytes of the records of one archive file, and payload bytes that a reader hands on at once.
+ARCHIVE_BYTES, BATCH_BYTES = 32 << 20, 2 << 20
 #: Digests (60 bytes each) up to which the table of shared payloads is broadcast.
 BROADCAST_DIGESTS = 200_000
 #: Header fields by ARC version.
@@ -39,235 +43,285 @@ ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
+#: What stands for an unknown address and type, and the characters that a URI may hold beside letters and digits.
+NO_ADDRESS, NO_TYPE, URI = ("0.0.0.0", "-", ""), ("no-type", "-", ""), "-._~:/?#[]@!$&'()*+,;=%"
 DATE = "20240102030405"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+ID = "#id="
+#: A gzip member without content: it ends each file, as Spark's text writer ends each row with something.
+NOTHING = gzip.compress(b"", mtime=0)
 
 
 def arc_url(url: str | None, id: object) -> str:
     """The page's URL with its id as fragment."""
-    return f"{quote(url or '-', safe=''':/?&=%+,;@!$()*[]~'''+chr(39))}#id={'null' if id is None else id}"
+    return f"{quote(url or '-', safe=URI.replace('#', ''))}{ID}{'null' if id is None else id}"
 
 
-def arc_record(version: int, url: str, body: str, offset: int, name: str) -> str:
-    content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(body.encode())}\r\n\r\n{body}"
-    data = content.encode()
+def arc_record(version: int, url: str, content: bytes, offset: int, name: str, ip: str = "0.0.0.0", kind: str = "text/html") -> bytes:
     values = {
-        "URL": url, "IP-address": "0.0.0.0", "Archive-date": DATE, "Content-type": "text/html", "Result-code": "200",
-        "Checksum": hashlib.md5(data).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name, "Archive-length": str(len(data)),
+        "URL": url, "IP-address": ip, "Archive-date": DATE, "Content-type": kind, "Result-code": "200",
+        "Checksum": hashlib.md5(content).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name, "Archive-length": str(len(content)),
     }
-    return " ".join(values[f] for f in ARC_FIELDS[version]) + "\n" + content
+    return " ".join(values[f] for f in ARC_FIELDS[version]).encode() + b"\n" + content + b"\n"
 
 
-def version_block(version: int, name: str) -> str:
+def version_block(version: int, name: str) -> bytes:
     content = f"{version} 0 lexshelf\n{' '.join(ARC_FIELDS[version])}\n"
     values = {"URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": DATE, "Content-type": "text/plain", "Result-code": "200", "Checksum": "-", "Location": "-", "Offset": "0", "Filename": name}
-    return " ".join([values.get(f, str(len(content))) for f in ARC_FIELDS[version]]) + "\n" + content
+    return " ".join([values.get(f, str(len(content))) for f in ARC_FIELDS[version]]).encode() + b"\n" + content.encode() + b"\n"
 
 
-def write_text(records: DataFrame, end: str, path: str) -> None:
-    """One record a row, each followed by end, in quickly compressed files of FILE_RECORDS records at most."""
-    out = records.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def filed(records: Iterator[Callable[[int, str], bytes]], name: str, head: Callable[[str], bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """value BINARY: whole archives. Each record is made from its offset and its file's name, and head opens a file."""
+    parts, at, size, n = [], 0, 0, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
+
+    for record in records:
+        file = f"{name}-{n}"
+        for make in ([lambda _, f: head(f)] if head and not parts else []) + [record]:
+            raw = make(at, file)
+            parts.append(gzip.compress(raw, 1, mtime=0))
+            at, size = at + len(parts[-1]), size + len(raw)
+        if size >= ARCHIVE_BYTES:
+            yield row()
+            parts, at, size, n = [], 0, 0, n + 1
+    if parts:
+        yield row()
+
+
+def write_files(archives: DataFrame, path: str) -> None:
+    """A file for each row of archives (value BINARY), through Spark's writer and its commits."""
+    out = archives.select(F.col("value").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1")
+    out.option("maxRecordsPerFile", 1).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """ARC files under path: each task writes one, by turns in version 1 and 2."""
-    from pyspark import TaskContext
+    """ARC files under path: tasks write version 1 and 2 by turns. The payload may be text or bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, offset = TaskContext.get().partitionId(), 0, 0
+        task = TaskContext.get().partitionId()
         version = task % 2 + 1
-        for b in batches:
-            rows = []
-            for i, u, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if n % FILE_RECORDS == 0:  # here the writer begins another file
-                    name = f"legacy-{task:06d}-{n // FILE_RECORDS}.arc"
-                    rows.append(version_block(version, name))
-                    n, offset = n + 1, len(rows[-1].encode()) + 1
-                rows.append(arc_record(version, arc_url(u, i), body, offset, name))
-                n, offset = n + 1, offset + len(rows[-1].encode()) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
-
-    rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), text_of(payload).alias("body"))
-    write_text(rows.mapInArrow(run, "value string"), "\n", path)
 
+        def record(i: object, u: str | None, body: bytes) -> Callable[[int, str], bytes]:
+            content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+            return lambda at, name: arc_record(version, arc_url(u, i), content, at, name)
 
-def files(df_reader, path: str) -> DataFrame:
-    """path and bytes of each archive file."""
-    return df_reader.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+        rows = (record(*values) for b in batches for values in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield from filed(rows, f"legacy-{task:06d}", lambda name: version_block(version, name))
 
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
+    write_files(pages.select(F.col(id).alias("id"), F.col(url).alias("url"), body.alias("body")).mapInArrow(run, "value binary"), path)
 
-def inflated(data: bytes) -> memoryview:
-    import gzip
 
-    return memoryview(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and bytes of each archive file."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").load(path).select("path", "content")
 
 
-def line_end(data: memoryview, at: int) -> int:
-    """Place of the next line feed; header lines are short, so it is sought in small steps."""
-    while at < len(data):
-        found = bytes(data[at : at + 4096]).find(b"\n")
-        if found >= 0:
-            return at + found
-        at += 4096
-    return len(data)
+def opened(data: bytes) -> BinaryIO:
+    """The archive's records as a stream: compressed ones are inflated as they are read."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
-def parse_arc(data: memoryview) -> Iterator[tuple[int, dict[str, str], memoryview]]:
-    """offset, header fields and content of each record after the version block.
+def parse_arc(stream: BinaryIO) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
+    """offset (after inflating), header fields and content of each record, the version block included.
 
     The version block's first line names the version and its second line the fields; records are cut by declared length.
     """
     at, fields = 0, None
-    while at < len(data):
-        if data[at] in b"\r\n":
-            at += 1
+    while line := stream.readline():
+        start, at = at, at + len(line)
+        values = line.rstrip(b"\r\n").split(b" ")
+        if values == [b""]:
             continue
-        end = line_end(data, at)
-        values = bytes(data[at:end]).decode().rstrip("\r").split(" ")
         length = int(values[-1])
-        content = data[end + 1 : end + 1 + length]
+        content = stream.read(length)
         if len(content) < length:
-            raise ValueError(f"truncated record at byte {at}")
-        if fields is None:
-            if not values[0].startswith("filedesc:"):
-                raise ValueError("no version block")
-            said = bytes(content).decode().split("\n")
+            raise ValueError(f"truncated record at byte {start}")
+        at += length
+        if kind_of(values[0], content) == "warcinfo":
+            said = content.decode("latin-1").split("\n")
             version = int(said[0].split(" ")[0])
-            fields = said[1].split(" ") if len(said) > 1 and said[1] else ARC_FIELDS[version]
+            fields = said[1].strip("\r").split(" ") if len(said) > 1 and said[1].strip() else ARC_FIELDS[version]
             if fields != ARC_FIELDS.get(version):
                 raise ValueError(f"fields {fields} are not those of version {version}")
-        else:
-            if len(values) != len(fields):  # a field may hold spaces: keep the outer ones
-                values = [" ".join(values[: len(values) - len(fields) + 1]), *values[len(values) - len(fields) + 1 :]]
-            yield at, dict(zip(fields, values, strict=True)), content
-        at = end + 1 + length
+        elif fields is None:
+            raise ValueError("no version block")
+        # A URL may hold spaces: the other fields are counted from the end.
+        values = [b" ".join(values[: len(values) - len(fields) + 1]), *values[len(values) - len(fields) + 1 :]]
+        yield start, dict(zip(fields, values, strict=True)), content
 
 
-def http_parts(content: memoryview) -> tuple[bytes, memoryview]:
-    """Head, up to its blank line, and body."""
-    head = bytes(content[:65536]).find(b"\r\n\r\n") + 4
-    return bytes(content[:head]), content[head:]
+def http_parts(content: bytes) -> tuple[bytes, bytes]:
+    """Head, up to and with its blank line, and body."""
+    ends = [(at, at + len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := content.find(mark)) >= 0]
+    cut = min(ends)[1] if ends else len(content)
+    return content[:cut], content[cut:]
 
 
-def read_arc(spark_reader, path: str) -> DataFrame:
-    """record (a synthesised UUID), url, id, date, content_type, head, body, size, digest (SHA-1, hex)."""
+def kind_of(url: bytes, content: bytes) -> str:
+    """The WARC type: content that begins with a status line is a response, whatever its URL."""
+    if content.startswith(b"HTTP/"):
+        return "response"
+    return "warcinfo" if url.startswith(b"filedesc:") else "resource"
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+ARC_ROWS = "record string, kind string, url string, ip string, date string, content_type string, size bigint, digest string"
+
+
+def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """record (a synthesised UUID), kind, url, ip, date, content_type, size and digest (SHA-1, hex) of the payload, and, if asked for, head and body."""
+    schema = ARC_ROWS + (", head binary, body binary" if payloads else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for file, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, held = [], 0
-                for at, h, content in parse_arc(inflated(packed.as_py())):
-                    head, body = http_parts(content)
-                    url, _, i = h["URL"].rpartition("#id=")
-                    body = bytes(body)
-                    rows.append((str(uuid.uuid5(SPACE, f"{name.rpartition('/')[2]}:{at}:{h['URL']}")), url, i, h["Archive-date"], h["Content-type"], head.decode(), body.decode(), len(body), hashlib.sha1(body).hexdigest()))
-                    held += len(body)
+                for at, h, content in parse_arc(opened(packed.as_py())):
+                    kind = kind_of(h["URL"], content)
+                    head, body = http_parts(content) if kind == "response" else (b"", content)
+                    url, text = quote(h["URL"], safe=URI), lambda n: h[n].decode("latin-1")  # noqa: B023
+                    name = uuid.uuid5(SPACE, f"{file.rpartition('/')[2]}:{at}:{url}")
+                    row = (str(name), kind, url, text("IP-address"), text("Archive-date"), text("Content-type"), len(body), hashlib.sha1(body).hexdigest())
+                    rows.append((*row, head, body) if payloads else row)
+                    held += len(content) if payloads else 200
                     if held >= BATCH_BYTES:
-                        yield batch(rows)
+                        yield batch_of(rows, schema)
                         rows, held = [], 0
-                if rows:
-                    yield batch(rows)
+                yield batch_of(rows, schema)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string()] * 7 + [pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["record", "url", "id", "date", "content_type", "head", "body", "size", "digest"])
+    return archive_files(spark, path).mapInArrow(run, schema)
 
-    return files(spark_reader, path).mapInArrow(run, "record string, url string, id string, date string, content_type string, head string, body string, size bigint, digest string")
 
+def chosen(records: DataFrame, least: int = LEAST, order: Column | None = None) -> DataFrame:
+    """digest, size, n, response, response_url, response_date for payloads that several responses share: counted and reduced, never gathered.
 
-def chosen(records: DataFrame, least: int = LEAST) -> DataFrame:
-    """digest, size, response, response_id, response_url, response_date for payloads that two records share: counted and reduced, never gathered."""
-    narrow = records.where(F.col("size") >= least).select("digest", "size", F.struct(F.expr("try_cast(id as bigint)").alias("n"), "record", "id", "url", "date").alias("r"))
+    The one with the largest order, then record id, is the response.
+    """
+    order = F.lit(0) if order is None else order
+    narrow = records.where((F.col("kind") == "response") & (F.col("size") >= least)).select("digest", "size", F.struct(order.alias("order"), "record", "url", "date").alias("r"))
     both = narrow.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).where("n > 1")
-    return both.select("digest", "size", F.col("r.record").alias("response"), F.col("r.id").alias("response_id"), F.col("r.url").alias("response_url"), F.col("r.date").alias("response_date"))
+    return both.select("digest", "size", "n", F.col("r.record").alias("response"), F.col("r.url").alias("response_url"), F.col("r.date").alias("response_date"))
 
 
-def warc_record(kind: str, r: dict) -> str:
-    """One record without the blank lines that end it."""
-    stamp = lambda d: f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    block = r["head"] + (r["body"] if kind == "response" else "")
+def stamp(date: str) -> str:
+    """An ISO timestamp from up to 14 digits."""
+    d = re.sub(r"\D", "", date)[:14]
+    d += "19700101000000"[len(d) :]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def warc_record(r: dict) -> bytes:
+    """One record from a row of read_arc() with the columns of chosen()."""
+    kind = "revisit" if r["kind"] == "response" and r["response"] not in (None, r["record"]) else r["kind"]
+    block = r["head"] if kind == "revisit" else r["head"] + r["body"]
     sha = lambda h: "sha1:" + b32encode(bytes.fromhex(h)).decode()
-    data = block.encode()
-    head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{r['record']}>", f"WARC-Date: {stamp(r['date'])}", f"WARC-Target-URI: {r['url']}#id={r['id']}",
-        f"WARC-Payload-Digest: {sha(r['digest'])}", f"WARC-Block-Digest: {sha(hashlib.sha1(data).hexdigest())}", f"WARC-Identified-Payload-Type: {r['content_type']}",
-        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(data)}",
-    ]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{r['record']}>", f"WARC-Date: {stamp(r['date'])}"]
+    head += [f"WARC-Filename: {r['url'].partition('//')[2]}"] if kind == "warcinfo" else [f"WARC-Target-URI: {r['url']}"]
+    if r["ip"] not in NO_ADDRESS:
+        head.append(f"WARC-IP-Address: {r['ip']}")
+    if kind != "warcinfo":
+        head += [f"WARC-Payload-Digest: {sha(r['digest'])}", f"WARC-Payload-Length: {r['size']}"]
     if kind == "revisit":
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{r['response']}>",
-            f"WARC-Refers-To-Target-URI: {r['response_url']}#id={r['response_id']}", f"WARC-Refers-To-Date: {stamp(r['response_date'])}",
+            f"WARC-Refers-To-Target-URI: {r['response_url']}", f"WARC-Refers-To-Date: {stamp(r['response_date'])}",
         ]
-    return "\r\n".join(head) + "\r\n\r\n" + block
-
-
-def convert(arc_path: str, warc_path: str, spark, least: int = LEAST) -> None:
-    """Reads ARC files and writes WARC files: once for the digests, once for the payloads."""
-    shared = written(chosen(read_arc(spark.read, arc_path), least), "warc-shared")
-    n = shared.count()
-    records = read_arc(spark.read, arc_path).join(small(shared, n, BROADCAST_DIGESTS), ["digest", "size"], "left")
+    own = "application/octet-stream" if r["content_type"] in NO_TYPE else r["content_type"]
+    if kind in ("response", "revisit"):
+        head += [f"WARC-Identified-Payload-Type: {own}", "Content-Type: application/http; msgtype=response"]
+    else:
+        head.append(f"Content-Type: {own}")
+    head += [f"WARC-Block-Digest: {sha(hashlib.sha1(block).hexdigest())}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode("latin-1") + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST, order: Column | None = None) -> None:
+    """Reads ARC files and writes WARC files: once for the digests alone, once for the payloads."""
+    shared = written(chosen(read_arc(spark, arc_path, payloads=False), least, order), "warc-shared")
+    keys, records = ["digest", "size"], read_arc(spark, arc_path)
+    if shared.count() <= BROADCAST_DIGESTS:
+        records = records.join(F.broadcast(shared.drop("n")), keys, "left")
+    else:
+        records = join_cut(records, shared.drop("n"), shared, keys, ["record"], "left")
     names = records.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                r = dict(zip(names, values, strict=True))
-                out.append(warc_record("revisit" if r["response"] not in (None, r["record"]) else "response", r))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        rows = (dict(zip(names, values, strict=True)) for b in batches for values in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield from filed(((lambda _, __, r=r: warc_record(r)) for r in rows), "converted")
 
-    write_text(records.mapInArrow(run, "value string"), "\r\n\r\n", warc_path)
+    write_files(records.mapInArrow(run, "value binary"), warc_path)
 
 
-def parse_warc(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record, cut by Content-Length."""
-    at = 0
-    while at < len(data):
+    while line := stream.readline():
+        if not re.fullmatch(rb"WARC/[0-9.]+\r\n", line):
+            raise ValueError(f"no record where {line[:40]!r} stands")
         fields: dict[str, str] = {}
-        end = line_end(data, at)
-        if not re.fullmatch(rb"WARC/[0-9.]+\r", bytes(data[at:end])):
-            raise ValueError(f"no record at byte {at}")
-        at = end + 1
-        while line := bytes(data[at : (end := line_end(data, at))]).rstrip(b"\r"):
-            name, _, value = line.decode().partition(":")
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode("latin-1").partition(":")
             fields[name.strip().lower()] = value.strip()
-            at = end + 1
-        at = end + 1
         length = int(fields["content-length"])
-        if at + length + 4 > len(data) or bytes(data[at + length : at + length + 4]) != b"\r\n\r\n":
-            raise ValueError(f"truncated record at byte {at}")
-        yield fields, data[at : at + length]
-        at += length + 4
+        block = stream.read(length)
+        if len(block) < length or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"truncated record {fields['warc-record-id']}")
+        yield fields, block
+
+
+WARC_ROWS = "uri string, record_type string, content_type string, ip string, payload_bytes bigint, payload_digest string, refers_to_uri string"
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """id, payload_bytes, payload_digest, record_type, refers_to_id, from the WARC files alone; digests of stored payloads are checked."""
+def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
+    """uri, record_type, content_type, ip, payload_bytes, payload_digest and refers_to_uri of each record but warcinfo, from the WARC files alone,
+    and, if asked for, the stored payload (null for a revisit). Digests of stored blocks and payloads are checked.
+    """
+    schema = WARC_ROWS + (", payload binary" if payloads else "")
+    plain = lambda digest: b32decode(digest.removeprefix("sha1:")).hex()
+
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        kind = h["warc-type"]
+        body = http_parts(block)[1] if kind == "response" else block
+        digest = plain(h["warc-payload-digest"])
+        if hashlib.sha1(block).hexdigest() != plain(h["warc-block-digest"]) or kind != "revisit" and hashlib.sha1(body).hexdigest() != digest:
+            raise ValueError(f"a digest of {h['warc-record-id']} does not match")
+        found = (h["warc-target-uri"], kind, h["content-type"], h.get("warc-ip-address"), int(h["warc-payload-length"]), digest, h.get("warc-refers-to-target-uri"))
+        return (*found, None if kind == "revisit" else body) if payloads else found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for packed in b.column(1):
-                for h, block in parse_warc(inflated(packed.as_py())):
-                    head, body = http_parts(block)
-                    digest = b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    if h["warc-type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
-                        raise ValueError(f"digest of {h['warc-record-id']} does not match")
-                    size = int(re.search(rb"(?i)content-length: *(\d+)", head)[1])
-                    of = lambda n: h[n].rpartition("#id=")[2] if n in h else None  # noqa: E731, B023
-                    rows.append((of("warc-target-uri"), size, digest, h["warc-type"], of("warc-refers-to-target-uri")))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = [pa.string(), pa.int64(), *[pa.string()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to_id"])
+                rows, held = [], 0
+                for h, block in parse_warc(opened(packed.as_py())):
+                    if h["warc-type"] != "warcinfo":
+                        rows.append(row(h, block))
+                        held += len(block) if payloads else 200
+                    if held >= BATCH_BYTES:
+                        yield batch_of(rows, schema)
+                        rows, held = [], 0
+                yield batch_of(rows, schema)
+
+    return archive_files(spark, path).mapInArrow(run, schema)
+
 
-    return files(spark.read, path).mapInArrow(run, "id string, payload_bytes bigint, payload_digest string, record_type string, refers_to_id string")
+def number_of(uri: str) -> Column:
+    """The id in a URI's fragment, null for ``null``."""
+    return F.expr(f"try_cast(substring_index({uri}, '{ID}', -1) as bigint)")
 
 
 def archive_pages(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> DataFrame:
     """id, payload_bytes, payload_digest, record_type, refers_to: pages go to ARC files, those to WARC files, and these are read back."""
     spark = pages.sparkSession
-    base = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "archives")
     write_arc(pages, f"{base}/arc", id, url, payload)
-    convert(f"{base}/arc", f"{base}/warc", spark, least)
-    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("bigint")
-    return read_warc(spark, f"{base}/warc").select(number("id").alias(id), "payload_bytes", "payload_digest", "record_type", number("refers_to_id").alias("refers_to"))
+    convert(spark, f"{base}/arc", f"{base}/warc", least, number_of("url"))
+    return read_warc(spark, f"{base}/warc").select(number_of("uri").alias(id), "payload_bytes", "payload_digest", "record_type", number_of("refers_to_uri").alias("refers_to"))

@@ -446,9 +446,9 @@ def test_quality(docs, spark):
     assert float(weights[0]) + sum(float(weights[s]) for s in quality.ngrams(x)) / np.sqrt(14) == pytest.approx(float(weights[slots] @ values), abs=1e-6)
 
 
-@pytest.mark.parametrize("records", [2048, 3])
-def test_warc(spark, monkeypatch, records):
-    monkeypatch.setattr(warc, "FILE_RECORDS", records)
+@pytest.mark.parametrize("size", [1 << 25, 1000])
+def test_warc(spark, monkeypatch, size):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
     big = "<p>long\r\n\r\nWARC/1.1\r\n" + "é" * 600
     pages = [(1, "http://a/ b", big), (2, None, big), (5, "http://c/#x", big), (5, "http://c/#x", big), (3, "u", "small"), (4, "u", "small"), (6, "v", None), (None, "n", big), (7, "w", "x" * 5000)]
     df = spark.createDataFrame([(*p, "k", "d") for p in pages], "page_id bigint, url string, html string, record string, digest string").repartition(2)
@@ -464,15 +464,59 @@ def test_warc(spark, monkeypatch, records):
     assert got == want
 
 
-def test_arc_versions(tmp_path):
+def test_warc_by_shuffled_digests(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    pages = [(i, f"u{i}", ("same" if i % 3 else f"other{i}") * 400) for i in range(40)]
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id int, url string, html string").repartition(4)).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter((i, *(("revisit", 38) if i % 3 and i != 38 else ("response", None))) for i, _, _ in pages)
+
+
+def test_arc_versions():
+    import io
+
     for version in (1, 2):
         name = f"t{version}.arc"
-        text = warc.version_block(version, name) + "\n" + warc.arc_record(version, "http://a/#id=1", "body\n", 0, name) + "\n" + warc.arc_record(version, "http://b/#id=2", "", 0, name) + "\n"
-        found = list(warc.parse_arc(memoryview(text.encode())))
-        assert [h["URL"] for _, h, _ in found] == ["http://a/#id=1", "http://b/#id=2"] and list(found[0][1]) == warc.ARC_FIELDS[version]
-        assert bytes(warc.http_parts(found[0][2])[1]) == b"body\n"
+        text = warc.version_block(version, name) + warc.arc_record(version, "http://a/ b/#id=1", b"body\n", 0, name) + warc.arc_record(version, "http://b/#id=2", b"", 0, name)
+        found = list(warc.parse_arc(io.BytesIO(text)))
+        assert [h["URL"] for _, h, _ in found] == [f"filedesc://{name}".encode(), b"http://a/ b/#id=1", b"http://b/#id=2"] and list(found[1][1]) == warc.ARC_FIELDS[version]
+        assert found[1][2] == b"body\n" and [text[at:].split(b" ")[0] for at, *_ in found] == [h["URL"].split(b" ")[0] for _, h, _ in found]
         with pytest.raises(ValueError, match="truncated"):
-            list(warc.parse_arc(memoryview(text.encode()[:-30])))
+            list(warc.parse_arc(io.BytesIO(text + warc.arc_record(version, "http://c/", b"body", 0, name)[:-3])))
+    with pytest.raises(ValueError, match="no version block"):
+        list(warc.parse_arc(io.BytesIO(warc.arc_record(1, "http://a/", b"x", 0, "n"))))
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("packed", [True, False])
+def test_conversion_of_any_bytes(spark, tmp_path, version, packed):
+    """Payloads of all byte values, other schemes, heads beyond 64 KiB or without a body, and addresses survive the way to WARC and back."""
+    import gzip
+
+    every = bytes(range(256)) * 8
+    ok = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    long = b"HTTP/1.1 200 OK\r\n" + b"".join(b"Set-Cookie: %d=%s\r\n" % (i, b"v" * 90) for i in range(1500)) + b"\r\n"
+    cases = [
+        ("http://a/latin1", ok + "naïve café".encode("latin-1"), "text/html", "response", "naïve café".encode("latin-1")), ("https://a/all", ok + every, "image/png", "response", every),
+        ("http://a/again", ok + every, "image/png", "response", every), ("http://a/long", long + b"tail", "text/html", "response", b"tail"), ("http://a/headonly", b"HTTP/1.0 304 Not Modified\r\n", "no-type", "response", b""),
+        ("http://a/lf", b"HTTP/1.0 200 OK\nX: y\n\nbody\r\n\r\nrest", "text/html", "response", b"body\r\n\r\nrest"), ("http://a/bare", b"<html>no head", "text/html", "resource", b"<html>no head"),
+        ("dns:www.example.org", b"20240102030405\nwww.example.org. 60 IN A 192.0.2.7\n", "text/dns", "resource", None), ("ftp://h/f.bin", every, "application/octet-stream", "resource", every), ("http://a/empty", b"", "no-type", "resource", b""),
+    ]
+    records = [warc.version_block(version, "old.arc"), *(warc.arc_record(version, u, c, 0, "old.arc", "192.0.2.1", k) for u, c, k, _, _ in cases)]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / ("old.arc" + ".gz" * packed)).write_bytes(b"".join(map(gzip.compress, records)) if packed else b"".join(records))
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", order=F.col("url"))
+    got = {r.uri: r for r in warc.read_warc(spark, f"{tmp_path}/warc", payloads=True).collect()}
+    assert len(got) == len(cases)
+    for url, content, kind, record_type, payload in cases:
+        payload, r = content if payload is None else payload, got[url]
+        revisit = url == "http://a/again"
+        assert (r.record_type, r.ip, r.payload_bytes, r.payload_digest) == ("revisit" if revisit else record_type, "192.0.2.1", len(payload), hashlib.sha1(payload).hexdigest())
+        assert r.payload is None and r.refers_to_uri == "https://a/all" if revisit else bytes(r.payload) == payload
+        assert record_type == "response" or r.content_type == (kind if kind != "no-type" else "application/octet-stream")
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("part-*"))
+    assert raw.count(b"WARC-Type: warcinfo\r\n") == 1 and b"WARC-Filename: old.arc\r\n" in raw
+    members = sum(p.read_bytes().count(b"\x1f\x8b\x08\x00") for p in (tmp_path / "warc").glob("part-*"))
+    assert members >= len(cases) + 2  # a member for each record, and the empty one at the end
 
 
 def nearest(rows: list[tuple], width: int, asked, k: int = 10) -> Counter:
