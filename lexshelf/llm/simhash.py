@@ -1,45 +1,43 @@
 """SimHash near-dedup: fingerprints, sharded BK-trees, connected components.
 
-Fingerprints that differ in at most r bits agree on some of several bit blocks (pigeonhole), so each distinct
-fingerprint goes to the shards keyed by those blocks. A shard builds BK-trees - children keyed by the integer
-Hamming distance to the parent - and its members walk them, following only edges within the radius. A task emits links that
-connect what it found, at most one per row, never all pairs.
-
-Shards too large for one task are cut into chunks, which are solved alone first. A large group of near copies is then
-one component already, as each of its shards is cut otherwise; only rows outside a shard's largest component meet
-all of its chunks, in blocks of bounded size, so no link between components is lost and none is sought inside them.
-
-Links join distinct fingerprints only; documents follow their fingerprint. Components are found by star contraction
-over written link tables.
-
-Defined cases: a null text counts as empty, a text of no words has fingerprint zero and links like any other, texts
-of fewer words than a shingle are one shingle, repeated rows share a component, null ids take no part in naming a
-component, an empty table gives no rows, and columns that are not named are ignored.
+Fingerprints that differ in at most r bits agree on one of r + 1 blocks of bits (pigeonhole), so each distinct fingerprint goes to
+r + 1 shards, keyed by as many bits of a block as leave about TREE_ROWS members to a shard. Each shard is a BK-tree: children are keyed by
+the integer Hamming distance to their parent, and members walk it, following only edges within the radius of their own distance. A task emits
+links that connect what it found, at most one per row, never all pairs.
+
+Trees meet their queries in the tasks of their shard. They are not broadcast from the driver, as together they hold the fingerprints of all documents.
+Instead, a shard that is too large for one task is keyed by all bits of its block, and if it still is, cut into chunks whose trees go to each block
+of the shard's queries. Chunks are solved alone first. A large group of near copies is then one component already, as each of its shards is cut
+otherwise; only rows outside a shard's largest component meet all of its chunks, in blocks of bounded size, so no link between components is lost
+and none is sought inside them.
+
+Links join distinct fingerprints only; documents follow their fingerprint. Components are found by star contraction over written link tables.
+
+Defined cases: a null text counts as empty, a text of no words has fingerprint zero and links like any other, texts of fewer words than a shingle
+are one shingle, a text is fingerprinted whole in the memory of one task, ids must be whole numbers (or be castable to such; others raise an error),
+repeated rows share a component, null ids take no part in naming a component, an empty table gives no rows, and columns that are not named are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import partitions, small, text_of, written
+from lexshelf.llm.common import join_cut, partitions, small, text_of, written
 
 SEED = 42
-#: Rows of one chunk of a shard; a task compares two chunks at most.
-CHUNK = 2048
+#: Members that a shard's tree is meant to hold, and rows of one chunk of a shard; a task compares two chunks at most.
+TREE_ROWS, CHUNK = 1024, 4096
 #: Large shards (16 bytes each) up to which their table is broadcast.
 BROADCAST_SHARDS = 500_000
-#: What a row does in a task.
-TREE, QUERY, BOTH = 0, 1, 2
-#: Members of a BK-tree's leaf, which are compared at once.
-LEAF = 32
+#: What a row does in a task, and queries that walk a tree together.
+TREE, QUERY, BOTH, TOGETHER = 0, 1, 2, 1024
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -76,35 +74,46 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def plant(fps: np.ndarray, members: np.ndarray) -> tuple:
-    """A BK-tree over members: (pivot, {distance: subtree}), or ("leaf", members) for a few."""
-    if len(members) <= LEAF:
-        return ("leaf", members)
-    pivot, rest = members[0], members[1:]
-    d = distances(fps[rest], fps[pivot])
-    order = np.argsort(d, kind="stable")
-    edges, starts = np.unique(d[order], return_index=True)
-    if edges[0] == 0 and len(edges) == 1:
-        return ("leaf", members)
-    return (pivot, dict(zip(edges.tolist(), (plant(fps, p) for p in np.split(rest[order], starts[1:])), strict=True)))
-
-
-def walk(tree: tuple, fps: np.ndarray, queries: np.ndarray, radius: int, found: Callable[[np.ndarray, np.ndarray], None]) -> None:
-    """Call found(queries, members) with all pairs within the radius; queries go down the tree together."""
-    todo = [(tree, queries)]
-    while todo:
-        (pivot, below), q = todo.pop()
-        if isinstance(pivot, str):
-            for i in range(0, len(q), 4096):
-                near, at = np.nonzero(distances(fps[q[i : i + 4096], None], fps[None, below]) <= radius)
-                found(q[i : i + 4096][near], below[at])
-            continue
-        d = distances(fps[q], fps[pivot])
-        near = q[d <= radius]
-        found(near, np.full(len(near), pivot))
-        for edge, child in below.items():
-            if len(some := q[np.abs(d - edge) <= radius]):
-                todo.append((child, some))
+class Tree:
+    """A BK-tree over distinct fingerprints, level by level: a node's children are neighbours in the arrays, in order of their edge."""
+
+    #: Above any distance.
+    WIDE = 1 << 16
+
+    def __init__(self, fps: np.ndarray) -> None:
+        rest, group = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+        keys, members, n = [np.zeros(1, np.int64)], [], 0
+        while len(rest):
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            members.append(rest[first])
+            below = np.ones(len(rest), bool)
+            below[first] = False
+            d = distances(fps[rest[below]], fps[rest[first][group[below]]])
+            key = (n + group[below]) * self.WIDE + d  # the parent and the edge that leads from it
+            order = np.argsort(key, kind="stable")
+            rest, key, n = rest[below][order], key[order], n + len(first)
+            start = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            group = np.cumsum(start) - 1
+            keys.append(key[start])
+        #: The fingerprint at each node, and each node's parent and edge in one number, ascending.
+        self.fps, self.member, self.key = fps, np.concatenate(members), np.concatenate(keys)[1:]
+
+    def walk(self, queries: np.ndarray, radius: int, found: Callable[[np.ndarray, np.ndarray], None]) -> int:
+        """Calls found(queries, members), as places, with all pairs within the radius, and returns how many fingerprints were compared."""
+        compared = 0
+        for i in range(0, len(queries), TOGETHER):
+            q = np.arange(i, min(i + TOGETHER, len(queries)))
+            node = np.zeros(len(q), np.int64)
+            while len(q):
+                d = distances(queries[q], self.fps[self.member[node]])
+                compared += len(q)
+                near = d <= radius
+                found(q[near], self.member[node[near]])
+                low = np.searchsorted(self.key, node * self.WIDE + np.maximum(d - radius, 0))
+                count = np.searchsorted(self.key, node * self.WIDE + d + radius, "right") - low
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                q, node = np.repeat(q, count), np.repeat(low, count) + at + 1  # the root has no key
+        return compared
 
 
 class Groups:
@@ -162,14 +171,18 @@ def linked(rows: DataFrame, n: int, radius: int, accept: Callable[[pd.DataFrame,
     """
     rows = rows.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
 
-    def solve(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def solve(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         fps = np.array(pdf["fp"].tolist(), np.int64).view(np.uint64)
         side, every = pdf["side"].to_numpy(), np.arange(len(pdf))
         _, first, which = np.unique(pdf["component"].to_numpy(), return_index=True, return_inverse=True)
         groups = Groups(len(pdf))
         groups.of = first[which]
+        tree, queries = every[side != QUERY], every[side != TREE]
+        distinct, place = np.unique(fps[tree], axis=0, return_inverse=True)
+        order = np.argsort(place, kind="stable")  # rows of one fingerprint are neighbours
+        start, count = np.searchsorted(place[order], np.arange(len(distinct))), np.bincount(place, minlength=len(distinct))
 
-        def found(q: np.ndarray, m: np.ndarray) -> None:
+        def confirmed(q: np.ndarray, m: np.ndarray) -> None:
             if accept is not None and len(q):
                 apart = groups.of[q] != groups.of[m]
                 q, m = q[apart], m[apart]
@@ -177,12 +190,17 @@ def linked(rows: DataFrame, n: int, radius: int, accept: Callable[[pd.DataFrame,
                 q, m = q[ok], m[ok]
             groups.join(q, m)
 
-        tree, queries = every[side != QUERY], every[side != TREE]
+        def found(q: np.ndarray, at: np.ndarray) -> None:
+            q = queries[q]
+            for i in range(count[at].max(initial=0)):  # the first row of each fingerprint, then its second, and so on
+                q, at = q[count[at] > i], at[count[at] > i]
+                confirmed(q, tree[order[start[at] + i]])
+
         if len(tree) and len(queries):
-            walk(plant(fps, tree), fps, queries, radius, found)
+            Tree(distinct).walk(fps[queries], radius, found)
         moved = first[groups.of[first] != first]
         nodes = pdf["node"].to_numpy()
-        yield nodes[moved], nodes[groups.of[moved]]
+        return nodes[moved], nodes[groups.of[moved]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -201,8 +219,8 @@ def linked(rows: DataFrame, n: int, radius: int, accept: Callable[[pd.DataFrame,
         src, dst = [], []
         for s, e in zip(starts, ends, strict=True):
             if e - s > 1:
-                for x, y in solve(pdf.iloc[s:e].reset_index(drop=True)):
-                    src.append(x), dst.append(y)
+                x, y = solve(pdf.iloc[s:e].reset_index(drop=True))
+                src.append(x), dst.append(y)
         if src:
             x, y = np.concatenate(src), np.concatenate(dst)
             yield pd.DataFrame({"src": np.maximum(x, y), "dst": np.minimum(x, y)})
@@ -214,48 +232,58 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node): a row for each node that reaches a smaller one.
 
     Alternate large-star and small-star steps: every node's larger neighbours, then its smaller ones, are tied to the
-    smallest neighbour. Neighbours are reduced by min(), never collected. Each round's links are written, so
-    lineage stays short and a lost executor costs one round at most.
+    smallest neighbour. Neighbours are reduced by min(), never collected, and those of a hub are dealt over several tasks. Each round's
+    links are written, so lineage stays short and a lost executor costs one round at most.
     """
+
+    def to_least(pairs: DataFrame, least: Column) -> DataFrame:
+        """pairs (u, v) with m, the least of u's neighbours."""
+        of = written(pairs.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n")), "links-least")
+        return join_cut(pairs, of.drop("n"), of, ["u"], ["v"])
+
     links = written(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "m").where("x <> m").unionByName(least.select(F.col("u").alias("x"), "m"))
-        links = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        large = to_least(both, F.least("u", F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        tied = to_least(large, F.min("v"))
+        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(tied.select("u", F.col("m").alias("v")))
+        links = written(small.distinct(), "links")
         now = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         before = now
 
 
-def block_keys(radius: int, blocks: int = 4) -> list[int]:
-    """Masks of which at least one leaves two fingerprints equal if they differ in radius bits at most."""
-    width = 64 // blocks
-    whole = [((1 << width) - 1) << (width * i) for i in range(blocks)]
-    return [sum(c) for c in combinations(whole, blocks - radius)]
+def blocks_of(fp: Column, radius: int, bits: int | None) -> Column:
+    """ARRAY<LONG>: for each of radius + 1 blocks its place with its lowest bits (all, if None is said)."""
+    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    wanted = [w if bits is None else min(w, bits) for w in widths]
+    return F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))) for i, (a, w) in enumerate(zip(edges, wanted, strict=False))))
 
 
 def near_fingerprints(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """src, dst for nodes (node, fp LONG): exact for a radius below 4."""
-    if not 0 <= radius < 4:
-        raise ValueError("a radius of 0 to 3 bits is exact by blocks; use near_texts for more")
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_keys(radius)]
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks))))
-    rows = nodes.select("node", F.array("fp").alias("fp"), keys.alias("key"))
-    return shard_links(rows, radius)
+    """src, dst for nodes (node, fp LONG): exact for any radius; the smaller it is, the more the shards and the trees' edges rule out."""
+    if not 0 <= radius < 64:
+        raise ValueError("a radius of 0 to 63 bits")
+    bits = max(0, (nodes.count() // TREE_ROWS).bit_length() - 1)
+    if not bits:
+        return shard_links(nodes.select("node", F.array("fp").alias("fp"), F.lit(0).cast("bigint").alias("key")), radius)
+    keys = F.explode(F.arrays_zip(blocks_of(F.col("fp"), radius, bits).alias("wide"), blocks_of(F.col("fp"), radius, None).alias("whole")))
+    rows = nodes.select("node", "fp", keys.alias("k")).select("node", F.array("fp").alias("fp"), F.col("k.wide").alias("wide"), F.col("k.whole").alias("whole"))
+    full = written(rows.groupBy("wide").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("wide", F.lit(True).alias("full")), "shard-full")
+    rows = rows.join(small(full, full.count(), BROADCAST_SHARDS), "wide", "left")
+    return shard_links(rows.select("node", "fp", F.when(F.col("full"), F.col("whole")).otherwise(F.col("wide")).alias("key")), radius)
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (smallest reachable id): a row for each document."""
     rows = written(fingerprints(docs, id, text, width), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("node")), "fingerprint-nodes")
-    found = components(near_fingerprints(nodes.where("node is not null"), radius))
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
+    found = components(near_fingerprints(nodes.where("node is not null").select("node", "fp"), radius))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_cut(rows.withColumn("nth", F.monotonically_increasing_id()), named, nodes, ["fp"], ["nth"]).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: near_texts: minima that serve as shard keys, minima of the signature that confirms pairs (two bits of each), and words of 64 bits in
@@ -294,42 +322,63 @@ def set_features(text: bytes, width: int) -> tuple[int, list[int], bytes, list[i
     return name - (1 << 63), fp.tolist(), signature, keys.tolist()
 
 
-def near_texts(docs: DataFrame, row: str, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 64) -> DataFrame:
-    """row, id, component: row numbers of docs (in column ``row``) with the smallest row of their group.
+def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 64) -> DataFrame:
+    """id, row_key (16 bytes: MD5 of id and text) and component for each row; rows of one group of near copies share a component.
 
     Texts whose shingle sets are about similarity alike (Jaccard) share one of KEYS minima but for 0.2**6 of them; those
     that share one meet in a shard. There, BK-trees over WORDS x 64-bit fingerprints propose pairs within radius (four standard
-    deviations beyond the mean distance at 0.8), and signatures of SIGNATURE minima confirm them.
+    deviations beyond the mean distance at 0.8), and signatures of SIGNATURE minima confirm them. At such a radius edges tell
+    groups from each other, but not unrelated texts, which are all about as far from any pivot; the minima keep these apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = zip(*(set_features(t, width) for t in b.column(2).cast(pa.binary()).to_pylist()), strict=True) if b.num_rows else [[]] * 4
+            made = zip(*(set_features(t, width) for t in b.column(3).cast(pa.binary()).to_pylist()), strict=True) if b.num_rows else [[]] * 4
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["row", "id", "name", "fp", "signature", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["row", "id", "row_key", "name", "fp", "signature", "keys"])
 
     def alike(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         every = np.frombuffer(b"".join(pdf["signature"]), np.uint64).reshape(len(pdf), -1)
-        differ = every[i] ^ every[j]
-        differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
-        same = 1 - np.bitwise_count(differ).sum(axis=1, dtype=np.int64) / SIGNATURE
-        return (same - 1 / 4) / (1 - 1 / 4) >= similarity
-
-    rows = docs.select(F.col(row).cast("long").alias("row"), F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
-    rows = written(rows.mapInArrow(run, "row long, id long, name long, fp array<long>, signature binary, keys array<long>"), "near-features")
-    nodes = written(rows.groupBy("name", "fp", "signature", "keys").agg(F.min("row").alias("node")), "near-nodes")
+        out = np.zeros(len(i), bool)
+        for s in range(0, len(i), 1 << 16):
+            differ = every[i[s : s + (1 << 16)]] ^ every[j[s : s + (1 << 16)]]
+            differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
+            same = 1 - np.bitwise_count(differ).sum(axis=1, dtype=np.int64) / SIGNATURE
+            out[s : s + (1 << 16)] = (same - 1 / 4) / (1 - 1 / 4) >= similarity
+        return out
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), row_key(id, text).alias("row_key"), text_of(text).alias("text"))
+    rows = written(rows.mapInArrow(run, "row long, id long, row_key binary, name long, fp array<long>, signature binary, keys array<long>"), "near-features")
+    nodes = written(rows.groupBy("name", "fp", "signature", "keys").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "near-nodes")
     spread = nodes.select("node", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    spread = spread.join(shared, "key", "left_semi").join(nodes.select("node", "fp", "signature"), "node")
+    shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-keys")
+    spread = join_cut(spread, shared.select("key"), shared, ["key"], ["node"]).join(nodes.select("node", "fp", "signature"), "node")
     found = components(shard_links(spread, radius, alike))
     named = nodes.join(found, "node", "left").select("name", "fp", F.coalesce("component", "node").alias("component"))
-    return rows.join(named, ["name", "fp"]).select("row", "id", "component")
+    same = nodes.groupBy("name", "fp").agg(F.sum("n").alias("n"))
+    return join_cut(rows, named, same, ["name", "fp"], ["row"]).select("id", "row_key", "component")
+
+
+def row_key(id: str, text: str) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("null")), F.lit(":"), text_of(text))))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: of each group the first row in order of id stays."""
-    own = "near_dedup_row"
-    rows = written(docs.withColumn(own, F.monotonically_increasing_id()), "near-rows")
-    found = near_texts(rows, own, id, text, width, similarity)
-    least = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("kept"))
-    return rows.join(least.select(F.col("kept.row").alias(own)), own, "left_semi").select(docs.columns)
+    """docs without near-duplicates: of each group a row with the smallest id stays (of rows that repeat its id and text, any one).
+
+    Texts are read and not moved to find the groups. The rows to drop are an anti-join by 16 bytes each, which Spark broadcasts while they are few.
+    A null text counts as empty, a null id comes last, and an empty table gives no rows.
+    """
+    found = near_texts(docs, id, text, width, similarity).groupBy("component", "id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    found = written(found, "near-groups")
+    groups = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups.select("component", F.col("kept.row_key").alias("kept"), "n").where("n > 1"), "near-kept")
+    others = join_cut(found, groups.drop("n"), groups, ["component"], ["row_key"]).where(F.col("row_key") != F.col("kept")).select("row_key")
+    repeated = written(found.where("n > 1").select("row_key"), "near-repeated")
+    own = docs.withColumn("near_row_key", row_key(id, text))
+    drop = lambda keys: own.join(keys.withColumnRenamed("row_key", "near_row_key"), "near_row_key", "left_anti")
+    others = written(others, "near-dropped")
+    if not repeated.count():
+        return drop(others).select(docs.columns)
+    again = own.join(repeated.join(others, "row_key", "left_anti").withColumnRenamed("row_key", "near_row_key"), "near_row_key", "left_semi")
+    return drop(others.unionByName(repeated)).select(docs.columns).unionByName(again.dropDuplicates(["near_row_key"]).select(docs.columns))

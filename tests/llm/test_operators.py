@@ -371,9 +371,10 @@ def test_simhash(docs):
     assert Counter(tuple(r) for r in got) == Counter((r[0], f"{f:016x}", least[c]) for r, f, c in zip(ROWS, fps, component, strict=True))
 
 
-@pytest.mark.parametrize("chunk", [4, 64])
-def test_simhash_links(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "size"), [(32, 1024), (64, 16), (4096, 64)])
+def test_simhash_links(spark, monkeypatch, chunk, size):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "TREE_ROWS", size)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 64, 40, np.uint64)
     fps = {int(b) for b in base}
@@ -394,6 +395,54 @@ def test_simhash_links(spark, monkeypatch, chunk):
     assert all(got.get(i, i) == c for i, c in enumerate(component))
 
 
+def test_tree_compares_within_edges():
+    """All pairs within the radius are found, and most members are never compared."""
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 1 << 64, 3000, np.uint64)
+    fps[1000:1200] = fps[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    fps = np.unique(fps)[:, None]
+    every = np.bitwise_count(fps ^ fps.T)
+    for radius, share in ((0, 0.03), (2, 0.2), (5, 0.6)):
+        pairs = set()
+        compared = simhash.Tree(fps).walk(fps, radius, lambda q, m: pairs.update(zip(q.tolist(), m.tolist(), strict=True)))  # noqa: B023
+        assert pairs == {(int(a), int(b)) for a, b in np.argwhere(every <= radius)}
+        assert compared < share * len(fps) ** 2
+    children = simhash.Tree(fps)
+    parent, edge = children.key // simhash.Tree.WIDE, children.key % simhash.Tree.WIDE
+    assert (simhash.distances(fps[children.member[1:]], fps[children.member[parent]]) == edge).all() and len(children.member) == len(fps)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from lexshelf.llm import common
+
+    monkeypatch.setattr(common, "COOL_ROWS", 8)
+    links = [(i, 500) for i in range(1, 300)] + [(i, i + 1) for i in range(600, 700)] + [(300 + i, 299) for i in range(1, 150)] + [(0, 500)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
+    assert got == {**{i: 0 for i in [*range(1, 300), *range(301, 450), 500]}, **{i: 600 for i in range(601, 701)}}
+
+
+def test_recall_against_exact_jaccard(spark):
+    """On 1,000 documents: near copies that the groups find, and what the exact likeness of their shingle sets says."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets, holders = {}, defaultdict(list)
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))) if w else frozenset()
+        for x in sets[i]:
+            holders[x].append(i)
+    common = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    pairs = [(a, b) for (a, b), n in common.items() if n / len(sets[a] | sets[b]) >= 0.8]
+    found = {r.id: r.component for r in simhash.near_texts(docs).collect()}
+    assert len(pairs) > 50 and sum(found[a] == found[b] for a, b in pairs) >= 0.97 * len(pairs)
+    group = {i: i for i in texts}
+    for a, b in pairs:
+        x, y = group[a], group[b]
+        group = {i: x if g == y else g for i, g in group.items()} if x != y else group
+    wrong = sum(len({group[i] for i, c in found.items() if c == component}) > 1 for component in set(found.values()))
+    assert wrong <= 0.01 * len(texts)
+
+
 def test_links_over_batches(spark):
     fps = [(7 << 40) | (i << 1) for i in range(300)]
     df = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "node bigint, fp bigint")
@@ -405,7 +454,7 @@ def test_links_over_batches(spark):
     assert {r.component for r in got} == {0} and len(got) == 299  # the smallest itself has no row
 
 
-@pytest.mark.parametrize("chunk", [2048, 3])
+@pytest.mark.parametrize("chunk", [2048, 6])
 def test_keep_one(spark, monkeypatch, chunk):
     import random
 
