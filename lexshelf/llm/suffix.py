@@ -1,22 +1,22 @@
 """Suffix-array dedup: finds all strings of a given length that occur more than once, by bucket-pointer refinement.
 
-A position's bucket is the name of the q-gram that starts there. Names of longer strings come from the names at a
-position and at a later offset, so refining a bucket means sorting its positions by the bucket identifiers of later
-offsets. Only equality matters here, so names are hashes and the sort is Spark's hash grouping; the names made for
-one level are used again for the next, and a position leaves as soon as its bucket holds nothing else.
-
-1. Every window of ``length`` bytes belongs to its least q-gram name, so equal windows meet in one bucket; neighbouring
-   windows with the same least q-gram are a block. Buckets that hold one block are final: their windows are unique.
-2. What is left is refined by the name of the whole block. Blocks that share it are repeated from end to end.
-3. Blocks that stay single in a shared bucket (the edges of passages) are refined down to single windows, against one
-   representative of each distinct block of their bucket. For this the bytes of such a block travel to its bucket; buckets with
-   more than BUCKET_ROWS of them are refined by shuffled window names instead.
-
-Names have over 96 bits at every comparison (bucket and block, bucket and window). Buckets of any size are counted, never
-gathered. Whole texts move once, those with edges once more, compressed.
-
-Defined cases: a null text is empty; texts shorter than length keep all bytes; repeated rows (same id and text) lose
-what they share, like any other copies; an empty table gives no rows; columns that are not named are ignored.
+A position's bucket holds all positions with the same q-gram. A bucket is refined by sorting its positions by the bucket identifiers of
+later offsets; positions take the identifiers of their new buckets, which are the sort keys of the next round, and leave as soon as they are alone.
+
+1. Initial buckets. Every window of ``length`` bytes belongs to the bucket of its least q-gram, so equal windows meet in one bucket; neighbouring
+   windows with the same least q-gram are a block. Buckets that hold one block are left at once: their windows are unique.
+2. What remains is refined by the identifiers of whole blocks. Blocks that share one are repeated from end to end.
+3. Blocks that stay single in a shared bucket (the edges of passages) go on byte by byte, against one representative of each distinct block of
+   their bucket. The bytes of such blocks travel to their bucket. There, 8-grams are the first identifiers, and each round sorts the positions that are
+   left by their own identifier and the one 8, 16, 32, ... bytes on, as the rounds before have written it, up to length. These comparisons are
+   exact. Buckets of more than BUCKET_BYTES are not gathered: their windows are told apart by shuffled identifiers instead.
+
+Identifiers that move between tasks are hashes (of 54 bits for a q-gram, and 64 more for a block or a window), as only equality matters. Buckets of any size
+are counted, never gathered, and the rows of hot ones are dealt over several tasks. Whole texts move once, those with edges once more, compressed.
+
+Defined cases: a null text is empty; texts shorter than length keep all bytes; a long text is handled in pieces of PIECE bytes, except that its
+bytes are cut in one task; repeated rows (same id and text) lose what they share, like any other copies, and their blocks are gathered once; a null id is
+kept as it is; an empty table gives no rows; columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import small, text_of, written
+from lexshelf.llm.common import join_cut, partitions, small, text_of, written
 
 LENGTH = 200
 #: Bytes of text that are handled at once; a long text is cut into pieces that overlap by length - 1.
@@ -38,8 +38,8 @@ PIECE = 1 << 19
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BYTE_NAMES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
 REPEATED, SINGLE, SAMPLE = 1, 2, 3
-#: Edge blocks (about 270 bytes each) of one bucket that a task takes at once.
-BUCKET_ROWS = 20_000
+#: Bytes of edge blocks of one bucket that a task refines at once (with about 80 bytes of work space for each).
+BUCKET_BYTES = 2 << 20
 #: Names of larger buckets (8 bytes each) up to which they are broadcast.
 BROADCAST_BUCKETS = 1_000_000
 #: Low bits of a q-gram's name that give way to its place, to tell which q-gram of a window is the least.
@@ -173,16 +173,53 @@ def window_rows(length: int):
     return run
 
 
+def repeated(parts: list[bytes], copies: np.ndarray, length: int) -> np.ndarray:
+    """Places in the joined parts where a string of length begins that begins elsewhere in some part too; a part counts as often as copies says.
+
+    Only places in parts of one copy are told. pointer holds each place's bucket: equal numbers are equal strings of at least h bytes.
+    """
+    sizes = np.array([len(p) for p in parts])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())  # bytes up to the end of the own part
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    h = 1
+    while 2 * h <= min(length, 8):
+        h *= 2
+    word, padded = np.zeros(len(data), np.uint64), np.r_[data, np.zeros(h, np.uint8)]
+    for i in range(h):
+        word = word << np.uint64(8) | padded[i : i + len(data)]
+    at = np.flatnonzero(left >= h)
+    pointer, weight = np.full(len(data), -1), np.repeat(copies, sizes)
+    pointer[at], at = refine(word[at], at, 0)
+    while len(at):
+        later = h if 2 * h <= length else length - h
+        at = at[left[at] >= h + later]
+        if not later:
+            break
+        most = int(pointer.max()) + 1
+        pointer_of, rest = refine(pointer[at] * most + pointer[at + later], at, most)
+        pointer[at], at, h = pointer_of, rest, h + later
+    _, bucket = np.unique(pointer[at], return_inverse=True)
+    return at[(np.bincount(bucket, weight[at])[bucket] > 1) & (weight[at] == 1)] if len(at) else at
+
+
+def refine(keys: np.ndarray, at: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """New bucket numbers from first on, in the order of the sorted keys, and those of the places at that are not alone in theirs."""
+    _, bucket, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return first + bucket, at[count[bucket] > 1]
+
+
 def bucket_hits(length: int):
     """Repeated windows of single blocks, as runs; rows come sorted by bucket, and whole buckets are refined together."""
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
-        bucket, name, key, size, start, copies = window_names(rows, length)
-        _, which = np.unique(refined(bucket.view(np.uint64), name.view(np.uint64)), return_inverse=True)
-        hit = (np.bincount(which, copies)[which] > 1) & (copies == 1)
-        key, size, start = key[hit], size[hit], start[hit]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (start[1:] != start[:-1] + 1)])[: len(key)]
-        return made(HITS, key[first], size[first], start[first], np.diff(np.r_[first, len(key)]))
+        parts = rows.column("bytes").to_pylist()
+        key, size, start, copies = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("key", "size", "start", "copies"))
+        sizes = np.array([len(p) for p in parts])
+        at = repeated(parts, copies, length)
+        part = np.searchsorted(np.cumsum(sizes), at, "right")
+        start = start[part] + at - (np.cumsum(sizes) - sizes)[part]
+        first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
+        return made(HITS, key[part][first], size[part][first], start[first], np.diff(np.r_[first, len(at)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -243,8 +280,8 @@ def first_pass(length: int):
             kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2, pa.binary(), pa.list_(of_edge)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("key"), b.column("size"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["id", "key", "size", "n_removed", "n_spans", "kept_sha256", "starts", "stops", "packed", "edges"],
+                [*(b.column(n) for n in ("id", "key", "size", "times")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["id", "key", "size", "times", "n_removed", "n_spans", "kept_sha256", "starts", "stops", "packed", "edges"],
             )
 
     return run
@@ -272,7 +309,7 @@ def last_pass(length: int):
 def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(1)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(map(pack.compress, b.column(3).to_pylist()), pa.binary())], names=["id", "key", "size", "packed"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(map(pack.compress, b.column(4).to_pylist()), pa.binary())], names=["id", "key", "size", "nth", "packed"])
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -283,33 +320,38 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(id, raw).alias("key"), F.octet_length(raw).cast("int").alias("size"), raw.cast("binary").alias("bytes"))
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.where(F.col("size") >= length).select("key", "size", "bytes").mapInArrow(whole_blocks(length), BLOCK_ROWS)
-    shared = found.groupBy("bucket").agg(F.sum("weight").alias("n")).where("n > 1").select("bucket")
-    left = written(found.join(shared, "bucket", "left_semi").drop("weight"), "suffix-shared")
+    shared = written(found.groupBy("bucket").agg(F.sum("weight").alias("n")).where("n > 1"), "suffix-buckets")
+    left = written(join_cut(found, shared.select("bucket"), shared, ["bucket"], ["key", "start"]).drop("weight"), "suffix-shared")
     mark = F.xxhash64("key", "size", "start")
-    same = left.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("sample"))
+    same = written(left.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("sample")), "suffix-blocks")
     single = same.where("n = 1").select("bucket").distinct().withColumn("open", F.lit(True))
-    same = same.join(single, "bucket", "left")
-    status = F.when(F.col("n") == 1, SINGLE).when(F.col("open") & (mark == F.col("sample")), SAMPLE).otherwise(REPEATED)
-    judged_rows = left.join(same, ["bucket", "block"]).select("key", "size", "start", "count", status.alias("status"), F.when(status != REPEATED, F.col("bucket")).otherwise(0).alias("bucket"))
-    of_doc = judged_rows.groupBy("key", "size").agg(F.collect_list(F.struct("start", "count", "status", "bucket")).alias("b"))
-    of_doc = of_doc.select("key", "size", F.col("b.start").alias("at"), F.col("b.count").alias("count"), F.col("b.status").alias("status"), F.col("b.bucket").alias("bucket"))
-    joined = rows.mapInArrow(packed_rows, f"id {kind}, key bigint, size int, packed binary").join(of_doc, ["key", "size"], "left")
+    named = join_cut(same.withColumnRenamed("n", "times"), single, shared, ["bucket"], ["block"], "left")
+    status = F.when(F.col("times") == 1, SINGLE).when(F.col("open") & (mark == F.col("sample")), SAMPLE).otherwise(REPEATED)
+    judged_rows = join_cut(left, named, same, ["bucket", "block"], ["key", "start"])
+    judged_rows = judged_rows.select("key", "size", F.struct("start", "count", status.alias("status"), F.when(status != REPEATED, F.col("bucket")).otherwise(0).alias("bucket")).alias("b"))
+    # Repeated rows have one key: a set holds their blocks once, and n tells how many rows there are.
+    of_doc = judged_rows.groupBy("key", "size").agg(F.collect_set("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    of_doc = written(of_doc.select("key", "size", (F.col("n") / F.size("b")).cast("long").alias("n"), *(F.col(f"b.{c}").alias(c if c != "start" else "at") for c in ("start", "count", "status", "bucket"))), "suffix-found")
+    packed = rows.withColumn("nth", F.monotonically_increasing_id()).select("id", "key", "size", "nth", "bytes").mapInArrow(packed_rows, f"id {kind}, key bigint, size int, nth bigint, packed binary")
+    joined = join_cut(packed, of_doc.withColumnRenamed("n", "times"), of_doc, ["key", "size"], ["nth"], "left").drop("nth")
     edge = "packed binary, edges array<struct<bucket:bigint,start:int,copies:int,bytes:binary>>"
-    first = written(joined.mapInArrow(first_pass(length), f"id {kind}, key bigint, size int, {RESULT}, {edge}"), "suffix-first")
+    first = written(joined.mapInArrow(first_pass(length), f"id {kind}, key bigint, size int, times bigint, {RESULT}, {edge}"), "suffix-first")
 
-    edges = first.select("key", "size", F.explode("edges").alias("e")).select("key", "size", "e.*")
-    hot = written(edges.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS).select("bucket"), "suffix-hot")
+    edges = first.select("key", "size", "times", F.explode("edges").alias("e")).select("key", "size", "times", "e.*")
+    edges = edges.where("times = 1").unionByName(edges.where("times > 1").dropDuplicates(["bucket", "key", "size", "start"])).drop("times")
+    hot = written(edges.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > BUCKET_BYTES).select("bucket"), "suffix-hot")
     n_hot = hot.count()
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = partitions(docs)
     cool = edges if not n_hot else edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_anti")
     hits = cool.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "size", "start").mapInArrow(bucket_hits(length), HITS)
     if n_hot:
         windows = edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_semi").mapInArrow(window_rows(length), WINDOW_ROWS)
-        again = windows.groupBy("bucket", "name").agg(F.sum("copies").alias("n")).where("n > 1").select("bucket", "name")
-        more = windows.where("copies = 1").join(again, ["bucket", "name"], "left_semi").select("key", "size", "start", F.lit(1).alias("count"))
+        again = written(windows.groupBy("bucket", "name").agg(F.sum("copies").alias("n")).where("n > 1"), "suffix-windows")
+        more = join_cut(windows.where("copies = 1"), again.drop("n"), again, ["bucket", "name"], ["key", "start"]).select("key", "size", "start", F.lit(1).alias("count"))
         hits = hits.unionByName(more)
     hit = hits.groupBy("key", "size").agg(F.collect_list(F.struct("start", "count")).alias("b")).select("key", "size", F.col("b.start").alias("at"), F.col("b.count").alias("count"))
     known = first.where("packed is null").select("id", "size", *(x.split()[0] for x in RESULT.split(", ")))
+    # Only blocks that stand once keep a text open, and no block of repeated rows does, so here each key has one row.
     rest = first.where("packed is not null").drop("edges").join(hit, ["key", "size"], "left")
     rest = rest.select("id", "size", "packed", "starts", "stops", "at", "count").mapInArrow(last_pass(length), f"id {kind}, size int, {RESULT}")
     return known.unionByName(rest).select(F.col("id").alias(id), F.col("size").cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "starts", "stops")

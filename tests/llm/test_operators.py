@@ -61,18 +61,47 @@ def test_suffix(docs, length):
     assert got == want
 
 
-@pytest.mark.parametrize("rows", [20_000, 0])
-def test_suffix_edges(spark, monkeypatch, rows):
+@pytest.mark.parametrize("size", [1 << 21, 0])
+def test_suffix_edges(spark, monkeypatch, size):
     rng = np.random.default_rng(3)
     base = bytes(rng.integers(97, 101, 3000, np.uint8)).decode()
     texts = [base[:700], base[300:900] + "q" * 50, base[100:650], "aa" * 400, "x" + "ab" * 300 + "y", base[650:700] * 6, "p" * 199, "p" * 199, "w" * 200, "v" + "w" * 200, base[1000:3000], "é" * 150 + base[1500:1800]]
     monkeypatch.setattr(suffix, "PIECE", 512)
-    monkeypatch.setattr(suffix, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", size)
     want = [(i, *x) for i, x in enumerate(removed([t.encode() for t in texts], 200))]
     got = sorted(tuple(r)[:5] for r in suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
     assert got == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(1, 20), st.integers(0, 63))
+def test_refinement_of_buckets(texts, length, twice):
+    parts = [t.encode() for t in texts]
+    copies = np.array([1 + (twice >> i & 1) for i in range(len(parts))])
+    seen = Counter()
+    for p, c in zip(parts, copies, strict=True):
+        for i in range(len(p) - length + 1):
+            seen[p[i : i + length]] += int(c)
+    want, at = [], 0
+    for p, c in zip(parts, copies, strict=True):
+        want += [at + i for i in range(len(p) - length + 1) if c == 1 and seen[p[i : i + length]] > 1]
+        at += len(p)
+    assert suffix.repeated(parts, copies, length).tolist() == want
+
+
+def test_suffix_of_repeated_rows(spark, monkeypatch):
+    """Rows that repeat each other, and long runs, with keys cut from the second row on."""
+    from lexshelf.llm import common
+
+    monkeypatch.setattr(common, "COOL_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 1 << 20)
+    rng = np.random.default_rng(9)
+    base = bytes(rng.integers(97, 123, 2000, np.uint8)).decode()
+    rows = [(1, base)] * 40 + [(2, base[300:900])] * 7 + [(3, "x" * 30 + base[100:1500] + "y" * 30), (4, "z" * 4000), (4, "z" * 4000), (5, "z" * 900 + "!"), (6, None)]
+    got = Counter(tuple(r)[:5] for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect())
+    assert got == Counter((r[0], *x) for r, x in zip(rows, removed([(r[1] or "").encode() for r in rows], 200), strict=True))
+
+
 def test_suffix_pieces(monkeypatch):
     """Pieces of a long text hold every window once, and equal windows have one bucket wherever a text is cut."""
     monkeypatch.setattr(suffix, "PIECE", 512)
