@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +43,25 @@ def tag_offset(markup: Column, tag: str) -> Column:
     return F.octet_length(F.substring_index(markup, tag, 1)).cast("bigint")
 
 
+def fault_of(data: bytes) -> str | None:
+    """What is wrong with UTF-8 bytes (X1): they end inside a character, a continuation byte is missing, or a byte begins no character."""
+    try:
+        data.decode()
+        return None
+    except UnicodeDecodeError as e:
+        return {"unexpected end of data": "truncated", "invalid continuation byte": "continuation"}.get(e.reason, "lead")
+
+
+def utf8_fault(data: Column) -> Column:
+    """The first fault of each value's bytes, null for valid ones. Most rows are told valid by Spark itself."""
+
+    @F.pandas_udf("string")
+    def fault(bytes_: pd.Series) -> pd.Series:
+        return bytes_.map(lambda b: None if b is None else fault_of(bytes(b)))
+
+    return F.when(~F.is_valid_utf8(data.cast("string")), fault(data))
+
+
 def base_name(url: Column) -> Column:
     """Text after the last slash; null without one."""
     return F.when(F.instr(url, "/") > 0, F.substring_index(url, "/", -1))

@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexshelf.functions.text import decode_entities
+from lexshelf.functions.text import decode_entities, fault_of
 from lexshelf.schemas import BLOCKS, INITIAL, TITLES, conform
 from lexshelf.sources.parts import CHUNK_BYTES, ByteParts, read_chunks
 
 #: Marks of a block and of a stream's end, and the length of a mark, in bits.
 BLOCK_MARK, END_MARK, MARK_BITS = 0x314159265359, 0x177245385090, 48
-READ_BYTES = 1 << 20
+#: Bytes read at once, and the most bits that a block takes up: at 900,000 bytes it is never packed to more than this.
+READ_BYTES, MOST_BITS = 1 << 18, 8 * 1_100_000
 
 
 def marks(data: bytes, own: int) -> list[tuple[int, bool]]:
@@ -40,8 +41,8 @@ def marks(data: bytes, own: int) -> list[tuple[int, bool]]:
     return sorted(out)
 
 
-def scan_marks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """chunk (its first byte), bits, is_block: one task for each chunk."""
+def scan_marks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, start: int = 0, stop: int = -1) -> DataFrame:
+    """chunk (its first byte), bits, is_block of the marks that begin in the bytes from start up to stop: one task for each chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -49,7 +50,7 @@ def scan_marks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -
                 found = marks(content, length)
                 yield pd.DataFrame({"chunk": start, "bits": [8 * start + b for b, _ in found], "is_block": [k for _, k in found]})
 
-    return read_chunks(spark, path, chunk_bytes).mapInPandas(run, "chunk bigint, bits bigint, is_block boolean")
+    return read_chunks(spark, path, chunk_bytes, start, stop).mapInPandas(run, "chunk bigint, bits bigint, is_block boolean")
 
 
 def numbered(marked: DataFrame) -> DataFrame:
@@ -67,15 +68,17 @@ def numbered(marked: DataFrame) -> DataFrame:
     return inside.join(chunks, "chunk").select((F.col("before") + F.col("nth") - 1).alias("block_no"), F.col("bits").alias("block_start_bits"), F.coalesce("later", "next").alias("stop_bits"), "is_block")
 
 
-def find_blocks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """blocks, with stop_bits; index_state is INITIAL."""
-    found = numbered(scan_marks(spark, path, chunk_bytes)).where("is_block")
-    return found.select("block_no", "block_start_bits", F.lit(INITIAL).alias("index_state"), "stop_bits")
-
+def find_blocks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, after: tuple[int, int] | None = None, start: int = 0, stop: int = -1) -> DataFrame:
+    """blocks, with stop_bits; index_state is INITIAL.
 
-def resume_blocks(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Blocks that the catalog does not hold yet."""
-    return found.join(known.select("block_start_bits"), "block_start_bits", "left_anti").select(found.columns)
+    after (number and first bit of the last block that is known) begins the scan at that block's byte and finds the ones beyond it (B4);
+    start and stop bound the bytes that are scanned.
+    """
+    number, bits = after or (0, 8 * start)
+    marked = scan_marks(spark, path, chunk_bytes, bits // 8, stop).where(F.col("bits") >= bits)
+    found = numbered(marked).where("is_block").withColumn("block_no", F.col("block_no") + number)
+    found = found.where(F.col("block_no") > number) if after else found
+    return found.select("block_no", "block_start_bits", F.lit(INITIAL).alias("index_state"), "stop_bits")
 
 
 def pair_blocks(blocks: DataFrame, end_bits: int | None = None) -> DataFrame:
@@ -105,48 +108,65 @@ def decode(read, start: int, stop: int) -> bytes:
     return bz2.decompress(carve(read, [start], stop))
 
 
-def decode_on(dump: ByteParts, start: int) -> Iterator[bytes]:
-    """Decoded bytes of the block at bit start and of all that follow, one by one; marks are sought as it goes."""
+def decode_on(dump: ByteParts, start: int) -> Iterator[tuple[bytes, list[int]]]:
+    """Decoded bytes of the block at bit start and of all that follow, one by one; marks are sought as it goes.
+
+    A mark may stand inside a block by chance. A block that fails its checksum is therefore tried up to the marks after the next one as well; each
+    block comes with the marks that turned out to stand inside it.
+    """
     at, data, base, own = start, b"", start // 8, 0
     found: list[tuple[int, bool]] = []
-    while True:
-        while len(found) < 2 and base + len(data) < dump.size:
+
+    def sought(n: int) -> bool:
+        """Whether n more marks are known, after reading on for them."""
+        nonlocal data, own, found
+        while len(found) < n and base + len(data) < dump.size:
             data += dump.read(base + len(data), base + len(data) + READ_BYTES)
             last = base + len(data) >= dump.size
             fresh = marks(data[own:], len(data) - own if last else len(data) - own - 7)
             found += [(8 * (base + own) + b, k) for b, k in fresh if 8 * (base + own) + b >= at]
-            own = len(data) if last else len(data) - 7
-        if len(found) < 2 or not found:
-            return
-        (s, is_block), (stop, _) = found[0], found[1]
-        if is_block:
-            yield decode(lambda a, b: data[a - base : b - base], s, stop)
-        found = found[1:]
+            own = len(data) if last else max(len(data) - 7, 0)
+        return len(found) >= n
+
+    while sought(2):
+        n = 1
+        if found[0][1]:
+            while True:
+                try:
+                    decoded = decode(lambda a, b: data[a - base : b - base], found[0][0], found[n][0])
+                    break
+                except (OSError, ValueError, EOFError):
+                    n += 1
+                    if not sought(n + 1) or found[n][0] - found[0][0] > MOST_BITS:
+                        raise
+            yield decoded, [bits for bits, _ in found[1:n]]
+        found = found[n:]
         cut = found[0][0] // 8 - base
         at, data, base, own = found[0][0], data[cut:], base + cut, own - cut
 
 
+FOUND = "block_start_bits bigint, title_start_pos bigint, title string, fault string"
+
+
 def block_titles(blocks: DataFrame, path: str) -> DataFrame:
-    """titles of the pages whose ``<page>`` begins in each block (R3), and status rows with a null title for finished blocks.
+    """titles of the pages whose ``<page>`` begins in each block (R3), and status rows with a null title.
 
-    A head that runs over the block's end is completed from the following blocks.
+    A status row without a fault is a block that was read to its end, or a mark that stands inside such a block; one with a fault tells why a block could
+    not be read. A title with a fault held bytes that are no UTF-8. A head that runs over the block's end is completed from the following blocks.
     """
 
-    def heads(dump: ByteParts, start: int) -> Iterator[tuple[int, str]]:
+    def heads(dump: ByteParts, start: int) -> tuple[list[tuple[int, bytes]], list[int]]:
         following = decode_on(dump, start)
-        data = next(following)
-        own, at = len(data), 0
+        data, inside = next(following, (b"", []))
+        own, at, out = len(data), 0, []
 
         def grow() -> bool:
             nonlocal data
-            more = next(following, None)
-            data += more or b""
-            return more is not None
-
-        while True:
-            at = data.find(b"<", at)
-            if at < 0 or at >= own:
-                return
+            more, _ = next(following, (b"", []))
+            data += more
+            return bool(more)
+
+        while 0 <= (at := data.find(b"<", at)) < own:
             while len(data) < at + 7 and b"<page>".startswith(data[at : at + 6]) and grow():
                 pass
             if data[at : at + 6] == b"<page>" or data[at : at + 6] == b"<page ":
@@ -154,20 +174,23 @@ def block_titles(blocks: DataFrame, path: str) -> DataFrame:
                     pass
                 begin, leave = data.find(b"<title>", at), data.find(b"</page>", at)
                 if 0 <= begin < stop and (leave < 0 or stop < leave):
-                    yield at, data[begin + 7 : stop].decode("utf-8", "replace")
+                    out.append((at, data[begin + 7 : stop]))
             at += 1
+        return out, inside
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dump = ByteParts(path)
         for pdf in batches:
-            for start in pdf["block_start_bits"]:
+            for start in map(int, pdf["block_start_bits"]):
                 try:
-                    found = list(heads(dump, int(start)))
-                except (OSError, ValueError, EOFError):
-                    continue  # the block keeps its state, and a later run tries it again
-                yield pd.DataFrame({"block_start_bits": int(start), "title_start_pos": [-1, *(p for p, _ in found)], "title": [None, *(t for _, t in found)]})
-
-    found = blocks.select("block_start_bits").mapInPandas(run, "block_start_bits bigint, title_start_pos bigint, title string")
+                    found, inside = heads(dump, start)
+                except (OSError, ValueError, EOFError) as e:
+                    rows = [(start, -1, None, str(e) or type(e).__name__)]  # the block keeps its state, and a later run tries it again
+                else:
+                    rows = [(bits, -1, None, None) for bits in [start, *inside]] + [(start, p, t.decode("utf-8", "replace"), fault_of(t)) for p, t in found]
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in FOUND.split(", ")])
+
+    found = blocks.select("block_start_bits").mapInPandas(run, FOUND)
     return found.withColumn("title", decode_entities(F.col("title")))
 
 
@@ -176,7 +199,13 @@ def titles_only(found: DataFrame) -> DataFrame:
 
 
 def blocks_done(found: DataFrame) -> DataFrame:
-    return found.where("title is null").select("block_start_bits")
+    return found.where("title is null and fault is null").select("block_start_bits").distinct()
+
+
+def block_faults(found: DataFrame) -> DataFrame:
+    """block_start_bits and fault of the blocks that could not be read."""
+    failed = found.where("title is null and fault is not null").select("block_start_bits", "fault")
+    return failed.join(blocks_done(found), "block_start_bits", "left_anti")
 
 
 def fetch_markup(entries: DataFrame, path: str) -> DataFrame:
@@ -187,14 +216,14 @@ def fetch_markup(entries: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dump, now, data = ByteParts(path), None, b""
-        following: Iterator[bytes] = iter(())
+        following: Iterator[tuple[bytes, list[int]]] = iter(())
         for pdf in batches:
             values = []
             for start, pos in zip(pdf["block_start_bits"], pdf["title_start_pos"], strict=True):
                 if start != now:
                     now, data, following = start, b"", decode_on(dump, int(start))
                 seek = int(pos)
-                while (stop := data.find(b"</page>", seek)) < 0 and (more := next(following, None)) is not None:
+                while (stop := data.find(b"</page>", seek)) < 0 and (more := next(following, (b"", []))[0]):
                     seek = max(len(data) - 7, int(pos))
                     data += more
                 values.append(data[pos:stop].decode("utf-8", "replace") if stop >= 0 else None)

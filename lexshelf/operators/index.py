@@ -65,6 +65,11 @@ def is_complete(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.coalesce(F.bool_and(state_of(F.col("index_state")) == FINISHED), F.lit(False)).alias("complete"))
 
 
+def block_count(blocks: DataFrame) -> DataFrame:
+    """blocks and latest: how many there are, and the highest number."""
+    return blocks.agg(F.count(F.lit(1)).alias("blocks"), F.max("block_no").alias("latest"))
+
+
 def first_blocks(blocks: DataFrame, n: int) -> DataFrame:
     """Positions of the first n blocks by number."""
     return blocks.orderBy("block_no").limit(n).select("block_no", "block_start_bits")

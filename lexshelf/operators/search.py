@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows shown by the console and by the search box, and the mark of a console search.
@@ -31,12 +31,12 @@ def seek_regexp(titles: DataFrame, pattern: str, most: int = SEARCH_ROWS) -> Dat
     return capped(titles.where(F.col("title").rlike(rf"\A(?:{pattern})\z")).select("title"), most)
 
 
-def lookup(titles: DataFrame, title: str) -> DataFrame:
+def lookup(titles: DataFrame, title: str | Column) -> DataFrame:
     """Block and position of a title; no row if it is unknown (S10, K-7)."""
     return titles.where(F.col("title") == title).select("block_start_bits", "title_start_pos").limit(1)
 
 
-def fetch(pages: DataFrame, title: str) -> DataFrame:
+def fetch(pages: DataFrame, title: str | Column) -> DataFrame:
     """The page with that title; no row if it is unknown (Q3)."""
     return pages.where(F.col("title") == title).limit(1)
 

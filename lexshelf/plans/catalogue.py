@@ -16,8 +16,10 @@ from lexshelf.functions import text as X
 from lexshelf.operators import blocks as B
 from lexshelf.operators import index as I
 from lexshelf.operators import search as S
-from lexshelf.operators.pages import parse_pages
-from lexshelf.shared import shared_dir
+from lexshelf.operators.pages import broken_pages, parse_pages
+from lexshelf.plans import stages
+from lexshelf.shared import shared_dir, there, version_of
+from lexshelf.sources import parts as P
 from lexshelf.sources import records
 from lexshelf.sources.dump import read_dump
 from lexshelf.streaming.incremental import index_stream
@@ -87,24 +89,33 @@ def title_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select(F.col("block_start_bits").alias("page_id"), "title")
 
 
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted title index of pages as they are now: built and published once, then only read."""
+    home = f"{shared_dir(spark)}/titles-{version_of(spark, f'{sf_dir}/pages.parquet')}"
+    if not there(spark, f"{home}/sorted/_SUCCESS"):
+        titles(spark, sf_dir).write.mode("overwrite").parquet(f"{home}/titles")
+        stages.publish(spark, home)
+    return I.read_index(spark, f"{home}/sorted")
+
+
 @query(f"with {TITLES_SQL} select title from titles_v where title >= '{KEY}' order by title limit 50")
 def title_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek(titles(spark, sf_dir), KEY)
+    return S.seek(published(spark, sf_dir), KEY)
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title >= 'C' order by title limit 20")
 def title_seek_console(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search(titles(spark, sf_dir), titled(spark, sf_dir), "###C", "console")
+    return S.search(published(spark, sf_dir), titled(spark, sf_dir), "###C", "console")
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title >= ''")
 def title_seek_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek(titles(spark, sf_dir), "", 0)
+    return S.seek(published(spark, sf_dir), "", 0)
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title like '%e%' order by title limit 50")
 def title_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek_like(titles(spark, sf_dir), "%e%")
+    return S.seek_like(published(spark, sf_dir), "%e%")
 
 
 @query("select url as title from (select distinct url from pages) where url like '%!_%' escape '!' or url like '%p_ge%'")
@@ -115,21 +126,20 @@ def title_like_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TITLES_SQL} select title from titles_v where regexp_full_match(title, '{REGEXP}', 's') order by title limit 50")
 def title_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek_regexp(titles(spark, sf_dir), f"(?s){REGEXP}")
+    return S.seek_regexp(published(spark, sf_dir), f"(?s){REGEXP}")
 
 
 @query(f"with {TITLES_SQL} select page_id as block_start_bits, cast(0 as bigint) as title_start_pos from titles_v where title = (select min(title) from titles_v)")
 def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = titles(spark, sf_dir)
-    key = found.agg(F.min("title")).first()[0]
-    return S.lookup(found, key)
+    """The key is a scalar subquery, whose value reaches the scan of the index."""
+    found = published(spark, sf_dir)
+    return S.lookup(found, found.agg(F.min("title")).scalar())
 
 
 @query("select page_id, url, html from pages where page_id = 7")
 def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    key = pages.where("page_id = 7").select("url").first()[0]
-    return S.fetch(pages.withColumn("title", F.col("url")), key).drop("title")
+    pages = table(spark, sf_dir, "pages").withColumn("title", F.col("url"))
+    return S.fetch(pages, pages.where("page_id = 7").agg(F.min("title")).scalar()).drop("title")
 
 
 @query(
@@ -137,7 +147,7 @@ def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'like' as route, title from a union all select 'seek', title from b"""
 )
 def search_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, pages = titles(spark, sf_dir), titled(spark, sf_dir)
+    found, pages = published(spark, sf_dir), titled(spark, sf_dir)
     parts = [S.search(found, pages, t).select(F.lit(S.routed(t, "search")[0]).alias("route"), "title") for t in ("A%", "Q", "")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -174,7 +184,7 @@ def block_first_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {BLOCKS_SQL} select count(*) as blocks, max(block_no) as latest from blocks_v")
 def block_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).agg(F.count(F.lit(1)).alias("blocks"), F.max("block_no").alias("latest"))
+    return I.block_count(catalog(spark, sf_dir))
 
 
 @query("select page_id, cast(case when page_id % 3 = 0 then null else strlen(html) end as bigint) as content_length from pages")
@@ -231,9 +241,21 @@ def split_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select("block_no", *(c.alias(n) for n, c in parts.items()))
 
 
-@query("select cast(sum(strlen(html)) as bigint) as total_length, count(*) as part_count from pages")
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' html as seven numbered parts, listed."""
+    folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    P.write_parts(table(spark, sf_dir, "pages").select((F.col("page_id") % 7).cast("int").alias("part"), F.col("html").alias("value")), folder, "dump")
+    return P.list_parts(spark, folder, "dump")
+
+
+@query("select cast(sum(strlen(html) + 1) as bigint) as total_length, count(distinct page_id % 7) as part_count from pages")
 def dump_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").agg(F.sum(F.octet_length("html")).cast("bigint").alias("total_length"), F.count(F.lit(1)).alias("part_count"))
+    return P.parts_summary(part_files(spark, sf_dir))
+
+
+@query("select 'dump.' || max(page_id % 7) as name, cast(max(page_id % 7) as integer) as part from pages")
+def last_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.last_part(part_files(spark, sf_dir)).select(F.substring_index("path", "/", -1).alias("name"), "part")
 
 
 @query(
@@ -255,14 +277,34 @@ def record_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.from_records(records.to_records(catalog(spark, sf_dir)))
 
 
-@query("select doc_id, cast(strlen(text) as bigint) as n_bytes, cast(length(text) as bigint) as n_points from documents")
-def utf8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.char_length("text").cast("bigint").alias("n_points"))
+@query(f"with {BLOCKS_SQL} select * from blocks_v")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog written as record files, whose partial last records are left out in reading."""
+    return records.read_record_files(spark, record_folder(spark, sf_dir))
+
+
+@query(f"with {BLOCKS_SQL}, last_v as (select max(block_no) as block_no from blocks_v group by block_no // 40) select b.* from blocks_v b join last_v using (block_no)")
+def last_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.last_record(spark, record_folder(spark, sf_dir))
 
 
-@query("select p_partkey, p_name from part where p_name >= 'm' order by p_name, p_partkey limit 50")
+def record_folder(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    records.write_record_files(catalog(spark, sf_dir), path, 40)
+    return path
+
+
+@query("select doc_id, cast(strlen(text) as bigint) as n_bytes, case when strlen(right(text, 1)) > 1 then 'truncated' end as fault from documents")
+def utf8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of texts whose last byte is cut off."""
+    raw = F.col("text").cast("binary")
+    cut = F.substr(raw, F.lit(1), F.octet_length(raw) - 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), X.utf8_fault(cut).alias("fault"))
+
+
+@query("select title from (select distinct p_name as title from part) where title >= 'm' order by title limit 50")
 def part_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_name >= 'm'").orderBy("p_name", "p_partkey").limit(50).select("p_partkey", "p_name")
+    return S.seek(table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct(), "m")
 
 
 @query("select block_no, case when seconds = 0 then null else block_no / seconds end as rate from (select page_id as block_no, page_id % 5 as seconds from pages)")
@@ -275,16 +317,29 @@ def bz2_dump(spark: SparkSession, sf_dir: str) -> str:
     """All pages as a .bz2 dump of several files in the session's shared folder, written by Spark."""
     pages = table(spark, sf_dir, "pages").select("page_id", X.title_of(F.col("html")).alias("title"), "html").where("title is not null")
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    row = F.concat(F.lit("<page><title>"), safe(F.col("title")), F.lit("</title><id>"), F.col("page_id").cast("string"), F.lit("</id><revision><id>"), (F.col("page_id") * 10).cast("string"), F.lit("</id><text>"), safe(F.col("html")), F.lit("</text></revision></page>"))
+    number, comment = F.col("page_id").cast("string"), F.concat(F.lit("<comment>"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("note "), F.col("page_id").cast("string"))).otherwise(""), F.lit("</comment>"))
+    row = F.concat(
+        F.lit("<page><title>"), safe(F.col("title")), F.lit("</title><id>"), number, F.lit("</id><revision><id>"), (F.col("page_id") * 10).cast("string"), F.lit("</id>"),
+        F.when(F.col("page_id") % 3 == 2, "").otherwise(comment), F.lit("<text>"), safe(F.col("html")), F.lit("</text></revision></page>"),
+    )
     path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
     pages.select(row).write.option("lineSep", "\n").option("compression", "bzip2").text(path)
     return path
 
 
-@query(f"with {TITLES_SQL} select title, page_id as id, page_id * 10 as rev_id from raw_v")
+@query(f"with {TITLES_SQL} select title, page_id as id, page_id * 10 as rev_id, case page_id % 3 when 0 then 'note ' || page_id when 1 then '' end as comment from raw_v")
 def dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as a compressed dump, read back in parallel and parsed."""
-    return parse_pages(read_dump(spark, bz2_dump(spark, sf_dir))).select("title", "id", "rev_id")
+    return parse_pages(read_dump(spark, bz2_dump(spark, sf_dir))).select("title", "id", "rev_id", "comment")
+
+
+@query("select page_id from pages where page_id % 4 < 2")
+def pages_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of pages without a title, with an element left open, or in order, those that cannot be parsed."""
+    kind, number = F.col("page_id") % 4, F.col("page_id").cast("string")
+    value = F.concat(F.lit("<page>"), F.when(kind == 0, "").otherwise("<title>t</title>"), F.when(kind == 1, "<open>").otherwise(""), F.lit("<id>"), number, F.lit("</id>"))
+    found = broken_pages(table(spark, sf_dir, "pages").select(value.alias("value")))
+    return found.select(F.regexp_extract("value", "<id>([0-9]+)</id>", 1).cast("bigint").alias("page_id"))
 
 
 @query(f"with {TITLES_SQL} select title from titles_v")
@@ -302,15 +357,80 @@ def block_lane_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_pages(B.fetch_markup(found, path)).select("title", "id", "text")
 
 
-@query()
+@query(f"with {TITLES_SQL} select count(*) as pages, true as marks_in_order from raw_v")
 def magic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.find_blocks(spark, bz2_dump(spark, sf_dir), 1 << 20)
+    """Blocks sought in small chunks: they decode to as many pages as were written, and their positions rise with their numbers."""
+    path = bz2_dump(spark, sf_dir)
+    blocks = B.find_blocks(spark, path, 1 << 16)
+    pages = B.titles_only(B.block_titles(blocks, path)).agg(F.count(F.lit(1)).alias("pages"))
+    following = B.pair_blocks(blocks.drop("stop_bits")).agg(F.bool_and(F.coalesce("stop_bits", F.col("block_start_bits") + 1) > F.col("block_start_bits")).alias("marks_in_order"))
+    return pages.crossJoin(following)  # one row each
+
+
+@query("select true as same_blocks")
+def scan_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that goes on from a block in the middle finds the blocks that a whole scan finds after it."""
+    path = bz2_dump(spark, sf_dir)
+    every = B.as_catalog(B.find_blocks(spark, path))
+    last = every.orderBy(F.abs(F.col("block_no") - 2), "block_no").first()  # one row
+    rest = B.as_catalog(B.find_blocks(spark, path, after=(last["block_no"], last["block_start_bits"])))
+    both = rest.withColumn("n", F.lit(1)).unionByName(every.where(F.col("block_no") > last["block_no"]).withColumn("n", F.lit(-1)))
+    return both.groupBy("block_no", "block_start_bits").agg(F.sum("n").alias("n")).agg(F.coalesce(F.bool_and(F.col("n") == 0), F.lit(True)).alias("same_blocks"))
+
+
+def build_home(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    path = bz2_dump(spark, sf_dir)
+    return path, f"{path}-home"
+
+
+@query(f"with {TITLES_SQL} select true as complete, count(*) as titles from titles_v")
+def stage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged build, broken off twice, scanned in slices: the runs together do the whole work once."""
+    path, home = build_home(spark, sf_dir)
+    stages.scan(spark, path, home, 1 << 16, most_scans=2)
+    stages.build(spark, path, home, most_blocks=1, scan_bytes=1 << 16)
+    return stages.build(spark, path, home, scan_bytes=1 << 16).select("complete", "titles")
+
+
+@query(f"with {TITLES_SQL} select title from titles_v where title >= '{KEY}' order by title limit 50")
+def search_after_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search on the index while it is half built, and then on the whole one, which holds all titles that the half had."""
+    path, home = build_home(spark, sf_dir)
+    stages.build(spark, path, home, most_blocks=1)
+    half = S.seek(I.read_index(spark, f"{home}/titles"), KEY, 0)
+    early = {r["title"] for r in half.limit(50).collect()}
+    stages.build(spark, path, home)
+    stages.publish(spark, home)
+    whole = I.read_index(spark, f"{home}/sorted")
+    kept = whole.where(F.col("title").isin(sorted(early))).agg((F.count(F.lit(1)) == len(early)).alias("kept"))
+    return S.seek(whole.join(F.broadcast(kept.where("kept")), how="cross"), KEY)
+
+
+@query("select * from (values ('color', 'red'), ('limit', '50'), ('source', 'b')) t(key, value)")
+def build_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties over their defaults, one of them set twice."""
+    path = f"{shared_dir(spark)}/properties-{uuid.uuid4().hex}"
+    for value in ("a", "b"):
+        stages.set_property(spark, path, "source", value)
+    return stages.properties(spark, path, {"color": "red", "limit": "50", "source": "none"})
 
 
 @query(f"with {TITLES_SQL} select title from titles_v")
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The title index built by a stream over the dump's files, run twice on one checkpoint."""
+    return I.read_index(spark, f"{streamed(spark, sf_dir)}-index").select("title")
+
+
+@query(f"with {TITLES_SQL} select title, title as fetched from titles_v where title >= 'C'")
+def stream_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched by the positions that the stream wrote, each with its index entry's title."""
+    path = streamed(spark, sf_dir)
+    found = B.fetch_markup(I.read_index(spark, f"{path}-index").where("title >= 'C'"), path)
+    return found.select("title", X.title_of(F.col("value")).alias("fetched"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> str:
     path = bz2_dump(spark, sf_dir)
     for _ in range(2):
-        index_stream(spark, path, f"{path}-index", f"{path}-state").awaitTermination()
-    return I.read_index(spark, f"{path}-index").select("title")
+        index_stream(spark, path, f"{path}-index", f"{path}-state", 2).awaitTermination()
+    return path

@@ -11,13 +11,15 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshelf.operators.blocks import as_catalog, find_blocks, resume_blocks
-from lexshelf.operators.index import is_complete, read_index, with_events, write_index
+from lexshelf.operators.blocks import as_catalog, find_blocks
+from lexshelf.operators.index import is_complete, latest_block, read_index, with_events, write_index
 from lexshelf.schemas import BLOCKS
 from lexshelf.sources.parts import ByteParts
 from lexshelf.streaming.incremental import index_blocks, table_or_none
 
 EVENTS = "block_no bigint, index_state int, seq bigint"
+#: Bytes of a dump that are scanned between two commits of the catalog.
+SCAN_BYTES = 1 << 38
 
 
 def properties(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> DataFrame:
@@ -41,10 +43,26 @@ def catalog(spark: SparkSession, home: str) -> DataFrame:
     return with_events(table_or_none(spark, f"{home}/blocks", BLOCKS), table_or_none(spark, f"{home}/events", EVENTS))
 
 
-def build(spark: SparkSession, dump: str, home: str, expected_bytes: int | None = None, most_blocks: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, dump: str, home: str, scan_bytes: int = SCAN_BYTES, most_scans: int | None = None) -> None:
+    """Finds the dump's blocks, scan_bytes at a time (R2): each time the scan goes on from the last block that the catalog holds."""
+    size, done = ByteParts(dump).size, 0
+    while most_scans is None or done < most_scans:
+        known = {r.key: r.value for r in properties(spark, f"{home}/properties").collect()}
+        scanned = int(known.get("scanned", 0))
+        if scanned >= size:
+            return
+        last = latest_block(table_or_none(spark, f"{home}/blocks", BLOCKS)).first()  # one row
+        stop = min(scanned + scan_bytes, size)
+        as_catalog(find_blocks(spark, dump, after=last and (last["block_no"], last["block_start_bits"]), stop=stop)).write.mode("append").parquet(f"{home}/blocks")
+        set_property(spark, f"{home}/properties", "scanned", str(stop))
+        done += 1
+
+
+def build(spark: SparkSession, dump: str, home: str, expected_bytes: int | None = None, most_blocks: int | None = None, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """Brings the tables under home up to date with a dump and returns complete, blocks and titles; run it again to go on.
 
-    expected_bytes is checked before anything else (K-14); most_blocks limits the blocks indexed by this run.
+    expected_bytes is checked before anything else (K-14); most_blocks limits the blocks indexed by this run. A run may be broken off at any point (R7):
+    what it committed stays and can be searched (R6), and the next run goes on from there.
     """
     size = ByteParts(dump).size
     if expected_bytes is not None and size != expected_bytes:
@@ -55,10 +73,7 @@ def build(spark: SparkSession, dump: str, home: str, expected_bytes: int | None
         raise ValueError("the dump has changed since this index was begun: use another home")
     if "source" not in known:
         set_property(spark, f"{home}/properties", "source", now)
-    if "blocks_found" not in known:
-        fresh = resume_blocks(as_catalog(find_blocks(spark, dump)), catalog(spark, home))
-        fresh.write.mode("append").parquet(f"{home}/blocks")
-        set_property(spark, f"{home}/properties", "blocks_found", "true")
+    scan(spark, dump, home, scan_bytes)
     todo = catalog(spark, home)
     if most_blocks is not None:
         todo = todo.where("index_state = 0").orderBy("block_no").limit(most_blocks)

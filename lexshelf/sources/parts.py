@@ -54,10 +54,12 @@ class Chunk(InputPartition):
 class ChunkReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.chunk = options["path"], int(options.get("chunkBytes", CHUNK_BYTES))
+        self.start, self.stop = int(options.get("startByte", 0)), int(options.get("stopByte", -1))
 
     def partitions(self) -> list[Chunk]:
         size = ByteParts(self.path).size
-        return [Chunk(s, min(s + self.chunk, size)) for s in range(0, size, self.chunk)] or [Chunk(0, 0)]
+        stop = min(self.stop, size) if self.stop >= 0 else size
+        return [Chunk(s, min(s + self.chunk, stop)) for s in range(self.start, stop, self.chunk)] or [Chunk(0, 0)]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
         if partition.stop > partition.start:
@@ -78,9 +80,27 @@ class DumpChunks(DataSource):
         return ChunkReader(self.options)
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, start: int = 0, stop: int = -1) -> DataFrame:
+    """Chunks of the bytes from start up to stop (-1: the end)."""
     spark.dataSource.register(DumpChunks)
-    return spark.read.format("dump_chunks").option("path", path).option("chunkBytes", chunk_bytes).load()
+    return spark.read.format("dump_chunks").option("path", path).option("chunkBytes", chunk_bytes).option("startByte", start).option("stopByte", stop).load()
+
+
+def write_parts(rows: DataFrame, folder: str, base: str) -> None:
+    """Writes rows (part INT, value STRING) as the files ``<base>.<part>`` under folder, a line for each row.
+
+    Spark writes the files, one for each part; the driver renames them, which moves no data.
+    """
+    spark, staged = rows.sparkSession, f"{folder}/_parts"
+    rows.repartition("part").write.mode("overwrite").partitionBy("part").text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.listStatus(hadoop(staged)):
+        name = part.getPath().getName()
+        if name.startswith("part="):
+            file = next(f.getPath() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(file, hadoop(f"{folder}/{base}.{name.removeprefix('part=')}"))
+    fs.delete(hadoop(staged), True)
 
 
 def list_parts(spark: SparkSession, folder: str, base: str) -> DataFrame:

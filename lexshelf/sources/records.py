@@ -19,6 +19,12 @@ def from_records(records: DataFrame) -> DataFrame:
     return records.select(decode_long(F.col("record"), 1).alias("block_no"), decode_long(F.col("record"), 9).alias("block_start_bits"), decode_long(F.col("record"), 17, 4).cast("int").alias("index_state"))
 
 
+def write_record_files(blocks: DataFrame, path: str, per_file: int = 4096) -> None:
+    """Files of per_file blocks each, by number (C17). Spark's writer ends each with a line feed, which readers leave out as a partial record."""
+    rows = to_records(blocks).groupBy(F.floor(F.col("block_no") / per_file).alias("file")).agg(F.sort_array(F.collect_list(F.struct("block_no", F.hex("record").alias("record")))).alias("r"))
+    rows.select(F.unhex(F.array_join("r.record", "")).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_record_files(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of all files under path. A partial record at a file's end is left out; a file is read whole by a task, so write files of a bounded size."""
     files = spark.read.format("binaryFile").load(path).select("path", "content", F.floor(F.col("length") / RECORD_BYTES).cast("int").alias("n")).where("n > 0")

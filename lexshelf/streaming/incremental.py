@@ -6,16 +6,23 @@ unique in the index by an anti-join, not by state kept in memory for every title
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from lexshelf.operators.blocks import as_catalog, block_titles, blocks_done, titles_only
+from lexshelf.operators.blocks import as_catalog, block_titles, blocks_done, find_blocks, titles_only
 from lexshelf.operators.index import first_wins, new_titles, pending, with_events
-from lexshelf.operators.pages import titles_of
 from lexshelf.schemas import FINISHED, TITLES
-from lexshelf.sources.dump import stream_dump
+from lexshelf.shared import there
+from lexshelf.sources.parts import ByteParts
+
+#: The index by batches, and what a stream of files has.
+BATCHES = T.StructType([*TITLES.fields, T.StructField("batch", T.IntegerType())])
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 class Progress(StreamingQueryListener):
@@ -40,25 +47,38 @@ class Progress(StreamingQueryListener):
 
 def table_or_none(spark: SparkSession, path: str, schema) -> DataFrame:
     """The Parquet table at path, empty before the first write."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if there(spark, path) else spark.createDataFrame([], schema)
+
+
+def ranges_of(dump: ByteParts, names: set[str]) -> list[tuple[int, int]]:
+    """First byte and end of each run of neighbouring files with these names."""
+    out, at = [], 0
+    for path, size in dump.files:
+        if path.rpartition("/")[2] in names:
+            out = [*out[:-1], (out[-1][0], at + size)] if out and out[-1][1] == at else [*out, (at, at + size)]
+        at += size
+    return out
 
 
 def index_stream(spark: SparkSession, folder: str, index_path: str, checkpoint: str, files_per_trigger: int = 16) -> StreamingQuery:
-    """Adds the titles of new dump files in folder to the index and ends when all are read; rerun it to go on.
+    """Adds the titles of new dump files in folder to the index and ends when all are read; rerun it, or stop() it and rerun it, to go on.
 
-    Text rows have no offsets, so a batch's number stands in for the block and 0 for the place.
+    The folder's files in order of name are one run of bytes, to which positions refer (fetch_markup takes them with the folder), so new files must have later
+    names. The stream itself carries names only; blocks are sought and decoded in the ranges of the batch's files.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        titles = titles_of(batch).select(F.lit(number).cast("bigint").alias("block_start_bits"), F.lit(0).cast("bigint").alias("title_start_pos"), "title")
-        known = table_or_none(batch.sparkSession, index_path, TITLES).where(F.col("block_start_bits") < number)
-        fresh = new_titles(titles, known)
+        own = batch.sparkSession
+        names = {r["path"].rpartition("/")[2] for r in batch.select("path").collect()}  # files_per_trigger rows
+        blocks = [find_blocks(own, folder, start=a, stop=b) for a, b in ranges_of(ByteParts(folder), names)]
+        if not blocks:
+            return
+        titles = titles_only(block_titles(reduce(DataFrame.unionByName, blocks), folder))
+        known = table_or_none(own, index_path, BATCHES).where(F.col("batch") < number)
         # One folder for each batch, overwritten if the batch is repeated.
-        fresh.write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        new_titles(titles, known).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
 
-    rows = stream_dump(spark, folder, files_per_trigger)
+    rows = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path")
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -85,7 +85,9 @@ def test_marks_and_decoding(spark, dump, blocks):
     assert three == b"".join(B.decode(read, r.block_start_bits, r.stop_bits) for r in got[2:5])
     whole = B.find_blocks(spark, str(dump[0] / "whole.xml.bz2"), 1 << 20)
     assert sorted(whole.collect()) == got
-    assert B.resume_blocks(blocks, blocks.where("block_no < 5")).count() == len(got) - 5
+    assert sorted(B.find_blocks(spark, str(dump[0] / "cut.xml.bz2"), 50_000, after=(4, starts[4])).collect()) == got[5:]
+    first = sorted(B.find_blocks(spark, str(dump[0] / "cut.xml.bz2"), 50_000, stop=starts[7] // 8).collect())
+    assert [r.block_start_bits for r in first] == starts[:7]
     plain = B.as_catalog(blocks)
     assert sorted(r.stop_bits for r in B.pair_blocks(plain, got[-1].stop_bits).collect()) == [r.stop_bits for r in got]
 
@@ -96,7 +98,41 @@ def test_many_streams(spark, tmp_path):
     got = sorted(B.find_blocks(spark, str(tmp_path / "m.bz2"), 37).collect())
     data = (tmp_path / "m.bz2").read_bytes()
     assert [B.decode(lambda a, b: data[a:b], r.block_start_bits, r.stop_bits) for r in got] == texts
-    assert b"".join(B.decode_on(parts.ByteParts(str(tmp_path / "m.bz2")), 32)) == b"".join(texts)
+    assert b"".join(d for d, _ in B.decode_on(parts.ByteParts(str(tmp_path / "m.bz2")), 32)) == b"".join(texts)
+
+
+def test_marks_inside_blocks(dump, blocks, monkeypatch):
+    """A mark that stands inside a block by chance is passed over, and told with the block."""
+    starts = sorted(r.block_start_bits for r in blocks.collect())
+    false, plain = starts[2] + 12345, B.marks
+
+    def seen(data: bytes, own: int) -> list[tuple[int, bool]]:
+        base = 8 * dump[2].find(data[:64])
+        extra = [(false - base, True)] if 0 <= false - base < 8 * own else []
+        return sorted([*plain(data, own), *extra])
+
+    monkeypatch.setattr(B, "marks", seen)
+    got = list(B.decode_on(parts.ByteParts(str(dump[0] / "whole.xml.bz2")), 32))
+    assert b"".join(d for d, _ in got) == dump[1].encode() and [m for _, m in got if m] == [[false]]
+    with pytest.raises((OSError, ValueError, EOFError)):
+        list(B.decode_on(parts.ByteParts(str(dump[0] / "whole.xml.bz2")), false))
+
+
+def test_faults_are_told(spark, dump, blocks, tmp_path):
+    """A block that cannot be decoded has a row with its fault and keeps its state; all others are indexed."""
+    starts = sorted(r.block_start_bits for r in blocks.collect())
+    data = bytearray(dump[2])
+    for i in range(6):
+        data[starts[5] // 8 + 300 + i] ^= 0x5A
+    (tmp_path / "bad.bz2").write_bytes(data)
+    found = B.block_titles(B.find_blocks(spark, str(tmp_path / "bad.bz2")), str(tmp_path / "bad.bz2")).cache()
+    faults = {r.block_start_bits: r.fault for r in B.block_faults(found).collect()}
+    assert starts[5] in faults and all(faults.values()) and set(faults) <= {starts[4], starts[5]}  # a head may run on from the block before
+    assert {r.block_start_bits for r in B.blocks_done(found).collect()} == set(starts) - set(faults)
+    raw = b"<page><title>cut \xe6\xbc</title></page><page><title>odd \xff</title></page><page><title>ok</title></page>"
+    (tmp_path / "utf.bz2").write_bytes(bz2.compress(raw))
+    found = B.block_titles(B.find_blocks(spark, str(tmp_path / "utf.bz2")), str(tmp_path / "utf.bz2"))
+    assert {r.title: r.fault for r in found.where("title is not null").collect()} == {"cut \ufffd": "truncated", "odd \ufffd": "lead", "ok": None}
 
 
 def test_block_titles_and_fetch(spark, dump, blocks):
@@ -148,7 +184,25 @@ def test_stream(spark, dump, tmp_path):
     run()
     (folder / "b.bz2").write_bytes(bz2.compress(b"<page><title>Page &amp; 007 \xc3\xa9</title></page><page><title>New</title></page>"))
     run()
-    assert I.read_index(spark, index).count() == 121
+    found = I.read_index(spark, index)
+    assert found.count() == 121
+    fetched = {r.title: r.value for r in B.fetch_markup(found, str(folder)).collect()}
+    assert len(fetched) == 121 and all(f"<title>{t.replace('&', '&amp;')}</title>" in v for t, v in fetched.items())
+
+
+def test_stopped_stream_goes_on(spark, dump, tmp_path):
+    """A query that is stopped between batches has committed whole batches, and another run adds the rest."""
+    folder, index, state = tmp_path / "in", str(tmp_path / "index"), str(tmp_path / "state")
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"{i}.bz2").write_bytes(bz2.compress(b"".join(b"<page><title>T%d.%d</title></page>" % (i, j) for j in range(5))))
+    query = index_stream(spark, str(folder), index, state, 1)
+    while query.isActive and not table_or_none(spark, index, TITLES).count():
+        time.sleep(0.05)
+    query.stop()
+    assert table_or_none(spark, index, TITLES).count() % 5 == 0
+    index_stream(spark, str(folder), index, state, 1).awaitTermination()
+    assert I.read_index(spark, index).select("title").distinct().count() == I.read_index(spark, index).count() == 30
 
 
 def test_parts(spark, dump):
@@ -202,6 +256,40 @@ def test_index_rules(spark, tmp_path):
     assert "GreaterThanOrEqual(title,Z)" in S.seek(index, "Z")._jdf.queryExecution().toString()
 
 
+def test_seek_skips_row_groups(spark, tmp_path):
+    """A seek and a lookup on the sorted index read only the row groups that may hold their titles."""
+    rows = spark.range(200_000).select(F.col("id").alias("block_start_bits"), F.lit(0).cast("bigint").alias("title_start_pos"), F.format_string("t%06d", "id").alias("title"))
+    I.write_index(rows, str(tmp_path / "i"), 8)
+    index = I.read_index(spark, str(tmp_path / "i"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for found, want in ((S.seek(index, "t199990", 0), 10), (S.lookup(index, "t012345"), 1), (S.lookup(index, index.agg(F.max("title")).scalar()), 1)):
+            assert found.count() == want and len(found.collect()) == want
+            plan = found._jdf.queryExecution().executedPlan()
+            scan = plan.collectLeaves().head()
+            assert "PushedFilters: [IsNotNull(title), " in plan.toString() or "ScalarSubquery" in plan.toString() or "scalar-subquery" in plan.toString()
+            found._jdf.queryExecution().executedPlan().executeCollectPublic()
+            assert scan.metrics().apply("numOutputRows").value() <= 3 * 25_000 + 1000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_numbered_parts(spark, tmp_path):
+    parts.write_parts(spark.createDataFrame([(0, "a"), (10, "b"), (10, "c"), (9, "d")], "part int, value string"), str(tmp_path), "x")
+    assert {p.name: p.read_text() for p in tmp_path.iterdir() if p.name.startswith("x.")} == {"x.0": "a\n", "x.9": "d\n", "x.10": "b\nc\n"} or (tmp_path / "x.10").read_text() == "c\nb\n"
+    assert parts.last_part(parts.list_parts(spark, str(tmp_path), "x")).first().part == 10
+
+
+def test_scan_in_slices(spark, dump, tmp_path):
+    """R2: a scan that is broken off goes on from the last block of the catalog."""
+    path, home = str(dump[0] / "cut.xml.bz2"), str(tmp_path / "home")
+    stages.scan(spark, path, home, 200_000, most_scans=2)
+    some = table_or_none(spark, f"{home}/blocks", BLOCKS).count()
+    stages.scan(spark, path, home, 200_000)
+    got = table_or_none(spark, f"{home}/blocks", BLOCKS).orderBy("block_no").collect()
+    assert 0 < some < len(got) and got == B.as_catalog(B.find_blocks(spark, path)).orderBy("block_no").collect()
+
+
 def test_routes():
     assert S.routed("###Foo", "console") == ("seek", "Foo", 20) and S.routed("Foo", "console") == ("fetch", "Foo", 1)
     assert S.routed("", "search")[0] == S.routed(None, "search")[0] == "nothing"
