@@ -5,8 +5,9 @@ texts parted by ``<|im_sep|>``. Control strings inside roles and texts are escap
 that the output can be split at control strings and read back without loss.
 
 Defined cases: a null text or role is the empty string, null turns come first, equal turns are ordered by role
-and then text, repeated rows are turns of their own, rows with a null conversation id form one conversation, an
-empty table gives no rows, and columns that are not named are ignored.
+and then text, repeated rows are turns of their own, rows with a null conversation id form one conversation, a conversation is one string of the
+result, however long (its turns are sorted with spilling and joined in one task, in linear time), an empty table gives no rows, and columns that are
+not named are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import text_of
+from lexshelf.llm.common import let, text_of
 
 OPEN, SEP, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 #: Strings that must not stand in a text, and their codes. The escape character comes first.
@@ -37,7 +38,7 @@ def unescape(c: Column, codes=CODES) -> Column:
 def format_conversations(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant"
 ) -> DataFrame:
-    """conv, formatted STRING, loss_spans ARRAY<STRUCT<start, stop>> (code points of formatted).
+    """conv, formatted STRING, loss_spans ARRAY<STRUCT<start, stop, begin, upto>> (code points and bytes of formatted).
 
     One shuffle by conversation serves the windows and both aggregations. Offsets are running sums over the
     sorted turns, so the work is linear in a conversation's length.
@@ -50,23 +51,22 @@ def format_conversations(
         (~F.col("r").eqNullSafe(F.lag("r").over(order))).alias("first"),
         (~F.col("r").eqNullSafe(F.lead("r").over(order))).alias("last"),
     )
-    head = F.when(F.col("first"), F.length("r") + len(OPEN) + 1).otherwise(len(SEP)).cast("long")
-    size = head + F.length("x") + F.when(F.col("last"), len(CLOSE)).otherwise(0)
+    head = lambda length: F.when(F.col("first"), length("r") + len(OPEN) + 1).otherwise(len(SEP)).cast("long")
+    size = lambda length: head(length) + length("x") + F.when(F.col("last"), len(CLOSE)).otherwise(0)
     so_far = Window.partitionBy("c").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("size", size).select(
-        "c", "n", "r", "x", F.sum(F.col("first").cast("int")).over(so_far).alias("run"), (F.sum("size").over(so_far) - F.col("size") + head).alias("at")
-    )
-    merged = rows.groupBy("c", "run", "r").agg(F.sort_array(F.collect_list(F.struct("n", "x", "at"))).alias("texts"))
+    place = lambda length: F.sum(size(length)).over(so_far) - size(length) + head(length)
+    rows = rows.select("c", "n", "r", "x", F.sum(F.col("first").cast("int")).over(so_far).alias("run"), place(F.length).alias("at"), place(F.octet_length).alias("begin"))
+    merged = rows.groupBy("c", "run", "r").agg(F.sort_array(F.collect_list(F.struct("n", "x", "at", "begin"))).alias("texts"))
     block = F.concat(F.lit(OPEN), "r", F.lit("\n"), F.array_join(F.col("texts.x"), SEP), F.lit(CLOSE))
-    spans = F.transform("texts", lambda s: F.struct(s.at.alias("start"), (s.at + F.length(s.x)).alias("stop")))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    spans = F.transform("texts", lambda s: F.struct(s.at.alias("start"), (s.at + F.length(s.x)).alias("stop"), s.begin.alias("begin"), (s.begin + F.octet_length(s.x)).alias("upto")))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,begin:bigint,upto:bigint>>")
     blocks = merged.select("c", "run", block.alias("block"), F.when(F.col("r") == loss_role, spans).otherwise(none).alias("spans"))
     whole = blocks.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("run", "block", "spans"))).alias("b"))
     return whole.select(F.col("c").alias(conv), F.array_join("b.block", "").alias("formatted"), F.flatten("b.spans").alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """conv, turns ARRAY<STRUCT<role, text>> and loss_texts ARRAY<STRING>, from the formatted strings alone."""
+    """conv, turns ARRAY<STRUCT<role, text>> and loss_texts ARRAY<STRING>: the turns from the formatted strings alone, the loss texts from these and loss_spans."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda b: b != "")
 
     def turns_of(block: Column) -> Column:
@@ -75,7 +75,9 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
         body = F.substr(frame, F.length(role) + 2)
         return F.transform(F.split(body, r"<\|im_sep\|>", -1), lambda x: F.struct(unescape(role, ROLE_CODES).alias("role"), unescape(x).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s.start + 1).cast("int"), (s.stop - s.start).cast("int"))))
+    # Bytes are reached at once, where code points would have to be counted from the start for each span.
+    text = lambda raw, s: F.substr(raw, (s.begin + 1).cast("int"), (s.upto - s.begin).cast("int")).cast("string")
+    loss = let(F.col("formatted").cast("binary"), lambda raw: F.transform("loss_spans", lambda s: unescape(text(raw, s))))
     return formatted.select(conv, "formatted", F.flatten(F.transform(blocks, turns_of)).alias("turns"), loss.alias("loss_texts"))
 
 

@@ -4,8 +4,9 @@ A sketch is the sorted array of the k least distinct hashes of a text's word shi
 cutting again, and estimate resemblance, containment and the number of distinct shingles.
 
 Defined cases: a null text is empty, a text of no words has an empty sketch (two such have resemblance 1, one
-and another 0), fewer words than a shingle are one shingle, repeated rows are followed by each other in order of id
-and text, a null id comes first, an empty table gives no rows, and columns that are not named are ignored.
+and another 0), fewer words than a shingle are one shingle, a text is sketched whole (its shingles' hashes, 8 bytes for each word, are held by one task),
+repeated rows are followed by each other in order of id and text, rows of one id or of none share a range, which is sorted with spilling, a null id comes
+first, an empty table gives no rows, and columns that are not named are ignored. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ def followed_by(rows: DataFrame, id: str, order: list[str], values: list[str]) -
 
 
 def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and, from the same sketches, n_shingles (estimated distinct ones
+    of the text), in_edited and in_next (the share of them that the edited text and the next document have).
 
     The edited text has its second half replaced by the beginning of the next document.
     """
@@ -113,4 +115,5 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text", k
     return found.select(
         F.col("id").alias(id), "n_chars", "edited_sha256", text_of_sketch(F.col("a")).alias("fingerprint"), text_of_sketch(F.col("b")).alias("edited_fingerprint"),
         resemblance(F.col("a"), F.col("b"), k).alias("near_edited"), resemblance(F.col("a"), F.col("c"), k).alias("near_next"),
+        distinct_shingles(F.col("a"), k).alias("n_shingles"), containment(F.col("a"), F.col("b"), k).alias("in_edited"), containment(F.col("a"), F.col("c"), k).alias("in_next"),
     )

@@ -7,8 +7,8 @@ over its rows and the weights are averaged, so nothing but one vector of fixed s
 A score is the sparse dot product of a text's features with that vector, through the logistic function.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; labels that are null,
-other than 0 and 1, or contradict each other for one id are left out; with no usable labels every score is 0.5; repeated
-rows are scored each for itself; an empty table gives no rows; columns that are not named are ignored.
+other than 0 and 1, or contradict each other for one id are left out; with no usable labels every score is 0.5; a text is scored whole, however
+long; repeated rows are scored each for itself and train once; an empty table gives no rows; columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexshelf.llm.common import text_of
 
 BITS = 18
-#: Bound on the labelled rows that are used for training.
-TRAIN_ROWS = 24_000
+#: Bounds on what is used for training: labelled rows, bytes of a text among them, and bytes of texts in one shard.
+TRAIN_ROWS, TRAIN_TEXT, SHARD_BYTES = 24_000, 1 << 20, 32 << 20
 SHARDS, EPOCHS = 6, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 1.0
 
@@ -84,12 +84,14 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", usable: Column | None = None, most: int = TRAIN_ROWS) -> np.ndarray:
-    """The weights. Of the labelled ids, the most with the smallest hashes are used: about that many rows in all."""
+    """The weights. Of the labelled ids, the most with the smallest hashes are used, in order of these as far as SHARD_BYTES goes in each shard; texts
+    of more than TRAIN_TEXT bytes are scored, but teach nothing.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull())
     known = known if usable is None else known.where(usable)
     known = known.groupBy(F.col(id).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select("id", "y")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).where(F.octet_length("text") <= TRAIN_TEXT).join(F.broadcast(chosen), "id")
     rows = rows.withColumn("rank", F.xxhash64("id", "text")).withColumn("shard", F.pmod("rank", F.lit(SHARDS)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,6 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
 
     # A copy of one text may stand in very many rows: each distinct id trains once.
     rows = rows.groupBy("shard", "id").agg(F.min(F.struct("rank", "text", "y")).alias("r")).select("shard", "r.*")
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("bytes", so_far).where(F.col("bytes") <= SHARD_BYTES).drop("bytes")
     found = rows.groupBy("shard").applyInPandas(one, "slot bigint, w double").groupBy("slot").agg((F.sum("w") / SHARDS).alias("w")).toPandas()
     w = np.zeros(1 << BITS, np.float32)
     w[found["slot"].to_numpy(np.int64)] = found["w"].to_numpy()

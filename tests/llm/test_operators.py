@@ -200,8 +200,28 @@ def test_fingerprints(docs):
         x, y = shingles(x), shingles(y)
         return len(x & y) / len(x | y) if x | y else 1.0
 
+    def sketch(t):
+        """Bottom-k of chained XXH64: each word from its bytes, each shingle from its words' hashes."""
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        words, hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(t)], set()
+        for run in ([words[i : i + 5] for i in range(len(words) - 4)] if len(words) > 4 else [words] if words else []):
+            h = 42
+            for w in run:
+                h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+            hashes.add(signed(h))
+        return sorted(hashes)[: fingerprint.K]
+
+    text = lambda s: "".join(f"{h & (1 << 64) - 1:016x}".upper() for h in s)
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint) for r in got) == Counter((i, text(sketch(a)), text(sketch(e))) for i, a, e, _ in sets)
+
+    def inside(x, y):
+        x, y = shingles(x), shingles(y)
+        return len(x & y) / len(x) if x else 1.0
+
     by = {r.doc_id: r for r in got}
     for i, a, edited, b in sets:
+        if i != 106 and len(shingles(a) | shingles(edited) | shingles(b)) <= fingerprint.K:
+            assert (by[i].n_shingles, by[i].in_edited, by[i].in_next) == pytest.approx((len(shingles(a)), inside(a, edited), inside(a, b)))
         if i != 106:
             assert abs(by[i].near_edited - like(a, edited)) < 0.17 and abs(by[i].near_next - like(a, b)) < 0.17
             if len(shingles(a) | shingles(edited)) <= fingerprint.K:
@@ -524,6 +544,42 @@ def test_quality(docs, spark):
     assert float(weights[0]) + sum(float(weights[s]) for s in quality.ngrams(x)) / np.sqrt(14) == pytest.approx(float(weights[slots] @ values), abs=1e-6)
 
 
+def test_training_is_plain_ftrl():
+    """train() against the update rule written out one coordinate at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(" ".join(f"w{rng.integers(0, 30)}" for _ in range(rng.integers(0, 12))).encode(), int(rng.integers(0, 2))) for _ in range(60)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for text, y in rows * quality.EPOCHS:
+        counts = Counter(quality.ngrams(text).tolist())
+        total = sum(counts.values())
+        x = {0: 1.0, **{i: c / math.sqrt(total) for i, c in counts.items()}}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+            z[i], n[i] = z[i] + g - sigma * w[i], n[i] + g * g
+    got = quality.train(rows)
+    assert {int(i): float(got[i]) for i in np.flatnonzero(got)} == pytest.approx({i: weight(i) for i in z if weight(i)})
+
+
+def test_training_is_bounded_in_bytes(spark, monkeypatch):
+    """Long texts are scored, and teach nothing; a shard takes no more bytes than it may."""
+    monkeypatch.setattr(quality, "TRAIN_TEXT", 200)
+    rows = [(i, ("good fine " if i % 2 else "junk spam ") * 8) for i in range(60)] + [(100, "junk spam " * 50_000), (101, "fine junk " * 60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1), (101, 1)], "doc_id int, quality int")
+    w = quality.fit(df, labels)
+    assert (w == quality.fit(df.where("doc_id < 100"), labels.where("doc_id < 100"))).all() and w.any()
+    assert {r.doc_id: r.score > 0.5 for r in quality.score(df, w).collect()}[100] is False
+    monkeypatch.setattr(quality, "SHARD_BYTES", 0)
+    assert not quality.fit(df, labels).any()
+
+
 @pytest.mark.parametrize("size", [1 << 25, 1000])
 def test_warc(spark, monkeypatch, size):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
@@ -657,14 +713,23 @@ def test_chat(spark):
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for r in formatted.collect():
         assert r.formatted.count(chat.OPEN) == r.formatted.count(chat.CLOSE)
+        assert all(r.formatted[s.start : s.stop] == r.formatted.encode()[s.begin : s.upto].decode() for s in r.loss_spans)
     one = {r.conv_id: r.formatted for r in formatted.collect()}[1]
     assert one.count("<|im_start|>assistant") == 1
 
 
+def test_one_long_conversation(spark):
+    rows = spark.range(60_000).select(F.lit(None).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    got = chat.digests(chat.format_conversations(rows)).collect()
+    said = [("user" if i % 3 == 0 else "assistant", f"t{i}") for i in range(60_000)]
+    loss = "".join(t for r, t in said if r == "assistant")
+    assert [(r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got] == [(60_000, hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())]
+
+
 def test_empty_tables(nothing, spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     for made in (
-        suffix.remove_repeats(nothing), secrets.scan(nothing), fingerprint.fingerprint_edits(nothing), mixing.mix(nothing), packing.pack(nothing, queries.vocabulary()), simhash.dedup(nothing), simhash.keep_one(nothing),
+        suffix.remove_repeats(nothing), secrets.scan(nothing), secrets.redact(nothing, secrets.scan(nothing)), mixing.apply_mix(nothing), quality.keep_good(nothing, quality.fit(nothing, labels)), fingerprint.fingerprint_edits(nothing), mixing.mix(nothing), packing.pack(nothing, queries.vocabulary()), simhash.dedup(nothing), simhash.keep_one(nothing),
         quality.score(nothing, quality.fit(nothing, labels)), warc.archive_pages(nothing.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))),
         chat.digests(chat.format_conversations(nothing.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.col("source").alias("role"), "text"))),
     ):
