@@ -1,4 +1,8 @@
-"""A training-data pipeline in five stages, each of which writes Parquet for the next one."""
+"""A training-data pipeline in five stages, each of which writes Parquet for the next one.
+
+Nulls, empty and long texts, ties, repeated rows and further columns are handled as the stage's operator says: a null text counts as empty everywhere, a null
+id comes last among near copies, repeated rows count once in near-dedup, and an empty table passes all stages as one.
+"""
 
 from __future__ import annotations
 
