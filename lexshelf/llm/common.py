@@ -56,6 +56,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame, size: int, share: int) -> int:
+    """Tasks for work that must be dealt by hand: the session's shuffle partitions, or as many more as leave share of the size to each."""
+    return max(partitions(df), -(-size // share))
+
+
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """keys and cuts, the number of parts to cut each into: those with more rows (n) than an eighth of a partition's share.
 

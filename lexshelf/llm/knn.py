@@ -24,12 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import written
+from lexshelf.llm.common import tasks_for, written
 
 #: Most pivots, rows of the sample that places them, and rings of a cell: 16,384 summaries at most reach the driver.
 MOST_PIVOTS, SAMPLE_ROWS, RINGS = 4096, 20_000, 4
 #: Bytes of one chunk's vectors, and scores (8 bytes each) that are held at once.
 CHUNK_BYTES, SCORES = 16 << 20, 1 << 22
+#: Chunks that are dealt to one task.
+TASK_CHUNKS = 8
 #: Stands for a null id inside.
 NO_ID = -(1 << 63)
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -157,7 +159,7 @@ def top_k(rows: DataFrame, queries: Column, id: str = "vec_id", vector: str = "e
     summary = written(ringed.groupBy("ring").agg(F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / per_chunk).cast("int").alias("chunks")), "knn-rings")
     cuts = F.broadcast(summary.select("ring", "chunks"))  # RINGS rows for each pivot
     data = ringed.drop("radius").join(cuts, "ring").select("ring", F.pmod(F.xxhash64("row"), "chunks").cast("int").alias("chunk"), "row", "id", "query", "v")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks_for(rows, summary.agg(F.sum("chunks")).first()[0], TASK_CHUNKS)
 
     def meet(data: DataFrame, asked: DataFrame) -> DataFrame:
         columns = ["ring", "chunk", "side", "row", "id", "v"]

@@ -29,11 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import join_cut, partitions, small, text_of, written
+from lexshelf.llm.common import join_cut, small, tasks_for, text_of, written
 
 SEED = 42
 #: Members that a shard's tree is meant to hold, and rows of one chunk of a shard; a task compares two chunks at most.
 TREE_ROWS, CHUNK = 1024, 4096
+#: Rows of shards that are dealt to one task.
+TASK_ROWS = 1 << 18
 #: Large shards (16 bytes each) up to which their table is broadcast.
 BROADCAST_SHARDS = 500_000
 #: What a row does in a task, and queries that walk a tree together.
@@ -140,8 +142,8 @@ def shard_links(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np
 
     rows: node, key (the shard), fp (ARRAY<LONG>) and what accept(frame, i, j) needs to confirm pairs.
     """
-    n = partitions(rows)
     rows = written(rows, "shard-rows")
+    n = tasks_for(rows, rows.count(), TASK_ROWS)
     large = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("cuts")), "shard-large")
     n_large = large.count()
     cut = rows.join(small(large, n_large, BROADCAST_SHARDS), "key", "left")

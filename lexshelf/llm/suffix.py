@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import join_cut, partitions, small, text_of, written
+from lexshelf.llm.common import join_cut, small, tasks_for, text_of, written
 
 LENGTH = 200
 #: Bytes of text that are handled at once; a long text is cut into pieces that overlap by length - 1.
@@ -40,6 +40,8 @@ BYTE_NAMES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64
 REPEATED, SINGLE, SAMPLE = 1, 2, 3
 #: Bytes of edge blocks of one bucket that a task refines at once (with about 80 bytes of work space for each).
 BUCKET_BYTES = 2 << 20
+#: Bytes of edge blocks that are dealt to one task.
+TASK_BYTES = 32 << 20
 #: Names of larger buckets (8 bytes each) up to which they are broadcast.
 BROADCAST_BUCKETS = 1_000_000
 #: Low bits of a q-gram's name that give way to its place, to tell which q-gram of a window is the least.
@@ -339,9 +341,10 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
 
     edges = first.select("key", "size", "times", F.explode("edges").alias("e")).select("key", "size", "times", "e.*")
     edges = edges.where("times = 1").unionByName(edges.where("times > 1").dropDuplicates(["bucket", "key", "size", "start"])).drop("times")
-    hot = written(edges.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > BUCKET_BYTES).select("bucket"), "suffix-hot")
+    of_bucket = written(edges.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")), "suffix-edges")
+    hot = of_bucket.where(F.col("n") > BUCKET_BYTES).select("bucket")
     n_hot = hot.count()
-    tasks = partitions(docs)
+    tasks = tasks_for(docs, int(of_bucket.agg(F.sum("n")).first()[0] or 0), TASK_BYTES)
     cool = edges if not n_hot else edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_anti")
     hits = cool.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "size", "start").mapInArrow(bucket_hits(length), HITS)
     if n_hot:
