@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lexshelf.shared import removed
+
 #: Bytes that a chunk shows beyond its own: a 48-bit mark that begins in its last byte needs seven bytes.
 AHEAD = 7
 CHUNK_BYTES = 16 << 20
@@ -114,6 +116,13 @@ def parts_summary(parts: DataFrame) -> DataFrame:
     return parts.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_length"), F.count(F.lit(1)).alias("part_count"))
 
 
+def drop_last_part(spark: SparkSession, folder: str, base: str) -> None:
+    """Deletes the part with the highest number, if there is any."""
+    found = last_part(list_parts(spark, folder, base)).first()
+    if found["path"]:
+        removed(spark, found["path"])
+
+
 def last_part(parts: DataFrame) -> DataFrame:
     """The part with the highest number, by number."""
     return parts.agg(F.max_by("path", "part").alias("path"), F.max("part").alias("part"))
