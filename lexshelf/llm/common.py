@@ -61,13 +61,15 @@ def tasks_for(df: DataFrame, size: int, share: int) -> int:
     return max(partitions(df), -(-size // share))
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """keys and cuts, the number of parts to cut each into: those with more rows (n) than an eighth of a partition's share.
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """keys and cuts, the number of parts to cut each into: those with more rows (n) than an eighth of a partition's share. None if there are none.
 
     There are fewer than HOT_KEYS for each shuffle partition, so they can be broadcast, whatever the table's size. counts should be a written table.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    limit = max(COOL_ROWS, int(total) // (HOT_KEYS * partitions(counts)))
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    limit = max(COOL_ROWS, int(total or 0) // (HOT_KEYS * partitions(counts)))
+    if (most or 0) <= limit:
+        return None
     return F.broadcast(counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("cuts_of_key")))
 
 
@@ -76,6 +78,8 @@ def join_cut(rows: DataFrame, few: DataFrame, counts: DataFrame, keys: list[str]
     tasks by a hash of the columns by, and few's row goes to each of these. counts: keys and n, their rows. Keys are never null.
     """
     hot = hot_keys(counts, keys, n)
+    if hot is None:
+        return rows.join(few, keys, how)
     dealt = rows.join(hot, keys, "left").withColumn("cut_of_key", F.coalesce(F.pmod(F.xxhash64(*by), F.col("cuts_of_key")).cast("int"), F.lit(0))).drop("cuts_of_key")
     copied = few.join(hot, keys, "left").withColumn("cut_of_key", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts_of_key"), F.lit(1)) - 1))).drop("cuts_of_key")
     return dealt.join(copied, [*keys, "cut_of_key"], how).drop("cut_of_key")
