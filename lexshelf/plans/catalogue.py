@@ -18,6 +18,7 @@ from lexshelf.operators import index as I
 from lexshelf.operators import search as S
 from lexshelf.operators.pages import broken_pages, parse_pages
 from lexshelf.plans import stages
+from lexshelf.schemas import BLOCKS, create_table
 from lexshelf.shared import shared_dir, there, version_of
 from lexshelf.sources import parts as P
 from lexshelf.sources import records
@@ -357,12 +358,23 @@ def block_lane_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_pages(B.fetch_markup(found, path)).select("title", "id", "text")
 
 
-@query(f"with {TITLES_SQL} select count(*) as pages, true as marks_in_order from raw_v")
+@query(f"with {BLOCKS_SQL} select * from blocks_v")
+def catalog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog inserted in two batches into a table that is created twice, and read back from it."""
+    name, path = f"blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        create_table(spark, name, BLOCKS, path)
+        catalog(spark, sf_dir).where(F.col("block_no") % 2 == half).write.insertInto(name)
+    return spark.table(name)
+
+
+@query(f"with {TITLES_SQL} select count(*) as pages, true as marks_in_order, cast(0 as bigint) as unread from raw_v")
 def magic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks sought in small chunks: they decode to as many pages as were written, and their positions rise with their numbers."""
     path = bz2_dump(spark, sf_dir)
     blocks = B.find_blocks(spark, path, 1 << 16)
-    pages = B.titles_only(B.block_titles(blocks, path)).agg(F.count(F.lit(1)).alias("pages"))
+    found = B.block_titles(blocks, path)
+    pages = B.titles_only(found).agg(F.count(F.lit(1)).alias("pages")).crossJoin(B.block_faults(found).agg(F.count(F.lit(1)).alias("unread")))
     following = B.pair_blocks(blocks.drop("stop_bits")).agg(F.bool_and(F.coalesce("stop_bits", F.col("block_start_bits") + 1) > F.col("block_start_bits")).alias("marks_in_order"))
     return pages.crossJoin(following)  # one row each
 
@@ -383,13 +395,15 @@ def build_home(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return path, f"{path}-home"
 
 
-@query(f"with {TITLES_SQL} select true as complete, count(*) as titles from titles_v")
+@query(f"with {TITLES_SQL} select true as complete, count(*) as titles, true as blocks_once from titles_v")
 def stage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staged build, broken off twice, scanned in slices: the runs together do the whole work once."""
     path, home = build_home(spark, sf_dir)
     stages.scan(spark, path, home, 1 << 16, most_scans=2)
     stages.build(spark, path, home, most_blocks=1, scan_bytes=1 << 16)
-    return stages.build(spark, path, home, scan_bytes=1 << 16).select("complete", "titles")
+    built = stages.build(spark, path, home, scan_bytes=1 << 16).select("complete", "titles", "blocks")
+    every = B.find_blocks(spark, path).join(stages.catalog(spark, home).select("block_no", "block_start_bits"), ["block_no", "block_start_bits"])
+    return built.crossJoin(every.agg(F.count(F.lit(1)).alias("n"))).select("complete", "titles", (F.col("n") == F.col("blocks")).alias("blocks_once"))  # one row each
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title >= '{KEY}' order by title limit 50")

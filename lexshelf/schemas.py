@@ -30,6 +30,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def create_table(spark, name: str, schema: T.StructType) -> None:
-    """CREATE TABLE IF NOT EXISTS ... USING parquet."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}) USING parquet")
+def create_table(spark, name: str, schema: T.StructType, location: str | None = None) -> None:
+    """CREATE TABLE IF NOT EXISTS ... USING parquet (S1, S6), in the warehouse or at a location."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet" + (f" LOCATION '{location}'" if location else ""))
