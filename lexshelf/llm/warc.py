@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lexshelf.llm.common import join_cut, scratch_path, written
 
 LEAST = 1000
-#: Bytes of the records of one archive file, and payload bytes that a reader hands on at once.
+#: Compressed bytes of one archive file, and payload bytes that a reader hands on at once.
 ARCHIVE_BYTES, BATCH_BYTES = 32 << 20, 2 << 20
 #: Digests (60 bytes each) up to which the table of shared payloads is broadcast.
 BROADCAST_DIGESTS = 200_000
@@ -73,7 +73,7 @@ def version_block(version: int, name: str) -> bytes:
 
 def filed(records: Iterator[Callable[[int, str], bytes]], name: str, head: Callable[[str], bytes] | None = None) -> Iterator[pa.RecordBatch]:
     """value BINARY: whole archives. Each record is made from its offset and its file's name, and head opens a file."""
-    parts, at, size, n = [], 0, 0, 0
+    parts, at, n = [], 0, 0
 
     def row() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
@@ -81,12 +81,11 @@ def filed(records: Iterator[Callable[[int, str], bytes]], name: str, head: Calla
     for record in records:
         file = f"{name}-{n}"
         for make in ([lambda _, f: head(f)] if head and not parts else []) + [record]:
-            raw = make(at, file)
-            parts.append(gzip.compress(raw, 1, mtime=0))
-            at, size = at + len(parts[-1]), size + len(raw)
-        if size >= ARCHIVE_BYTES:
+            parts.append(gzip.compress(make(at, file), 1, mtime=0))
+            at += len(parts[-1])
+        if at >= ARCHIVE_BYTES:
             yield row()
-            parts, at, size, n = [], 0, 0, n + 1
+            parts, at, n = [], 0, n + 1
     if parts:
         yield row()
 
