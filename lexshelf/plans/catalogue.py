@@ -399,9 +399,10 @@ def build_home(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def stage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staged build, broken off twice, scanned in slices: the runs together do the whole work once."""
     path, home = build_home(spark, sf_dir)
-    stages.scan(spark, path, home, 1 << 16, most_scans=2)
-    stages.build(spark, path, home, most_blocks=1, scan_bytes=1 << 16)
-    built = stages.build(spark, path, home, scan_bytes=1 << 16).select("complete", "titles", "blocks")
+    part = P.ByteParts(path).size // 3 + 1
+    stages.scan(spark, path, home, part, most_scans=1)
+    stages.build(spark, path, home, most_blocks=1, scan_bytes=part)
+    built = stages.build(spark, path, home, scan_bytes=part).select("complete", "titles", "blocks")
     every = B.find_blocks(spark, path).join(stages.catalog(spark, home).select("block_no", "block_start_bits"), ["block_no", "block_start_bits"])
     return built.crossJoin(every.agg(F.count(F.lit(1)).alias("n"))).select("complete", "titles", (F.col("n") == F.col("blocks")).alias("blocks_once"))  # one row each
 
