@@ -38,6 +38,8 @@ TREE_ROWS, CHUNK = 1024, 4096
 TASK_ROWS = 1 << 18
 #: Large shards (16 bytes each) up to which their table is broadcast.
 BROADCAST_SHARDS = 500_000
+#: Rows to drop (about 80 bytes each in memory) up to which they are broadcast.
+BROADCAST_DROPPED = 1_000_000
 #: What a row does in a task, and queries that walk a tree together.
 TREE, QUERY, BOTH, TOGETHER = 0, 1, 2, 1024
 
@@ -51,12 +53,17 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s, SEED) for s in runs], np.uint64)
 
 
+#: The bits of each byte value.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
 def majority(hashes: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half the hashes."""
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = hashes[i : i + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    """A bit is 1 if it is set in over half the hashes. The values of each byte are counted first, if that is less work."""
+    parts = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
+    if len(parts) < 512:
+        ones = np.unpackbits(parts, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    else:
+        ones = (np.array([np.bincount(b, minlength=256) for b in parts.T]) @ BYTE_BITS).ravel()
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
@@ -288,11 +295,10 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
     return join_cut(rows.withColumn("nth", F.monotonically_increasing_id()), named, nodes, ["fp"], ["nth"]).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: near_texts: minima that serve as shard keys, minima of the signature that confirms pairs (two bits of each), and words of 64 bits in
-#: a fingerprint. The signature's estimate of a similarity of 0.8 has a standard deviation of 0.015.
-KEYS, SIGNATURE, WORDS = 6, 1024, 4
-SALTS = np.random.default_rng(9).integers(1, 1 << 64, (KEYS + WORDS, 2), np.uint64) | np.uint64(1)
-LINES = np.random.default_rng(10).integers(1, 1 << 32, (2, SIGNATURE), np.uint64).astype(np.uint32) | np.uint32(1)
+#: near_texts: minima that serve as shard keys, bins (as a power of two) of the signature that confirms pairs, and words of 64 bits in
+#: a fingerprint. The signature's estimate of a similarity of 0.8 has a standard deviation of 0.015, and less for short texts.
+KEYS, BINS, WORDS = 6, 10, 4
+SALTS = np.random.default_rng(9).integers(1, 1 << 64, (KEYS + WORDS + 1, 2), np.uint64) | np.uint64(1)
 
 
 def remixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -303,22 +309,22 @@ def remixed(h: np.ndarray, i: int) -> np.ndarray:
 
 def set_features(text: bytes, width: int) -> tuple[int, list[int], bytes, list[int]]:
     """Name, fingerprint, signature and shard keys of a text's set of shingles."""
-    words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in text.lower().split()), np.uint64)
+    words = np.array([xxhash.xxh64_intdigest(w, SEED) for w in text.lower().split()], np.uint64)
     n = max(len(words) - width + 1, 1) if len(words) else 0
     h = np.zeros(n, np.uint64)
     for i in range(min(width, len(words))):
         h = remixed(h + words[i : i + n], 0)
-    h = np.unique(h)
+    h.sort()
+    h = h[np.r_[True, h[1:] != h[:-1]]] if n else h
     name = xxhash.xxh64_intdigest(h.tobytes(), SEED)
     if not len(h):
-        return name - (1 << 63), [0] * WORDS, bytes(SIGNATURE // 4), [0]
-    least, short = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32), (h >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(h), 64):
-        lines = short[i : i + 64, None] * LINES[0]
-        lines += LINES[1]
-        np.minimum(least, lines.min(axis=0), out=least)
-    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
-    signature = (bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6).tobytes()
+        return name - (1 << 63), [0] * WORDS, bytes(3 << BINS >> 3), [0]
+    bins = h >> np.uint64(64 - BINS)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])  # hashes are sorted: these are the least of their bins
+    told = (remixed(h[first], KEYS + WORDS) >> np.uint64(62)).astype(np.uint8)
+    planes = np.zeros((3, 1 << BINS), np.uint8)  # whether a bin holds any hash, and two bits of its least
+    planes[:, bins[first].astype(np.int64)] = np.ones_like(told), told & 1, told >> 1
+    signature = np.packbits(planes).tobytes()
     fp = np.array([majority(remixed(h, KEYS + i)) for i in range(WORDS)], np.uint64).view(np.int64)
     keys = np.array([remixed(h, i).min() for i in range(KEYS)], np.uint64).view(np.int64)
     return name - (1 << 63), fp.tolist(), signature, keys.tolist()
@@ -329,7 +335,7 @@ def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
 
     Texts whose shingle sets are about similarity alike (Jaccard) share one of KEYS minima but for 0.2**6 of them; those
     that share one meet in a shard. There, BK-trees over WORDS x 64-bit fingerprints propose pairs within radius (four standard
-    deviations beyond the mean distance at 0.8), and signatures of SIGNATURE minima confirm them. At such a radius edges tell
+    deviations beyond the mean distance at 0.8), and signatures of the least hash in each of 2**BINS bins confirm them. At such a radius edges tell
     groups from each other, but not unrelated texts, which are all about as far from any pivot; the minima keep these apart.
     """
 
@@ -340,21 +346,23 @@ def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["row", "id", "row_key", "name", "fp", "signature", "keys"])
 
     def alike(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        every = np.frombuffer(b"".join(pdf["signature"]), np.uint64).reshape(len(pdf), -1)
+        """Bins whose least hash is the same, of those that either text has; a quarter of the others look the same in two bits."""
+        every = np.frombuffer(b"".join(pdf["signature"]), np.uint64).reshape(len(pdf), 3, -1)
+        count = lambda bits: np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         out = np.zeros(len(i), bool)
-        for s in range(0, len(i), 1 << 16):
-            differ = every[i[s : s + (1 << 16)]] ^ every[j[s : s + (1 << 16)]]
-            differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
-            same = 1 - np.bitwise_count(differ).sum(axis=1, dtype=np.int64) / SIGNATURE
-            out[s : s + (1 << 16)] = (same - 1 / 4) / (1 - 1 / 4) >= similarity
+        for s in range(0, len(i), 1 << 15):
+            a, b = every[i[s : s + (1 << 15)]], every[j[s : s + (1 << 15)]]
+            both = a[:, 0] & b[:, 0]
+            equal = both & ~(a[:, 1] ^ b[:, 1]) & ~(a[:, 2] ^ b[:, 2])
+            out[s : s + (1 << 15)] = (4 * count(equal) - count(both)) / 3 >= similarity * count(a[:, 0] | b[:, 0])
         return out
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), row_key(id, text).alias("row_key"), text_of(text).alias("text"))
     rows = written(rows.mapInArrow(run, "row long, id long, row_key binary, name long, fp array<long>, signature binary, keys array<long>"), "near-features")
-    nodes = written(rows.groupBy("name", "fp", "signature", "keys").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "near-nodes")
+    nodes = written(rows.groupBy("name", "fp", "keys").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "near-nodes")
     spread = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-keys")
-    spread = join_cut(spread, shared.select("key"), shared, ["key"], ["node"]).join(nodes.select("node", "fp", "signature"), "node")
+    spread = join_cut(spread, shared.select("key"), shared, ["key"], ["node"]).join(rows.select(F.col("row").alias("node"), "fp", "signature"), "node")
     found = components(shard_links(spread, radius, alike))
     named = nodes.join(found, "node", "left").select("name", "fp", F.coalesce("component", "node").alias("component"))
     same = nodes.groupBy("name", "fp").agg(F.sum("n").alias("n"))
@@ -368,7 +376,8 @@ def row_key(id: str, text: str) -> Column:
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group a row with the smallest id stays (of rows that repeat its id and text, any one).
 
-    Texts are read and not moved to find the groups. The rows to drop are an anti-join by 16 bytes each, which Spark broadcasts while they are few.
+    Texts are read and not moved to find the groups. The rows to drop are an anti-join by 16 bytes each, broadcast up to BROADCAST_DROPPED of them; beyond
+    that, texts move once.
     A null text counts as empty, a null id comes last, and an empty table gives no rows.
     """
     found = near_texts(docs, id, text, width, similarity).groupBy("component", "id", "row_key").agg(F.count(F.lit(1)).alias("n"))
@@ -378,9 +387,13 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     others = join_cut(found, groups.drop("n"), groups, ["component"], ["row_key"]).where(F.col("row_key") != F.col("kept")).select("row_key")
     repeated = written(found.where("n > 1").select("row_key"), "near-repeated")
     own = docs.withColumn("near_row_key", row_key(id, text))
-    drop = lambda keys: own.join(keys.withColumnRenamed("row_key", "near_row_key"), "near_row_key", "left_anti")
     others = written(others, "near-dropped")
-    if not repeated.count():
+    n_others, n_repeated = others.count(), repeated.count()
+
+    def drop(keys: DataFrame) -> DataFrame:
+        return own.join(small(keys.withColumnRenamed("row_key", "near_row_key"), n_others + n_repeated, BROADCAST_DROPPED), "near_row_key", "left_anti")
+
+    if not n_repeated:
         return drop(others).select(docs.columns)
     again = own.join(repeated.join(others, "row_key", "left_anti").withColumnRenamed("row_key", "near_row_key"), "near_row_key", "left_semi")
     return drop(others.unionByName(repeated)).select(docs.columns).unionByName(again.dropDuplicates(["near_row_key"]).select(docs.columns))

@@ -508,6 +508,7 @@ def test_keep_one(spark, monkeypatch, chunk):
     import random
 
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "BROADCAST_DROPPED", chunk)
 
     rng = random.Random(4)
     say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
