@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshelf.llm import chat, fingerprint, knn, mixing, packing, quality, secrets, simhash, suffix, warc
+from lexshelf.llm import chat, fingerprint, hyperminhash, knn, lexical, mixing, packing, quality, secrets, simhash, suffix, warc, yinyang
 from lexshelf.llm.common import table
 
 
@@ -76,9 +77,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = yinyang.fit(table(spark, sf_dir, "embeddings"))
+    named = [(i, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids)]
+    digests = spark.createDataFrame(named, "cluster int, centroid_sha256 string")  # a row for each centroid
+    return yinyang.summed(assigned).join(F.broadcast(digests), "cluster")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_secret_scan, op3_fingerprints, op4_mix_sources, op5_pack, op6_simhash_dedup, op7_quality, op8_warc, op9_knn_join, op10_chat_format)
+    for f in (op1_suffix_dedup, op2_secret_scan, op3_fingerprints, op4_mix_sources, op5_pack, op6_simhash_dedup, op7_quality, op8_warc, op9_knn_join, op10_chat_format, op11_yinyang, op12_lexical_search, op13_hyperminhash)
 }
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -153,7 +169,60 @@ CHAT_SQL = f"""
     from o group by conv_id
 """
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQUARED_SQL = "cast(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+
+
+def cluster_sql(rounds: int = 3) -> str:
+    parts = [
+        """e as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "c0 as (select row_number() over (order by h) - 1 as c, v as w from (select sha256('1:' || vec_id) as h, v from e order by h limit 16))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as (select r, any_value(vec_id) as vec_id, any_value(v) as v, min({{'d': {SQUARED_SQL}, 'c': c}}) as best from e, c{i} group by r)")
+        if i < rounds:
+            parts.append(f"m{i} as (select best.c as c, i, sum(v[i]) as s, count(*) as n from a{i}, range(1, 65) t(i) group by best.c, i)")
+            parts.append(f"n{i} as (select c, list(cast((s - ((s % n) + n) % n) / n as bigint) order by i) as w from m{i} group by c)")
+            parts.append(f"c{i + 1} as (select c, coalesce(n{i}.w, c{i}.w) as w from c{i} left join n{i} using (c))")
+    return f"""with {", ".join(parts)}
+        select vec_id, cast(best.c as integer) as cluster, best.d as distance, cast(sum(best.d) over (partition by best.c) as bigint) as cluster_inertia,
+               cast(sum(best.d) over () as bigint) as inertia, sha256(array_to_string(w, ',')) as centroid_sha256
+        from a{rounds} join c{rounds} on c = best.c"""
+
+
+TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL_SQL = f"""
+    with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '{TERM_SQL}') as ts from documents),
+    d as (select doc_id, len(ts) as n from t where len(ts) > 0),
+    s as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from d),
+    p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from t) group by all),
+    f as (select term, count(*) as df from p group by term),
+    i as (select item_id, term, count(*) as times from (
+        select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '{TERM_SQL}')) as term from benchmark) group by all),
+    m as (select item_id, doc_id, cast(sum(times * cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint)
+                                        * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) as bigint) as score
+          from i join f using (term) join p using (term) join d using (doc_id), s group by all),
+    r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from m where score > 0)
+    select * from r where rank <= 10
+"""
+
+HYPER_SQL = f"""
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '{WORD_SQL}') as ws from documents),
+    s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                              else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w),
+    u as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+    c as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as m, any_value(b.n) as n, count(*) as k from u a join u b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+    e as (select a, b from c where 100 * k >= 85 * (m + n - k)),
+    reach(doc_id, other) as (select doc_id, doc_id from s union select r.doc_id, e.b from reach r join e on r.other = e.a)
+    select doc_id, cast(len(sh) as bigint) as n_shingles, least_id as component_id, doc_id = least_id as kept
+    from s join (select doc_id, min(other) as least_id from reach group by doc_id) using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_yinyang": cluster_sql(),
+    "op12_lexical_search": LEXICAL_SQL,
+    "op13_hyperminhash": HYPER_SQL,
     "op2_secret_scan": SECRETS_SQL,
     "op4_mix_sources": MIX_SQL,
     "op10_chat_format": CHAT_SQL,

@@ -144,25 +144,27 @@ class Groups:
                 self.of[up] = self.of[self.of][up]
 
 
-def shard_links(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def shard_links(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None = None, link=None, weigh: Column | None = None) -> DataFrame:
     """src, dst (src > dst): links that connect all that lies within the radius in some shard.
 
-    rows: node, key (the shard), fp (ARRAY<LONG>) and what accept(frame, i, j) needs to confirm pairs.
+    rows: node, key (the shard), fp (ARRAY<LONG>) and what accept(frame, i, j) needs to confirm pairs. link takes the place of linked, for rows
+    that are compared in another way; weigh tells for how many rows of a chunk a row counts.
     """
+    link, size = link or linked, F.count(F.lit(1)) if weigh is None else F.sum(weigh)
     rows = written(rows, "shard-rows")
     n = tasks_for(rows, rows.count(), TASK_ROWS)
-    large = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("cuts")), "shard-large")
+    large = written(rows.groupBy("key").agg(size.alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("cuts")), "shard-large")
     n_large = large.count()
     cut = rows.join(small(large, n_large, BROADCAST_SHARDS), "key", "left")
     chunk = F.when(F.col("cuts").isNotNull(), F.pmod(F.xxhash64("node", "key"), "cuts")).otherwise(0).cast("int")
     alone = cut.withColumns({"a": chunk, "b": F.lit(0), "side": F.lit(BOTH), "component": F.col("node")}).drop("cuts")
-    first = linked(alone, n, radius, accept)
+    first = link(alone, n, radius, accept)
     if not n_large:
         return first
     first = written(first, "shard-links")
     big = cut.where("cuts is not null").withColumn("a", chunk).join(components(first).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     big = written(big.withColumn("component", F.coalesce("component", "node")).drop("of"), "shard-big")
-    sizes = big.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = big.groupBy("key", "component").agg(size.alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).where(F.col("top.n") < F.col("n"))
     most = most.select("key", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / CHUNK).cast("int").alias("others"))
     big = big.join(small(most, n_large, BROADCAST_SHARDS), "key")
@@ -170,7 +172,7 @@ def shard_links(rows: DataFrame, radius: int, accept: Callable[[pd.DataFrame, np
     trees = big.withColumn("b", every("others")).withColumn("side", F.lit(TREE))
     outside = big.where(F.col("component") != F.col("main")).withColumn("b", F.pmod(F.xxhash64("node", F.lit(1)), "others").cast("int"))
     outside = outside.drop("a").withColumn("a", every("cuts")).withColumn("side", F.lit(QUERY))
-    return first.unionByName(linked(trees.unionByName(outside).drop("cuts", "main", "others"), n, radius, accept))
+    return first.unionByName(link(trees.unionByName(outside).drop("cuts", "main", "others"), n, radius, accept))
 
 
 def linked(rows: DataFrame, n: int, radius: int, accept: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None) -> DataFrame:
