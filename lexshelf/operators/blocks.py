@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexshelf.functions.text import decode_entities, fault_of
 from lexshelf.schemas import BLOCKS, INITIAL, TITLES, conform
+from lexshelf.shared import settled
 from lexshelf.sources.parts import CHUNK_BYTES, ByteParts, read_chunks
 
 #: Marks of a block and of a stream's end, and the length of a mark, in bits.
@@ -54,7 +55,7 @@ def scan_marks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, s
 
 
 def numbered(marked: DataFrame) -> DataFrame:
-    """marks with block_no (from 0; an end mark has that of the block before it) and stop_bits (the next mark).
+    """written marks with block_no (from 0; an end mark has that of the block before it) and stop_bits (the next mark).
 
     Windows run inside chunks; only one row for each chunk is ordered globally.
     """
@@ -75,7 +76,7 @@ def find_blocks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
     start and stop bound the bytes that are scanned.
     """
     number, bits = after or (0, 8 * start)
-    marked = scan_marks(spark, path, chunk_bytes, bits // 8, stop).where(F.col("bits") >= bits)
+    marked = settled(scan_marks(spark, path, chunk_bytes, bits // 8, stop).where(F.col("bits") >= bits))
     found = numbered(marked).where("is_block").withColumn("block_no", F.col("block_no") + number)
     found = found.where(F.col("block_no") > number) if after else found
     return found.select("block_no", "block_start_bits", F.lit(INITIAL).alias("index_state"), "stop_bits")

@@ -19,10 +19,10 @@ def new_titles(titles: DataFrame, index: DataFrame) -> DataFrame:
     return first_wins(titles).join(index.select("title"), "title", "left_anti").select(TITLES.names)
 
 
-def write_index(titles: DataFrame, path: str, partitions: int | None = None) -> None:
-    """The index sorted by title: files and row groups hold narrow ranges, so seeks and lookups read few of them."""
+def write_index(titles: DataFrame, path: str, partitions: int | None = None, file_rows: int = 0) -> None:
+    """The index sorted by title: files (of at most file_rows rows, if that is given) and row groups hold narrow ranges, so seeks and lookups read few of them."""
     ranged = titles.repartitionByRange(partitions, "title") if partitions else titles.repartitionByRange("title")
-    ranged.sortWithinPartitions("title").write.mode("overwrite").parquet(path)
+    ranged.sortWithinPartitions("title").write.option("maxRecordsPerFile", file_rows).mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

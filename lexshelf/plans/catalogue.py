@@ -9,25 +9,26 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshelf.functions import text as X
 from lexshelf.operators import blocks as B
 from lexshelf.operators import index as I
 from lexshelf.operators import search as S
+from lexshelf.operators import states, titleindex
 from lexshelf.operators.pages import broken_pages, parse_pages
+from lexshelf.operators.running import running_before
+from lexshelf.operators.titleindex import TitleIndex
 from lexshelf.plans import stages
 from lexshelf.schemas import BLOCKS, create_table
-from lexshelf.shared import shared_dir, there, version_of
+from lexshelf.shared import settled, shared_dir, version_of
+from lexshelf.sources import binarysink, records, snapshots
 from lexshelf.sources import parts as P
-from lexshelf.sources import records
 from lexshelf.sources.dump import read_dump
-from lexshelf.streaming.incremental import index_stream
+from lexshelf.streaming import dumpsource
 
 KEY, LIKE, REGEXP, BITS, PART = "M", "%the%", "[A-M].*", 100_000, 65_536
-#: Rows of one range in running sums over the catalog.
-RANGE = 4096
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,16 +48,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def running_before(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """rows with before, the sum of size over smaller keys: windows run inside ranges of RANGE keys, and only one row for each range is ordered globally."""
-    ranged = rows.withColumn("range", F.floor(F.col(key) / RANGE))
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = ranged.groupBy("range").agg(F.sum(size).alias("n")).select("range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    inside_sum = ranged.withColumn("inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return inside_sum.join(bases, "range").withColumn("before", F.col("base") + F.col("inside")).drop("range", "inside", "base")
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("bigint").alias("size"))
     found = running_before(sizes, "page_id", "size")
@@ -90,33 +81,107 @@ def title_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select(F.col("block_start_bits").alias("page_id"), "title")
 
 
-def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sorted title index of pages as they are now: built and published once, then only read."""
-    home = f"{shared_dir(spark)}/titles-{version_of(spark, f'{sf_dir}/pages.parquet')}"
-    if not there(spark, f"{home}/sorted/_SUCCESS"):
-        titles(spark, sf_dir).write.mode("overwrite").parquet(f"{home}/titles")
-        stages.publish(spark, home)
-    return I.read_index(spark, f"{home}/sorted")
+def titles_home(spark: SparkSession, sf_dir: str) -> str:
+    return f"{shared_dir(spark)}/titles-{version_of(spark, f'{sf_dir}/pages.parquet')}"
+
+
+def published(spark: SparkSession, sf_dir: str) -> TitleIndex:
+    """The title index of pages as they are now: published by title_publish, or here if that has not run, then only read."""
+    home = titles_home(spark, sf_dir)
+    if not snapshots.history(spark, home):
+        titleindex.publish(titles(spark, sf_dir), home)
+    return TitleIndex(spark, home)
+
+
+GRAMS_SQL = """padded_v as (select chr(2) || title || chr(3) as p from titles_v),
+    grams_v as (select unnest(list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)))) as gram from padded_v)"""
+
+
+@query(f"with {TITLES_SQL}, {GRAMS_SQL} select (select count(*) from titles_v) as titles, count(distinct gram) as grams, count(*) as postings from grams_v")
+def title_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index built and published anew: titles by the zone map, trigrams and postings by their counts, where the lists hold as many rows."""
+    titleindex.publish(titles(spark, sf_dir), titles_home(spark, sf_dir))
+    made = TitleIndex(spark, titles_home(spark, sf_dir))
+    listed = made.grams.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).join(made.counts, "gram", "full").where("rows = n")
+    return listed.agg(made.zones.agg(F.sum("n")).scalar().alias("titles"), F.count(F.lit(1)).alias("grams"), F.sum("rows").alias("postings"))
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title >= '{KEY}' order by title limit 50")
 def title_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek(published(spark, sf_dir), KEY)
+    return published(spark, sf_dir).seek(KEY)
+
+
+@query(f"with {TITLES_SQL} select title from titles_v where title >= '!' order by title limit 20")
+def title_seek_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key before nearly all titles: the zones tell which files hold the first twenty."""
+    return published(spark, sf_dir).seek("!", 20)
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title >= 'C' order by title limit 20")
 def title_seek_console(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search(published(spark, sf_dir), titled(spark, sf_dir), "###C", "console")
+    return published(spark, sf_dir).search(titled(spark, sf_dir), "###C", "console")
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title >= ''")
 def title_seek_unlimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek(published(spark, sf_dir), "", 0)
+    return published(spark, sf_dir).seek("", 0)
 
 
 @query(f"with {TITLES_SQL} select title from titles_v where title like '%e%' order by title limit 50")
 def title_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek_like(published(spark, sf_dir), "%e%")
+    return published(spark, sf_dir).like("%e%")
+
+
+#: The middle of the title of page 7 stands for what a reader types.
+PIECE_SQL = f"with {TITLES_SQL}, piece_v as (select substr(title, 3, 6) as piece, right(title, 5) as tail from raw_v where page_id = 7)"
+
+
+def literal(text: str) -> str:
+    """Text as a part of a pattern whose escape character is an exclamation mark."""
+    return "".join(f"!{c}" if c in "%_!" else c for c in text)
+
+
+def piece(spark: SparkSession, sf_dir: str) -> str:
+    return titled(spark, sf_dir).where("page_id = 7").first()["title"]
+
+
+@query(f"{PIECE_SQL} select title from titles_v, piece_v where contains(title, piece) order by title limit 50")
+def title_like_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that few titles match, by its trigrams."""
+    return published(spark, sf_dir).like(f"%{literal(piece(spark, sf_dir)[2:8])}%", escape="!")
+
+
+@query(f"{PIECE_SQL} select title from titles_v, piece_v where title like '_%' and ends_with(title, tail)")
+def title_like_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir).like(f"_%{literal(piece(spark, sf_dir)[-5:])}", 0, "!")
+
+
+@query(f"{PIECE_SQL} select title from titles_v, piece_v where regexp_full_match(title, '.+' || regexp_escape(piece) || '[^0-9]*', 's') order by title limit 50")
+def title_regexp_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regular expression whose literal run is known by its trigrams."""
+    return published(spark, sf_dir).regexp(rf"(?s).+\Q{piece(spark, sf_dir)[2:8]}\E[^0-9]*")
+
+
+@query(f"with {TITLES_SQL} select title from titles_v where title like '%zqxj%' or title = (select min(title) from titles_v)")
+def title_like_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trigram that no title holds tells at once that there is no match; a title in full has one."""
+    index = published(spark, sf_dir)
+    first = index.rows.agg(F.min("title")).first()[0]
+    return index.like("%zqxj%").unionByName(index.like(literal(first), escape="!"))
+
+
+@query(f"""with {TITLES_SQL}, old_v as (select title from titles_v where page_id % 2 = 0 and title >= '{KEY}' order by title limit 50),
+    new_v as (select title from titles_v where title >= '{KEY}' order by title limit 50)
+    select 'before' as version, title from old_v union all select 'after', title from new_v""")
+def search_across_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that was opened on one version answers by it after the next one is published, while new searches see that."""
+    home, every = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", titles(spark, sf_dir)
+    titleindex.publish(every.where("block_start_bits % 2 = 0"), home)
+    before = TitleIndex(spark, home).seek(KEY)
+    titleindex.publish(every, home)
+    snapshots.vacuum(spark, home, keep=2, least_age=0)  # the version that is still read is kept
+    after = TitleIndex(spark, home).seek(KEY)
+    return before.select(F.lit("before").alias("version"), "title").unionByName(after.select(F.lit("after").alias("version"), "title"))
 
 
 @query("select url as title from (select distinct url from pages) where url like '%!_%' escape '!' or url like '%p_ge%'")
@@ -127,14 +192,14 @@ def title_like_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TITLES_SQL} select title from titles_v where regexp_full_match(title, '{REGEXP}', 's') order by title limit 50")
 def title_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.seek_regexp(published(spark, sf_dir), f"(?s){REGEXP}")
+    return published(spark, sf_dir).regexp(f"(?s){REGEXP}")
 
 
 @query(f"with {TITLES_SQL} select page_id as block_start_bits, cast(0 as bigint) as title_start_pos from titles_v where title = (select min(title) from titles_v)")
 def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is a scalar subquery, whose value reaches the scan of the index."""
-    found = published(spark, sf_dir)
-    return S.lookup(found, found.agg(F.min("title")).scalar())
+    """The least title, which the zones know, looked up in the one file that can hold it."""
+    index = published(spark, sf_dir)
+    return index.lookup(index.zones.agg(F.min("least")).first()[0])
 
 
 @query("select page_id, url, html from pages where page_id = 7")
@@ -149,7 +214,7 @@ def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, pages = published(spark, sf_dir), titled(spark, sf_dir)
-    parts = [S.search(found, pages, t).select(F.lit(S.routed(t, "search")[0]).alias("route"), "title") for t in ("A%", "Q", "")]
+    parts = [found.search(pages, t).select(F.lit(S.routed(t, "search")[0]).alias("route"), "title") for t in ("A%", "Q", "")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -243,18 +308,35 @@ def split_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' html as seven numbered parts, listed."""
+    """The pages' html as one run of bytes, cut into parts of PART bytes, listed."""
     folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
-    P.write_parts(table(spark, sf_dir, "pages").select((F.col("page_id") % 7).cast("int").alias("part"), F.col("html").alias("value")), folder, "dump")
+    binarysink.roll_parts(table(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.col("html").alias("content")), folder, "dump", PART)
     return P.list_parts(spark, folder, "dump")
 
 
-@query("select cast(sum(strlen(html) + 1) as bigint) as total_length, count(distinct page_id % 7) as part_count from pages")
+@query(f"""select cast(n // {PART} as integer) as part, cast(least({PART}, total - (n // {PART}) * {PART}) as bigint) as length
+    from (select unnest(range(0, total, {PART})) as n, total from (select cast(sum(strlen(html)) as bigint) as total from pages))""")
+def rolled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part but the last has exactly PART bytes, wherever pages end."""
+    return part_files(spark, sf_dir).select("part", "length")
+
+
+@query("select sha256(string_agg(html, '' order by page_id)) as digest, cast(sum(strlen(html)) as bigint) as bytes from pages")
+def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts read back as one run of bytes: its digest, which takes them in order in one task."""
+    rows = part_files(spark, sf_dir).select("path", "part")
+    content = spark.read.format("binaryFile").load([r.path for r in rows.collect()]).select("path", "content")
+    whole = rows.join(content, "path").agg(F.array_sort(F.collect_list(F.struct("part", F.hex("content").alias("h")))).alias("p"))
+    joined = F.unhex(F.array_join("p.h", ""))
+    return whole.select(F.sha2(joined, 256).alias("digest"), F.octet_length(joined).cast("bigint").alias("bytes"))
+
+
+@query(f"select cast(sum(strlen(html)) as bigint) as total_length, cast(ceil(sum(strlen(html)) / {PART}) as bigint) as part_count from pages")
 def dump_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parts_summary(part_files(spark, sf_dir))
 
 
-@query("select 'dump.' || max(page_id % 7) as name, cast(max(page_id % 7) as integer) as part from pages")
+@query(f"select 'dump.' || part as name, part from (select cast(ceil(sum(strlen(html)) / {PART}) - 1 as integer) as part from pages)")
 def last_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.last_part(part_files(spark, sf_dir)).select(F.substring_index("path", "/", -1).alias("name"), "part")
 
@@ -314,6 +396,10 @@ def scan_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("block_no", X.throughput(F.col("block_no"), F.col("seconds")).alias("rate"))
 
 
+#: Files of the test dump, each of which has a block at least.
+DUMP_FILES = 12
+
+
 def bz2_dump(spark: SparkSession, sf_dir: str) -> str:
     """All pages as a .bz2 dump of several files in the session's shared folder, written by Spark."""
     pages = table(spark, sf_dir, "pages").select("page_id", X.title_of(F.col("html")).alias("title"), "html").where("title is not null")
@@ -324,7 +410,8 @@ def bz2_dump(spark: SparkSession, sf_dir: str) -> str:
         F.when(F.col("page_id") % 3 == 2, "").otherwise(comment), F.lit("<text>"), safe(F.col("html")), F.lit("</text></revision></page>"),
     )
     path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
-    pages.select(row).write.option("lineSep", "\n").option("compression", "bzip2").text(path)
+    laid = pages.select("page_id", row.alias("value")).repartitionByRange(DUMP_FILES, "page_id").sortWithinPartitions("page_id")
+    laid.select("value").write.option("lineSep", "\n").option("compression", "bzip2").text(path)
     return path
 
 
@@ -373,21 +460,26 @@ def magic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks sought in small chunks: they decode to as many pages as were written, and their positions rise with their numbers."""
     path = bz2_dump(spark, sf_dir)
     blocks = B.find_blocks(spark, path, 1 << 16)
-    found = B.block_titles(blocks, path)
+    found = settled(B.block_titles(blocks, path))
     pages = B.titles_only(found).agg(F.count(F.lit(1)).alias("pages")).crossJoin(B.block_faults(found).agg(F.count(F.lit(1)).alias("unread")))
     following = B.pair_blocks(blocks.drop("stop_bits")).agg(F.bool_and(F.coalesce("stop_bits", F.col("block_start_bits") + 1) > F.col("block_start_bits")).alias("marks_in_order"))
     return pages.crossJoin(following)  # one row each
 
 
-@query("select true as same_blocks")
+@query(f"with {TITLES_SQL} select title, min(page_id) as first_page, true as blocks_once, true as some_before, true as some_after from raw_v group by title")
 def scan_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan that goes on from a block in the middle finds the blocks that a whole scan finds after it."""
+    """Pages of the blocks up to one in the middle, and of those that a scan finds which goes on from there: together each page once."""
     path = bz2_dump(spark, sf_dir)
-    every = B.as_catalog(B.find_blocks(spark, path))
-    last = every.orderBy(F.abs(F.col("block_no") - 2), "block_no").first()  # one row
-    rest = B.as_catalog(B.find_blocks(spark, path, after=(last["block_no"], last["block_start_bits"])))
-    both = rest.withColumn("n", F.lit(1)).unionByName(every.where(F.col("block_no") > last["block_no"]).withColumn("n", F.lit(-1)))
-    return both.groupBy("block_no", "block_start_bits").agg(F.sum("n").alias("n")).agg(F.coalesce(F.bool_and(F.col("n") == 0), F.lit(True)).alias("same_blocks"))
+    half = P.ByteParts(path).size // 2
+    before = B.find_blocks(spark, path, stop=half)
+    last = I.latest_block(before).first()  # one row
+    after = B.find_blocks(spark, path, after=(last["block_no"], last["block_start_bits"]))
+    both = before.unionByName(after)
+    n = both.agg(F.count(F.lit(1)), F.count_distinct("block_no"), F.max("block_no") + 1).first()
+    found = B.fetch_markup(B.titles_only(B.block_titles(both, path)), path)
+    pages = parse_pages(found).groupBy("title").agg(F.min("id").alias("first_page"))
+    facts = {"blocks_once": len(set(n)) == 1, "some_before": before.count() > 1, "some_after": after.count() > 1}
+    return pages.withColumns({k: F.lit(v) for k, v in facts.items()})
 
 
 def build_home(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -411,41 +503,90 @@ def stage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_after_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search on the index while it is half built, and then on the whole one, which holds all titles that the half had."""
     path, home = build_home(spark, sf_dir)
-    stages.build(spark, path, home, most_blocks=1)
-    half = S.seek(I.read_index(spark, f"{home}/titles"), KEY, 0)
-    early = {r["title"] for r in half.limit(50).collect()}
+    stages.build(spark, path, home, most_blocks=6)
+    stages.publish(spark, home)
+    early = {r["title"] for r in TitleIndex(spark, home).seek(KEY).collect()}
     stages.build(spark, path, home)
     stages.publish(spark, home)
-    whole = I.read_index(spark, f"{home}/sorted")
-    kept = whole.where(F.col("title").isin(sorted(early))).agg((F.count(F.lit(1)) == len(early)).alias("kept"))
-    return S.seek(whole.join(F.broadcast(kept.where("kept")), how="cross"), KEY)
+    whole = TitleIndex(spark, home)
+    kept = whole.rows.where(F.col("title").isin(sorted(early))).count() == len(early) > 0
+    return whole.seek(KEY).where(F.lit(kept))
 
 
-@query("select * from (values ('color', 'red'), ('limit', '50'), ('source', 'b')) t(key, value)")
+@query(
+    """with set_v as (select event_type || '-' || user_id % 500 as key, arg_max(props, event_id) as value from events where user_id % 500 < 400 group by 1),
+    default_v as (select distinct event_type || '-' || user_id % 500 as key, 'default' as value from events)
+    select key, coalesce(s.value, d.value) as value from default_v d full join set_v s using (key)"""
+)
 def build_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Properties over their defaults, one of them set twice."""
-    path = f"{shared_dir(spark)}/properties-{uuid.uuid4().hex}"
-    for value in ("a", "b"):
-        stages.set_property(spark, path, "source", value)
-    return stages.properties(spark, path, {"color": "red", "limit": "50", "source": "none"})
+    """Settings in the order of events, added in two batches, over defaults for all keys."""
+    path, key = f"{shared_dir(spark)}/properties-{uuid.uuid4().hex}", F.concat_ws("-", "event_type", F.col("user_id") % 500)
+    rows = table(spark, sf_dir, "events").select(key.alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq"), "user_id")
+    for late in (1, 0):
+        stages.set_properties(rows.where((F.col("user_id") % 500 < 400) & (F.col("seq") % 2 == late)), path)
+    return stages.properties(spark, path, rows.select("key", F.lit("default").alias("value")).distinct())
+
+
+@query(
+    f"""with {BLOCKS_SQL}, e as (select event_id % (select count(*) from pages) as block_no, cast(event_id % 3 as integer) as index_state, event_id as seq from events),
+    l as (select block_no, arg_max(index_state, seq) as now from e group by 1)
+    select step, block_no, block_start_bits, case step when 'after' then coalesce(a.now, index_state) else coalesce(l.now, index_state) end as index_state
+    from blocks_v cross join (values ('during'), ('after')) s(step) left join l using (block_no)
+    left join (select block_no, 2 as now from blocks_v where block_no % 5 = 0) f using (block_no)
+    left join (select block_no, case when block_no % 5 = 0 then 2 else now end as now from blocks_v left join l using (block_no)) a using (block_no)"""
+)
+def state_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block states from three deltas, opened before a compaction and read after it; then from the new base with one more delta."""
+    home, blocks = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}", catalog(spark, sf_dir)
+    n = table(spark, sf_dir, "pages").count()
+    events = table(spark, sf_dir, "events").select((F.col("event_id") % n).alias("block_no"), (F.col("event_id") % 3).cast("int").alias("index_state"), F.col("event_id").alias("seq"))
+    for i in range(3):
+        states.append(events.where(F.col("seq") % 3 == i), home)
+    during = states.catalog(blocks, home)
+    states.compact(spark, home)
+    states.append(blocks.where("block_no % 5 = 0").select("block_no", F.lit(2).alias("index_state"), F.lit(1 << 40).alias("seq")), home)
+    after = states.catalog(blocks, home)
+    return during.select(F.lit("during").alias("step"), "*").unionByName(after.select(F.lit("after").alias("step"), "*"))
 
 
 @query(f"with {TITLES_SQL} select title from titles_v")
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title index built by a stream over the dump's files, run twice on one checkpoint."""
-    return I.read_index(spark, f"{streamed(spark, sf_dir)}-index").select("title")
+    """The title index built by a stream of blocks, in several batches, by two runs while the dump grows."""
+    return dumpsource.titles_so_far(spark, streamed(spark, sf_dir)[1]).select("title")
+
+
+@query(f"with {TITLES_SQL} select true as several, true as blocks_once")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More than three batches, which read each block of the dump once."""
+    path, home = streamed(spark, sf_dir)
+    n = B.find_blocks(spark, path).count()
+    return dumpsource.batches(spark, home).agg((F.count(F.lit(1)) > 3).alias("several"), (F.sum("blocks") == n).alias("blocks_once"))
 
 
 @query(f"with {TITLES_SQL} select title, title as fetched from titles_v where title >= 'C'")
 def stream_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages fetched by the positions that the stream wrote, each with its index entry's title."""
-    path = streamed(spark, sf_dir)
-    found = B.fetch_markup(I.read_index(spark, f"{path}-index").where("title >= 'C'"), path)
+    path, home = streamed(spark, sf_dir)
+    found = B.fetch_markup(dumpsource.titles_so_far(spark, home).where("title >= 'C'"), path)
     return found.select("title", X.title_of(F.col("value")).alias("fetched"))
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> str:
+def streamed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A dump that is streamed while its second half is missing, grows, and is streamed to its end by another run; and the home of its index."""
     path = bz2_dump(spark, sf_dir)
-    for _ in range(2):
-        index_stream(spark, path, f"{path}-index", f"{path}-state", 2).awaitTermination()
-    return path
+    home, size = f"{path}-stream", P.ByteParts(path).size
+    names = sorted(name for name, _ in snapshots.listed(spark, path) if name[0] not in "._")
+    fs, later = snapshots.file_system(spark, f"{path}-later")
+    fs.mkdirs(later)
+    move = lambda name, a, b: fs.rename(snapshots.file_system(spark, f"{a}/{name}")[1], snapshots.file_system(spark, f"{b}/{name}")[1])
+    for name in names[DUMP_FILES // 2 :]:
+        move(name, path, f"{path}-later")
+    for part in ([], names[DUMP_FILES // 2 :]):
+        for name in part:
+            move(name, f"{path}-later", path)
+        query = dumpsource.index_growing(spark, path, home, size // 4)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return path, home

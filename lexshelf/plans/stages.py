@@ -11,8 +11,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexshelf.operators import titleindex
 from lexshelf.operators.blocks import as_catalog, find_blocks
-from lexshelf.operators.index import is_complete, latest_block, read_index, with_events, write_index
+from lexshelf.operators.index import is_complete, latest_block, read_index, with_events
 from lexshelf.schemas import BLOCKS
 from lexshelf.sources.parts import ByteParts
 from lexshelf.streaming.incremental import index_blocks, table_or_none
@@ -22,15 +23,20 @@ EVENTS = "block_no bigint, index_state int, seq bigint"
 SCAN_BYTES = 1 << 38
 
 
-def properties(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> DataFrame:
-    """key, value: the latest value of each property, or its default."""
+def properties(spark: SparkSession, path: str, defaults: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """key, value: the latest value of each property, or its default (E9), of a dictionary or of a table of keys and values."""
     kept = table_or_none(spark, path, "key string, value string, seq bigint").groupBy("key").agg(F.max_by("value", "seq").alias("kept"))
-    known = spark.createDataFrame(list((defaults or {}).items()), "key string, value string")
+    known = defaults if isinstance(defaults, DataFrame) else spark.createDataFrame(list((defaults or {}).items()), "key string, value string")
     return known.join(kept, "key", "full").select("key", F.coalesce("kept", "value").alias("value"))
 
 
+def set_properties(rows: DataFrame, path: str) -> None:
+    """Adds settings (key, value, seq); of a key, the one with the greatest seq counts."""
+    rows.select("key", "value", "seq").write.mode("append").parquet(path)
+
+
 def set_property(spark: SparkSession, path: str, key: str, value: str) -> None:
-    spark.createDataFrame([(key, value, time.time_ns())], "key string, value string, seq bigint").write.mode("append").parquet(path)
+    set_properties(spark.createDataFrame([(key, value, time.time_ns())], "key string, value string, seq bigint"), path)
 
 
 def fingerprint(dump: str) -> str:
@@ -82,6 +88,6 @@ def build(spark: SparkSession, dump: str, home: str, expected_bytes: int | None
     return is_complete(catalog(spark, home)).withColumns({"blocks": F.lit(catalog(spark, home).count()), "titles": F.lit(titles)})
 
 
-def publish(spark: SparkSession, home: str, partitions: int | None = None) -> None:
-    """Writes the sorted index that searches read."""
-    write_index(read_index(spark, f"{home}/titles"), f"{home}/sorted", partitions)
+def publish(spark: SparkSession, home: str, partitions: int | None = None) -> str:
+    """Publishes the titles that are indexed so far as a new version, which searches open from now on: TitleIndex(spark, home)."""
+    return titleindex.publish(read_index(spark, f"{home}/titles"), home, partitions)

@@ -6,7 +6,7 @@ import hashlib
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, written once in the shared folder: whatever reads it repeats none of its work, also when executors are lost."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path, in whatever file system it is."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

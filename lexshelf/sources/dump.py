@@ -10,7 +10,3 @@ END = "</page>"
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """value: text up to each ``</page>``. Page text escapes ``<``, so the mark is unambiguous."""
     return spark.read.option("lineSep", END).text(path)
-
-
-def stream_dump(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    return spark.readStream.option("lineSep", END).option("maxFilesPerTrigger", files_per_trigger).text(folder)

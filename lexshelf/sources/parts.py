@@ -19,24 +19,45 @@ AHEAD = 7
 CHUNK_BYTES = 16 << 20
 
 
+def file_system(path: str):
+    """Arrow's file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+
+
 class ByteParts:
     """Parts ``<base>.0``, ``<base>.1``, ..., or one file, or all files of a folder by name, as one run of bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, files: list[tuple[str, int]] | None = None) -> None:
+        """files: the parts with their sizes, if they are known."""
         from pyarrow import fs
 
-        self.fs, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+        self.fs, base = file_system(path)
         base = base.rstrip("/")
+        if files is not None:
+            self.files, self.size = files, sum(n for _, n in files)
+            return
         if self.fs.get_file_info(base).type == fs.FileType.Directory:
             found = [f for f in self.fs.get_file_info(fs.FileSelector(base)) if f.base_name[0] not in "._"]
             parts = sorted(found, key=lambda f: f.base_name)
         else:
             folder, _, name = base.rpartition("/")
-            found = [f for f in self.fs.get_file_info(fs.FileSelector(folder or ".")) if f.base_name == name or f.base_name.startswith(name + ".") and f.base_name[len(name) + 1 :].isdigit()]
+            found = [f for f in self.fs.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True)) if f.base_name == name or f.base_name.startswith(name + ".") and f.base_name[len(name) + 1 :].isdigit()]
             parts = sorted((f for f in found if f.base_name != name), key=lambda f: int(f.base_name[len(name) + 1 :])) or found
         self.files = [(f.path, f.size) for f in parts if f.is_file]
         self.size = sum(n for _, n in self.files)
 
+    def about(self, start: int, stop: int) -> tuple[list[tuple[str, int]], int]:
+        """The files that hold bytes from start up to stop, and the first byte of the first one."""
+        out, at, first = [], 0, 0
+        for path, n in self.files:
+            if at < stop and at + n > start:
+                first = first if out else at
+                out.append((path, n))
+            at += n
+        return out, first
+
     def read(self, start: int, stop: int) -> bytes:
         out, at = [], 0
         for path, n in self.files:
@@ -49,8 +70,10 @@ class ByteParts:
 
 
 class Chunk(InputPartition):
-    def __init__(self, start: int, stop: int) -> None:
-        self.start, self.stop = start, stop
+    """Bytes from start up to stop, the files that hold them, and where the first of these begins."""
+
+    def __init__(self, start: int, stop: int, files: list[tuple[str, int]], first: int) -> None:
+        self.start, self.stop, self.files, self.first = start, stop, files, first
 
 
 class ChunkReader(DataSourceReader):
@@ -59,13 +82,15 @@ class ChunkReader(DataSourceReader):
         self.start, self.stop = int(options.get("startByte", 0)), int(options.get("stopByte", -1))
 
     def partitions(self) -> list[Chunk]:
-        size = ByteParts(self.path).size
-        stop = min(self.stop, size) if self.stop >= 0 else size
-        return [Chunk(s, min(s + self.chunk, stop)) for s in range(self.start, stop, self.chunk)] or [Chunk(0, 0)]
+        dump = ByteParts(self.path)  # the one listing
+        stop = min(self.stop, dump.size) if self.stop >= 0 else dump.size
+        ends = [(s, min(s + self.chunk, stop)) for s in range(self.start, stop, self.chunk)]
+        return [Chunk(s, e, *dump.about(s, e + AHEAD)) for s, e in ends] or [Chunk(0, 0, [], 0)]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
         if partition.stop > partition.start:
-            yield partition.start, partition.stop - partition.start, ByteParts(self.path).read(partition.start, partition.stop + AHEAD)
+            own = ByteParts(self.path, partition.files)
+            yield partition.start, partition.stop - partition.start, own.read(partition.start - partition.first, partition.stop + AHEAD - partition.first)
 
 
 class DumpChunks(DataSource):
@@ -88,23 +113,6 @@ def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES,
     return spark.read.format("dump_chunks").option("path", path).option("chunkBytes", chunk_bytes).option("startByte", start).option("stopByte", stop).load()
 
 
-def write_parts(rows: DataFrame, folder: str, base: str) -> None:
-    """Writes rows (part INT, value STRING) as the files ``<base>.<part>`` under folder, a line for each row.
-
-    Spark writes the files, one for each part; the driver renames them, which moves no data.
-    """
-    spark, staged = rows.sparkSession, f"{folder}/_parts"
-    rows.repartition("part").write.mode("overwrite").partitionBy("part").text(staged)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in fs.listStatus(hadoop(staged)):
-        name = part.getPath().getName()
-        if name.startswith("part="):
-            file = next(f.getPath() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-"))
-            fs.rename(file, hadoop(f"{folder}/{base}.{name.removeprefix('part=')}"))
-    fs.delete(hadoop(staged), True)
-
-
 def list_parts(spark: SparkSession, folder: str, base: str) -> DataFrame:
     """path, part, length of the files named base.N (C11, C12); contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"{base}.*").load(folder).select("path", "length")

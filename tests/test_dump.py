@@ -13,9 +13,10 @@ from lexshelf.operators import blocks as B
 from lexshelf.operators import index as I
 from lexshelf.operators import search as S
 from lexshelf.operators.pages import broken_pages, parse_pages, titles_of
+from lexshelf.operators.titleindex import TitleIndex
 from lexshelf.plans import stages
 from lexshelf.schemas import BLOCKS, FINISHED, PAGES, TITLES, create_table
-from lexshelf.sources import parts, records
+from lexshelf.sources import binarysink, parts, records
 from lexshelf.sources.dump import read_dump
 from lexshelf.streaming.incremental import Progress, index_blocks, index_stream, table_or_none
 
@@ -275,8 +276,9 @@ def test_seek_skips_row_groups(spark, tmp_path):
 
 
 def test_numbered_parts(spark, tmp_path):
-    parts.write_parts(spark.createDataFrame([(0, "a"), (10, "b"), (10, "c"), (9, "d")], "part int, value string"), str(tmp_path), "x")
-    assert {p.name: p.read_text() for p in tmp_path.iterdir() if p.name.startswith("x.")} == {"x.0": "a\n", "x.9": "d\n", "x.10": "b\nc\n"} or (tmp_path / "x.10").read_text() == "c\nb\n"
+    rows = [(0, 1, b"a"), (10, 3, b"\xff\n"), (10, 2, b"\r\n"), (9, 0, b"d"), (10, 5, None)]
+    binarysink.write_parts(spark.createDataFrame(rows, "part int, at bigint, content binary"), str(tmp_path), "x")
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"x.0": b"a", "x.9": b"d", "x.10": b"\r\n\xff\n"}
     for left in (9, 0, None):
         parts.drop_last_part(spark, str(tmp_path), "x")
         assert parts.last_part(parts.list_parts(spark, str(tmp_path), "x")).first().part == left
@@ -325,7 +327,7 @@ def test_staged_build(spark, dump, tmp_path):
         whole = stages.build(spark, path, home).first()
         assert whole.complete and whole.titles == 120 and whole.blocks == stages.catalog(spark, home).count() > 10
     stages.publish(spark, home, 4)
-    assert [r.title for r in S.seek(I.read_index(spark, f"{home}/sorted"), "Page & 118").collect()] == ["Page & 118 é", "Page & 119 é"]
+    assert [r.title for r in TitleIndex(spark, home).seek("Page & 118").collect()] == ["Page & 118 é", "Page & 119 é"]
     with pytest.raises(ValueError, match="changed"):
         stages.build(spark, str(dump[0] / "whole.xml.bz2"), home)
 
