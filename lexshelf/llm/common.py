@@ -52,6 +52,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column that holds a row of the user's whole, so that none of its names can meet one of an operator's own.
+ROW = "row_of_user"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select(f"{ROW}.*")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

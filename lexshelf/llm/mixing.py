@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import WORD, small, text_of, written
+from lexshelf.llm.common import ROW, WORD, packed, small, text_of, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -122,6 +122,6 @@ def apply_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: s
     """docs, each row as often as the mix takes it. Copies follow from a row's hash and its source's threshold, so no text is moved. An empty table gives no rows."""
     plan, sources = planned(narrowed(docs, id, text, source))
     named = small(plan.select(F.col("source").alias("mix_source"), F.struct("times", "below").alias("mix_plan")), sources, BROADCAST_SOURCES)
-    joined = docs.withColumn("mix_hash", hash_of(id, text)).join(named, F.col(source).eqNullSafe(F.col("mix_source")))
+    joined = packed(docs).withColumn("mix_hash", hash_of(f"{ROW}.{id}", f"{ROW}.{text}")).join(named, F.col(f"{ROW}.{source}").eqNullSafe(F.col("mix_source")))
     copies = F.col("mix_plan.times") + (F.col("mix_hash") < F.col("mix_plan.below")).cast("long")
-    return joined.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("mix_time")).drop("mix_time")
+    return unpacked(joined.where(copies > 0).select(ROW, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("mix_time")))

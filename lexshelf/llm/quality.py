@@ -2,8 +2,8 @@
 
 Features of a text are its words and word pairs, and the shapes of both (letters, capitals, digits and other characters, runs of
 one kind cut to one; a pair also tells whether a word repeats), hashed to 2**BITS slots, with counts over the square root of
-the number of n-grams. Training takes a bounded sample of labelled rows, dealt over SHARDS tasks by hash; each runs FTRL
-over its rows and the weights are averaged, so nothing but one vector of fixed size reaches the driver.
+the number of n-grams. Training takes a bounded sample of labelled rows (TRAIN_ROWS), dealt over SHARDS tasks by hash; each runs FTRL
+over its rows, whole texts one by one, and the weights are averaged, so nothing but one vector of fixed size reaches the driver.
 A score is the sparse dot product of a text's features with that vector, through the logistic function.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; labels that are null,
@@ -14,19 +14,19 @@ long; repeated rows are scored each for itself and train once; an empty table gi
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexshelf.llm.common import text_of
 
 BITS = 18
-#: Bounds on what is used for training: labelled rows, bytes of a text among them, and bytes of texts in one shard.
-TRAIN_ROWS, TRAIN_TEXT, SHARD_BYTES = 24_000, 1 << 20, 32 << 20
+#: Labelled rows that are used for training at most.
+TRAIN_ROWS = 24_000
 SHARDS, EPOCHS = 6, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 1.0
 
@@ -66,70 +66,91 @@ def logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal with per-coordinate rates over the rows in order."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+class Model:
+    """FTRL-proximal with per-coordinate rates, a text at a time."""
+
+    def __init__(self) -> None:
+        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
-    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+    def weights(self, slots: np.ndarray | slice = slice(None)) -> np.ndarray:
+        z, n = self.z[slots], self.n[slots]
+        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    for x, y in [(features(t), y) for t, y in rows] * epochs:
-        slots, values = x
-        zi, ni = z[slots], n[slots]
-        w = weights(zi, ni)
+    def learn(self, text: bytes, y: int) -> None:
+        slots, values = features(text)
+        n, w = self.n[slots], self.weights(slots)
         g = (logistic(float(w @ values)) - y) * values
-        sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-        z[slots], n[slots] = zi + g - sigma * w, ni + g * g
-    return weights(z, n)
+        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA
+        self.z[slots] += g - sigma * w
+        self.n[slots] = n + g * g
+
+
+def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """The weights after the rows in order, epochs times."""
+    model = Model()
+    for text, y in rows * epochs:
+        model.learn(text, y)
+    return model.weights()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", usable: Column | None = None, most: int = TRAIN_ROWS) -> np.ndarray:
-    """The weights. Of the labelled ids, the most with the smallest hashes are used, in order of these as far as SHARD_BYTES goes in each shard; texts
-    of more than TRAIN_TEXT bytes are scored, but teach nothing.
+    """The weights. Of the labelled ids, the most with the smallest hashes are used, each with its whole text.
+
+    Rows stand in a shard's task in the order of training, once for each epoch, and pass one by one: the task holds the model and one text.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull())
     known = known if usable is None else known.where(usable)
     known = known.groupBy(F.col(id).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select("id", "y")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).where(F.octet_length("text") <= TRAIN_TEXT).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id).alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen), "id")
     rows = rows.withColumn("rank", F.xxhash64("id", "text")).withColumn("shard", F.pmod("rank", F.lit(SHARDS)))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        w = train([(t.encode(), int(y)) for t, y in zip(pdf["text"], pdf["y"], strict=True)])
+    def told(model: Model) -> pa.RecordBatch:
+        w = model.weights()
         at = np.flatnonzero(w)
-        return pd.DataFrame({"slot": at, "w": w[at]})
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["slot", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, model = None, None
+        for b in batches:
+            for shard, text, y in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
+                if shard != now:
+                    if model is not None:
+                        yield told(model)
+                    now, model = shard, Model()
+                model.learn(text.as_py(), int(y))
+        if model is not None:
+            yield told(model)
 
     # A copy of one text may stand in very many rows: each distinct id trains once.
     rows = rows.groupBy("shard", "id").agg(F.min(F.struct("rank", "text", "y")).alias("r")).select("shard", "r.*")
-    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("bytes", so_far).where(F.col("bytes") <= SHARD_BYTES).drop("bytes")
-    found = rows.groupBy("shard").applyInPandas(one, "slot bigint, w double").groupBy("slot").agg((F.sum("w") / SHARDS).alias("w")).toPandas()
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).repartition(SHARDS, "shard").sortWithinPartitions("shard", "epoch", "rank")
+    found = rows.select("shard", "text", "y").mapInArrow(run, "slot bigint, w double").groupBy("slot").agg((F.sum("w") / SHARDS).alias("w")).toPandas()
     w = np.zeros(1 << BITS, np.float32)
     w[found["slot"].to_numpy(np.int64)] = found["w"].to_numpy()
     return w
 
 
-def score(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
-    """id, the columns in keep, and the score, called name: one pass without a shuffle."""
+def scorer(docs: DataFrame, weights: np.ndarray) -> Callable[[Column], Column]:
+    """The score of a text column: only texts go through Python."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(F.col(id).alias("score_id"), text_of(text).alias("score_text"), *keep)
-    out = f"`{id}` {dict(docs.dtypes)[id]}, " + "".join(f"`{c}` {dict(docs.dtypes)[c]}, " for c in keep) + f"`{name}` double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for b in batches:
-            got = []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                slots = ngrams(t)
-                got.append(logistic(float(w[0]) + float(w[slots].sum(dtype=np.float64)) / np.sqrt(max(len(slots), 1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + i) for i in range(len(keep))), pa.array(got, pa.float64())], names=[id, *keep, name])
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        w, got = shared.value, []
+        for text in texts:
+            slots = ngrams(text.encode())
+            got.append(logistic(float(w[0]) + float(w[slots].sum(dtype=np.float64)) / np.sqrt(max(len(slots), 1))))
+        return pd.Series(got, dtype=float)
+
+    return scored
+
 
-    return rows.mapInArrow(run, out)
+def score(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
+    """id, and the score, called name: one pass without a shuffle."""
+    return docs.select(F.col(id), scorer(docs, weights)(text_of(text)).alias(name))
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """docs that score at least least."""
-    name = "quality_score_of_row"
-    scored = score(docs, weights, id, text, tuple(c for c in docs.columns if c != id), name)
-    return scored.where(F.col(name) >= least).select(docs.columns)
+    return docs.where(scorer(docs, weights)(text_of(text)) >= least)

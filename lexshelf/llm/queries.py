@@ -30,6 +30,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(count(i).alias(f"n_{name}") for i, (name, *_) in enumerate(secrets.KINDS)),
         F.sha2(secrets.text_of_spans(base), 256).alias("base_sha256"), secrets.text_of_spans(F.col("spans")).alias("spans"),
+        *(F.array_join(F.transform("spans", lambda s: s[name].cast("string")), ",").alias(name) for name in ("owners", "repositories", "live")),
     )
 
 
@@ -122,11 +123,14 @@ SECRETS_SQL = f"""
     every as (select * from base union all select * from wide),
     held as (select value, count(distinct coalesce(source, '')) as owners, count(distinct concat_ws('/', source, lang)) as repositories
              from every join documents using (doc_id) group by value),
-    shown as (select e.* from every e join held using (value) where k < 3 or owners <= {secrets.MOST_OWNERS} and repositories <= {secrets.MOST_REPOSITORIES}),
+    shown as (select e.*, owners, repositories, owners <= {secrets.MOST_OWNERS} and repositories <= {secrets.MOST_REPOSITORIES} as live from every e join held using (value) where k < 3 or owners <= {secrets.MOST_OWNERS} and repositories <= {secrets.MOST_REPOSITORIES}),
     named as (select *, (['assign', 'access', 'hex', 'owned'])[k + 1] || ':' || start || ':' || stop as span from shown),
     by_doc as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
-                      string_agg(span, ',' order by start, k) filter (k < 3) as base, string_agg(span, ',' order by start, k, stop) as spans from named group by doc_id)
-    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+                      string_agg(span, ',' order by start, k) filter (k < 3) as base, string_agg(span, ',' order by start, k, stop) as spans,
+                      string_agg(cast(owners as varchar), ',' order by start, k, stop) as owners, string_agg(cast(repositories as varchar), ',' order by start, k, stop) as repositories,
+                      string_agg(cast(live as varchar), ',' order by start, k, stop) as live from named group by doc_id)
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+           coalesce(owners, '') as owners, coalesce(repositories, '') as repositories, coalesce(live, '') as live
     from documents left join by_doc using (doc_id)
 """
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import join_cut, let, text_of, written
+from lexshelf.llm.common import ROW, join_cut, let, packed, text_of, unpacked, written
 
 #: Patterns of the base kinds, in their listed order, with the group that is judged and its least length.
 #: Access keys and hex strings are whole runs, so the least length can stand in the pattern; a short assigned value still takes part in the scan.
@@ -33,7 +33,7 @@ HINTS = [r"""[DdTtNnYy]["']?\x20*[:=]""", KINDS[1][1], KINDS[2][1], WIDE]
 MOST_OWNERS, MOST_REPOSITORIES = 5, 10
 
 PARTS = "array<struct<k:int,n:int,gap:int,gap_bytes:int,size:int,bytes:int,value:string>>"
-SPANS = "array<struct<start:bigint,k:int,stop:bigint,value:string,live:boolean>>"
+SPANS = "array<struct<start:bigint,k:int,stop:bigint,value:string,live:boolean,owners:bigint,repositories:bigint>>"
 KEEP = "array<struct<begin:bigint,size:bigint>>"
 NAMES = ["assign", "access", "hex", "owned"]
 
@@ -104,7 +104,7 @@ def scan(
 ) -> DataFrame:
     """id, digest (MD5 of the text), spans SPANS, keep KEEP and rest: a row for each document.
 
-    k is the place in NAMES; live is false for values that are held widely. keep tells which bytes stand before each live span and rest where the
+    k is the place in NAMES; owners and repositories tell how many hold the value, and live is false for values that are held widely. keep tells which bytes stand before each live span and rest where the
     bytes after the last one begin. Texts are read once and never shuffled: only candidate values move, those that are found very often over
     several tasks, and documents without any keep their row without a join.
     """
@@ -114,11 +114,11 @@ def scan(
     spans = written(spans_of(found.where(F.size("parts") > 0)), "secret-spans")
     held = written(ownership(spans), "secret-values")
     live = ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live")
-    each = join_cut(spans.withColumn("value_hash", value_hash(F.col("value"))), held.select("value_hash", live), held, ["value_hash"], ["row", "k", "start"])
+    each = join_cut(spans.withColumn("value_hash", value_hash(F.col("value"))), held.select("value_hash", live, "owners", "repositories"), held, ["value_hash"], ["row", "k", "start"])
     each = each.where((F.col("k") < len(KINDS)) | F.col("live"))
     earlier = Window.partitionBy("row").orderBy("start", "k", "stop").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("free", F.coalesce(F.max(F.when(F.col("live"), F.col("upto"))).over(earlier), F.lit(0)))
-    span = F.struct("start", "k", "stop", "value", "live")
+    span = F.struct("start", "k", "stop", "value", "live", "owners", "repositories")
     piece = F.when(F.col("live") & (F.col("begin") >= F.col("free")), F.struct(F.col("free").alias("begin"), (F.col("begin") - F.col("free")).alias("size")))
     by_row = each.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.sort_array(F.collect_list(piece)).alias("keep"), F.coalesce(F.max(F.when(F.col("live"), F.col("upto"))), F.lit(0)).alias("rest"))
     some = found.where(F.size("parts") > 0).select("row", "id", "digest").join(by_row, "row", "left")
@@ -145,11 +145,11 @@ def redact(docs: DataFrame, scanned: DataFrame, id: str = "doc_id", text: str =
 
     Only texts that may hold a candidate are joined with the spans to be cut; all others pass as they are read. An empty table gives no rows.
     """
-    x, own = text_of(text), ["secret_id", "secret_digest"]
-    name = F.coalesce(F.col(id).cast("string"), F.lit("null"))  # a row with the same text, but no id, has the same cuts
-    cuts = scanned.where(F.size("keep") > 0).groupBy(name.alias(own[0]), F.col("digest").alias(own[1]))
+    x, own = text_of(f"{ROW}.{text}"), ["secret_id", "secret_digest"]
+    name = lambda id: F.coalesce(F.col(id).cast("string"), F.lit("null"))  # noqa: E731 - a row with the same text, but no id, has the same cuts
+    cuts = scanned.where(F.size("keep") > 0).groupBy(name(id).alias(own[0]), F.col("digest").alias(own[1]))
     cuts = written(cuts.agg(F.first(F.struct("keep", "rest")).alias("secret_cut"), F.count(F.lit(1)).alias("secret_n")), "secret-cuts")
-    some = docs.where(suspect(x)).withColumns({own[0]: name, own[1]: F.md5(x), "secret_row": F.monotonically_increasing_id()})
+    some = packed(docs).where(suspect(x)).withColumns({own[0]: name(f"{ROW}.{id}"), own[1]: F.md5(x), "secret_row": F.monotonically_increasing_id()})
     joined = join_cut(some, cuts.drop("secret_n"), cuts, own, ["secret_row"], "left", "secret_n")
 
     def cut(raw: Column) -> Column:
@@ -158,5 +158,5 @@ def redact(docs: DataFrame, scanned: DataFrame, id: str = "doc_id", text: str =
         return F.array_join(F.concat(pieces, F.array(piece(F.col("secret_cut.rest"), F.octet_length(x)))), mark)
 
     clean = let(x.cast("binary"), cut)
-    done = joined.withColumn(text, F.when(F.col("secret_cut").isNull(), F.col(text)).otherwise(clean)).select(docs.columns)
-    return done.unionByName(docs.where(~suspect(x)))
+    said = F.when(F.col("secret_cut").isNull(), F.col(f"{ROW}.{text}")).otherwise(clean)
+    return unpacked(joined.select(F.col(ROW).withField(text, said).alias(ROW))).unionByName(docs.where(~suspect(text_of(text))))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import join_cut, small, tasks_for, text_of, written
+from lexshelf.llm.common import ROW, join_cut, packed, small, tasks_for, text_of, unpacked, written
 
 SEED = 42
 #: Members that a shard's tree is meant to hold, and rows of one chunk of a shard; a task compares two chunks at most.
@@ -388,7 +388,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     groups = written(groups.select("component", F.col("kept.row_key").alias("kept"), "n").where("n > 1"), "near-kept")
     others = join_cut(found, groups.drop("n"), groups, ["component"], ["row_key"]).where(F.col("row_key") != F.col("kept")).select("row_key")
     repeated = written(found.where("n > 1").select("row_key"), "near-repeated")
-    own = docs.withColumn("near_row_key", row_key(id, text))
+    own = packed(docs).withColumn("near_row_key", row_key(f"{ROW}.{id}", f"{ROW}.{text}"))
     others = written(others, "near-dropped")
     n_others, n_repeated = others.count(), repeated.count()
 
@@ -396,6 +396,6 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
         return own.join(small(keys.withColumnRenamed("row_key", "near_row_key"), n_others + n_repeated, BROADCAST_DROPPED), "near_row_key", "left_anti")
 
     if not n_repeated:
-        return drop(others).select(docs.columns)
+        return unpacked(drop(others))
     again = own.join(repeated.join(others, "row_key", "left_anti").withColumnRenamed("row_key", "near_row_key"), "near_row_key", "left_semi")
-    return drop(others.unionByName(repeated)).select(docs.columns).unionByName(again.dropDuplicates(["near_row_key"]).select(docs.columns))
+    return unpacked(drop(others.unionByName(repeated)).unionByName(again.dropDuplicates(["near_row_key"])))

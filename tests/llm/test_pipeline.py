@@ -16,7 +16,9 @@ from data import SCHEMA, documents  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from lexshelf.llm import mixing, quality  # noqa: E402
 
-EXTRA = ["score", "copies", "spans", "cuts", "near_row"]
+#: Every name that the operators give to a column anywhere, and the struct of a row.
+NAMES = sorted({n for p in Path(quality.__file__).parent.glob("*.py") for n in re.findall(r"""(?:alias|withColumn|withColumnRenamed)\([^"()]*"(\w+)"|"(\w+)": F\.""", p.read_text()) for n in n if n})
+EXTRA = sorted({*NAMES, "secret_id", "secret_digest", "secret_row", "secret_cut", "secret_n", "near_row_key", "mix_hash", "mix_time", "mix_source", "mix_plan", "score_id", "score_text", "quality_score_of_row", "row_of_user", "cut_of_key", "cuts_of_key"} - {"doc_id", "text", "lang", "source", "n_chars", "key", "row", "size"})
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def sf_dir(spark, tmp_path_factory):
     rows = documents(80)
     docs = spark.createDataFrame(rows, SCHEMA)
     for c in EXTRA:
-        docs = docs.withColumn(c, F.lit("extra"))
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = [(r[0], 0 if r[0] == 103 else 1) for r in rows if r[0] is not None]
     spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
@@ -41,6 +43,7 @@ def test_stages(spark, sf_dir, tmp_path):
         made.write.parquet(f"{tmp_path}/{i}")
         got = spark.read.parquet(f"{tmp_path}/{i}")
         before, after = docs.collect(), got.collect()
+        assert last or len(EXTRA) > 60 and all(r[c] == f"mine {c}" for r in after for c in EXTRA), name
         if name == "quality classifier":
             w = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=~corpus_pipeline.queries.held_out())
             assert len(after) == quality.score(docs, w).where("score >= 0.5").count() > 50
