@@ -1,8 +1,8 @@
 """Ranked lexical search: postings joined with the items' terms, integer scores, the best documents of each item.
 
-Postings (shard, term, row, id, n, tf) hold a row for each term that a document has. They are dealt by document shard, so that all postings of a document,
-whatever their terms, are in one task: items' terms meet them there by a hash join on the term, and the scores of an item and document are summed without
-a shuffle. Only the best documents of each shard and item move. (Buckets of terms alone would move a row for each match: some 230 million on half
+Postings (term, row, id, n, tf) hold a row for each term that a document has. They are dealt by document, so that all postings of a document, whatever their
+terms, are in one task: items' terms meet them there by a hash join on the term, and the scores of an item and document are summed without
+a shuffle. Only the best documents of each task and item move. (Buckets of terms alone would move a row for each match: some 230 million on half
 a GB of documents, five times as many as there are pairs of an item and a document.)
 
 Two passes over the documents' terms are needed, as a score depends on how many documents hold a term: the first writes each document's terms and tells
@@ -26,8 +26,8 @@ from lexshelf.llm.common import join_cut, tasks_for, text_of, written
 
 #: Bytes that belong to terms are digits, letters and all that is beyond ASCII; A-Z become a-z, all others part terms.
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
-#: Rows and bytes of items' terms up to which all tasks have them whole, and documents of a shard.
-MOST_ROWS, MOST_BYTES, SHARD_ROWS = 500_000, 16 << 20, 4096
+#: Rows and bytes of items' terms up to which all tasks have them whole, and documents of a task.
+MOST_ROWS, MOST_BYTES, TASK_ROWS = 500_000, 16 << 20, 4096
 
 
 def counted(rows: DataFrame, id: str, text: str, only: set[bytes] | None = None) -> DataFrame:
@@ -56,10 +56,9 @@ def counted(rows: DataFrame, id: str, text: str, only: set[bytes] | None = None)
 
 
 def postings(forward: DataFrame, n_docs: int) -> DataFrame:
-    """shard, term, row, id, n, tf of written counts, all of a shard in one task."""
-    n = tasks_for(forward, n_docs, SHARD_ROWS)
-    dealt = forward.where(F.size("found") > 0).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).repartition(n, "shard")
-    return dealt.select("shard", "row", "id", "n", F.explode("found").alias("f")).select("shard", "f.term", "row", "id", "n", "f.tf")
+    """term, row, id, n, tf of written counts, all of a document in one task."""
+    dealt = forward.where(F.size("found") > 0).repartition(tasks_for(forward, n_docs, TASK_ROWS), "row")
+    return dealt.select("row", "id", "n", F.explode("found").alias("f")).select("f.term", "row", "id", "n", "f.tf")
 
 
 def weight(docs: int, df: Column) -> Column:
@@ -89,7 +88,7 @@ def top_k(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     named = wanted.select("item", "item_of").distinct()
     few, every = wanted.select("item", "term", "weight"), postings(forward, n_rows)
     met = every.join(F.broadcast(few), "term") if is_small else join_cut(every, few, df, ["term"], ["row"])
-    scored = met.groupBy("shard", "item", "row", "id").agg(F.sum(score(F.col("weight"), F.col("tf"), F.col("n"), n_docs, max(n_terms, 1))).alias("score")).where("score > 0")
+    scored = met.groupBy("item", "row", "id").agg(F.sum(score(F.col("weight"), F.col("tf"), F.col("n"), n_docs, max(n_terms, 1))).alias("score")).where("score > 0")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     best = written(scored.select("item", "row", "id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k), "lexical-best")
     return best.join(named, "item").select(F.col("item_of").alias(item), "rank", F.col("id").alias(id), "score")

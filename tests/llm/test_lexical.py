@@ -47,7 +47,7 @@ def plain(rows: list[tuple], items: list[tuple], k: int) -> list[tuple]:
 @pytest.mark.parametrize(("rows_shared", "k"), [(500_000, 10), (0, 10), (500_000, 1), (500_000, 10_000)])
 def test_search(spark, monkeypatch, rows_shared, k):
     monkeypatch.setattr(lexical, "MOST_ROWS", rows_shared)  # 0: items' terms go by a shuffle
-    monkeypatch.setattr(lexical, "SHARD_ROWS", 8)
+    monkeypatch.setattr(lexical, "TASK_ROWS", 8)
     docs = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
     items = spark.createDataFrame([(*i, "x", "y") for i in ITEMS], "item_id bigint, text string, term string, score string")
     got = lexical.top_k(docs, items, k=k)
