@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexshelf.operators import titleindex
 from lexshelf.operators.blocks import as_catalog, find_blocks
 from lexshelf.operators.index import is_complete, latest_block, read_index, with_events
+from lexshelf.plans import leases
 from lexshelf.schemas import BLOCKS
 from lexshelf.sources.parts import ByteParts
 from lexshelf.streaming.incremental import index_blocks, table_or_none
@@ -68,8 +69,15 @@ def build(spark: SparkSession, dump: str, home: str, expected_bytes: int | None
     """Brings the tables under home up to date with a dump and returns complete, blocks and titles; run it again to go on.
 
     expected_bytes is checked before anything else (K-14); most_blocks limits the blocks indexed by this run. A run may be broken off at any point (R7):
-    what it committed stays and can be searched (R6), and the next run goes on from there.
+    what it committed stays and can be searched (R6), and the next run goes on from there. Another build under the same home at the same time raises leases.Held;
+    leases.cancel ends a build of this application.
     """
+    with leases.held(spark, home):
+        return built(spark, dump, home, expected_bytes, most_blocks, scan_bytes)
+
+
+def built(spark: SparkSession, dump: str, home: str, expected_bytes: int | None, most_blocks: int | None, scan_bytes: int) -> DataFrame:
+    """The work of build, for the holder of the lease."""
     size = ByteParts(dump).size
     if expected_bytes is not None and size != expected_bytes:
         raise ValueError(f"the dump has {size} bytes, not {expected_bytes}")
