@@ -23,6 +23,8 @@ from lexshelf.sources.parts import CHUNK_BYTES, ByteParts, read_chunks
 BLOCK_MARK, END_MARK, MARK_BITS = 0x314159265359, 0x177245385090, 48
 #: Bytes read at once, and the most bits that a block takes up: at 900,000 bytes it is never packed to more than this.
 READ_BYTES, MOST_BITS = 1 << 18, 8 * 1_100_000
+#: Blocks that a task decodes.
+TASK_BLOCKS = 64
 
 
 def marks(data: bytes, own: int) -> list[tuple[int, bool]]:
@@ -146,6 +148,14 @@ def decode_on(dump: ByteParts, start: int) -> Iterator[tuple[bytes, list[int]]]:
         at, data, base, own = found[0][0], data[cut:], base + cut, own - cut
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """block_start_bits, at most TASK_BLOCKS (or so) to a task: a block is eight bytes for Spark, which would give very many to one, and a megabyte of work."""
+    rows = settled(blocks.select("block_start_bits"))
+    n = rows.count()
+    wanted = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_BLOCKS))
+    return rows.repartition(max(min(n, wanted), 1))
+
+
 FOUND = "block_start_bits bigint, title_start_pos bigint, title string, fault string"
 
 
@@ -191,7 +201,7 @@ def block_titles(blocks: DataFrame, path: str) -> DataFrame:
                     rows = [(bits, -1, None, None) for bits in [start, *inside]] + [(start, p, t.decode("utf-8", "replace"), fault_of(t)) for p, t in found]
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in FOUND.split(", ")])
 
-    found = blocks.select("block_start_bits").mapInPandas(run, FOUND)
+    found = dealt(blocks).mapInPandas(run, FOUND)
     return found.withColumn("title", decode_entities(F.col("title")))
 
 
