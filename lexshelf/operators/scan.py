@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
@@ -11,8 +12,22 @@ from pyspark.sql import functions as F
 
 from lexshelf.shared import settled
 
-#: Neighbours that one step composes.
+#: Neighbours that one step composes. Rows of a frame that a task gives, and bytes of their values.
 GROUP = 4096
+FRAME_ROWS, FRAME_BYTES = 4096, 4 << 20
+
+
+def frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows, the last column of which may be long, in frames of bounded size."""
+    out: list[tuple] = []
+    held = 0
+    for row in rows:
+        out.append(row)
+        held += len(row[-1] or "")
+        if len(out) == FRAME_ROWS or held > FRAME_BYTES:
+            yield pd.DataFrame(out, columns=columns)
+            out, held = [], 0
+    yield pd.DataFrame(out, columns=columns)
 
 
 def grouped(rows: DataFrame, group: int) -> DataFrame:
@@ -34,26 +49,28 @@ def prefixes(rows: DataFrame, compose: Callable[[str, str], str], identity: str,
     """
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (stream, part), own in runs(batches, group):
-            whole = identity
-            for _, _, value in own:
-                whole = compose(whole, value)
-            yield pd.DataFrame({"stream": [stream], "chunk": [part], "value": [whole]})
+        def composed() -> Iterator[tuple]:
+            for (stream, part), own in runs(batches, group):
+                yield stream, part, reduce(compose, (value for _, _, value in own), identity)
+
+        yield from frames(composed(), ["stream", "chunk", "value"])
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def kept() -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                bases.update(zip(zip(pdf["stream"], pdf["part"], strict=True), pdf["base"], strict=True))
+                heads = pdf[["stream", "part", "base"]].drop_duplicates(["stream", "part"])
+                bases.update({(s, p): b for s, p, b in heads.itertuples(index=False, name=None)})
                 yield pdf
 
+        def before() -> Iterator[tuple]:
+            for key, own in runs(kept(), group):
+                whole = bases.pop(key) or identity
+                for stream, chunk, value in own:
+                    yield stream, chunk, whole
+                    whole = compose(whole, value)
+
         bases: dict[tuple[int, int], str | None] = {}
-        for key, own in runs(kept(), group):
-            whole, out = bases[key] or identity, []
-            for stream, chunk, value in own:
-                out.append((stream, chunk, whole))
-                whole = compose(whole, value)
-            bases.pop(key)
-            yield pd.DataFrame(out, columns=["stream", "chunk", "before"])
+        yield from frames(before(), ["stream", "chunk", "before"])
 
     ordered = grouped(rows, group)
     shape = "stream bigint, chunk bigint, before string"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexshelf.functions.text import decode_entities
 from lexshelf.operators import blocks as B
-from lexshelf.operators.scan import GROUP, prefixes
+from lexshelf.operators.scan import GROUP, frames, prefixes
 from lexshelf.shared import settled
 from lexshelf.sources.parts import ByteParts
 
@@ -259,17 +259,18 @@ def tag_events(chunks: DataFrame, load: Callable[[Any], bytes] | None = None, te
             yield pdf[["stream", "chunk", "before"]].assign(value=[effects(b, a) for b, a in zip(pdf["before"], pdf["after"], strict=True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in RAW.split(", ")]
-        whole = [columns.index(c) for c in ("depth", "page_pos", "pos", "stop", "span")]
-        for pdf in batches:
-            for stream, chunk, value, before, stack in pdf[["stream", "chunk", "content", "before", "stack"]].itertuples(index=False, name=None):
-                data, fault = read(value)
-                rows = [(stream, chunk, *r) for r in chunk_events(data, before, stack, text_of)]
-                if fault:
-                    at = json.loads(before)["n"]
-                    rows.append((stream, chunk, "fault", fault, None, None, at, at, None, None))
-                made = pd.DataFrame(rows, columns=columns)
-                yield made.astype({columns[i]: "Int64" for i in whole})
+        def rows() -> Iterator[tuple]:
+            for pdf in batches:
+                for stream, chunk, value, before, stack in pdf[["stream", "chunk", "content", "before", "stack"]].itertuples(index=False, name=None):
+                    data, fault = read(value)
+                    for row in chunk_events(data, before, stack, text_of):
+                        yield (stream, chunk, *row)
+                    if fault:
+                        at = json.loads(before)["n"]
+                        yield (stream, chunk, "fault", fault, None, None, at, at, None, None)
+
+        for made in frames(rows(), [c.split()[0] for c in RAW.split(", ")]):
+            yield made.astype(dict.fromkeys(("depth", "page_pos", "pos", "stop", "span"), "Int64"))
 
     sums = settled(deal(chunks).mapInPandas(summed, "stream bigint, chunk bigint, value string, after string"))
     states = prefixes(sums.select("stream", "chunk", "value"), compose_states, IDENTITY, group)

@@ -16,7 +16,7 @@ from lexshelf.functions import text as X
 from lexshelf.operators import blocks as B
 from lexshelf.operators import index as I
 from lexshelf.operators import search as S
-from lexshelf.operators import states, titleindex
+from lexshelf.operators import states, tags, titleindex
 from lexshelf.operators.pages import broken_pages, parse_pages
 from lexshelf.operators.running import running_before
 from lexshelf.operators.titleindex import TitleIndex
@@ -590,3 +590,62 @@ def streamed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         finally:
             query.stop()
     return path, home
+
+
+#: The rows of bz2_dump, each with where its page begins in the decoded dump.
+SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+LAID_SQL = f"""row_v as (select page_id, title, page_id % 3 as kind, '<page><title>' || {SAFE.format("title")} || '</title>' as a, '<id>' || page_id || '</id>' as b,
+        '<revision><id>' || page_id * 10 || '</id>' || case page_id % 3 when 0 then '<comment>note ' || page_id || '</comment>' when 1 then '<comment></comment>' else '' end
+        || '<text>' || {SAFE.format("html")} || '</text></revision>' as c from raw_v join pages using (page_id)),
+    laid_v as (select *, cast(coalesce(sum(strlen(a) + strlen(b) + strlen(c) + 8) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as page_pos from row_v)"""
+
+
+def dump_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bz2_dump(spark, sf_dir)
+    return tags.dump_events(B.find_blocks(spark, path), path, group=4)  # several levels of the scan also for few blocks
+
+
+@query(f"with {TITLES_SQL}, {LAID_SQL} select title, page_pos from laid_v")
+def tag_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with the positions of their pages in the decoded dump, from blocks that are decoded alone."""
+    return tags.title_events(dump_tags(spark, sf_dir)).select("title", "page_pos")
+
+
+@query(f"with {TITLES_SQL}, {LAID_SQL} select page_pos from laid_v")
+def tag_page_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.page_starts(dump_tags(spark, sf_dir)).select("page_pos")
+
+
+@query(f"""with {TITLES_SQL}, {LAID_SQL} select page_pos, 'title' as name, page_pos + strlen(a) as stop from laid_v
+    union all select page_pos, 'id', page_pos + strlen(a) + strlen(b) from laid_v union all select page_pos, 'revision', page_pos + strlen(a) + strlen(b) + strlen(c) from laid_v""")
+def tag_child_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The children that each page closes, by where they end."""
+    return tags.child_closes(dump_tags(spark, sf_dir)).select("page_pos", "name", "stop")
+
+
+@query(f"""with {TITLES_SQL}, {LAID_SQL}
+    select kind, cast(depth as bigint) as depth, count(*) as events from (
+        select unnest(['start', 'start', 'start', 'start', 'start', 'start']) as kind, unnest([1, 2, 2, 2, 3, 3]) as depth from laid_v union all
+        select unnest(['close', 'close', 'close', 'close', 'close', 'close']), unnest([0, 1, 1, 1, 2, 2]) from laid_v union all
+        select unnest(['start', 'close']), unnest([3, 2]) from laid_v where kind < 2) group by 1, 2""")
+def tag_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements opened and closed at each depth of the whole dump."""
+    return dump_tags(spark, sf_dir).groupBy("kind", "depth").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(f"""with m as (select doc_id, '<page><title>' || doc_id || '</title><text>' || {SAFE.format("text")} || '</text><origin lang="' || coalesce(lang, '') || '" source="' as a,
+        coalesce(source, '') as s from documents)
+    select doc_id, 'lang' as name, coalesce(lang, '') as value, cast(strlen(a) - 10 - strlen(coalesce(lang, '')) as bigint) as pos from m join documents using (doc_id)
+    union all select doc_id, 'source', s, cast(strlen(a) as bigint) from m""")
+def tag_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes at the end of each document, by position; each is a stream that is cut into pieces of 1000 bytes, wherever these end."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    said = lambda name: F.coalesce(F.col(name), F.lit(""))
+    markup = F.concat(
+        F.lit("<page><title>"), F.col("doc_id").cast("string"), F.lit("</title><text>"), safe(said("text")), F.lit('</text><origin lang="'), said("lang"), F.lit('" source="'), said("source"), F.lit('" /></page>')
+    )
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream"), markup.cast("binary").alias("whole"))
+    cuts = F.sequence(F.lit(0), F.floor((F.octet_length("whole") - 1) / 1000).cast("int"))
+    chunks = rows.select("stream", "whole", F.explode(cuts).alias("n")).select("stream", F.col("n").cast("bigint").alias("chunk"), F.substr("whole", F.col("n") * 1000 + 1, F.lit(1000)).alias("content"))
+    found = tags.tag_events(chunks).where("kind = 'attribute'")
+    return found.select(F.col("stream").alias("doc_id"), "name", "value", "pos")
