@@ -79,8 +79,10 @@ def pivots_of(rows: DataFrame, n: int, width: int, seed: int = 7) -> np.ndarray:
     sample = rows.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(SAMPLE_ROWS).select("v").toPandas()
     x = np.unique(matrix(sample["v"], width), axis=0).astype(float)
     centres = x[np.random.default_rng(seed).permutation(len(x))[:n]]
+    step = max(1, SCORES // max(len(centres), 1))
     for _ in range(5):
-        near = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        sizes = (centres**2).sum(1)
+        near = np.concatenate([(sizes - 2 * x[i : i + step] @ centres.T).argmin(1) for i in range(0, len(x), step)])
         sums, counts = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
         np.add.at(sums, near, x)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
@@ -93,13 +95,19 @@ def assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
+        sizes, step = (p**2).sum(1), max(1, SCORES // len(p))
         for pdf in batches:
-            x = matrix(pdf["v"], width).astype(float)
-            sums = (x**2).sum(1)[:, None] + (p**2).sum(1)
-            d = (sums - 2 * x @ p.T).clip(0)
-            cell = d.argmin(1).astype(np.int32)
-            own = np.arange(len(x)), cell
-            yield pdf.assign(cell=cell, far=np.sqrt(d[own] + (width + 8) * 2.0**-51 * sums[own]))
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i : i + step]
+                x = matrix(part["v"], width).astype(float)
+                own = (x**2).sum(1)
+                d = x @ p.T
+                d *= -2
+                d += sizes
+                cell = d.argmin(1).astype(np.int32)
+                sums = own + sizes[cell]
+                far = (d[np.arange(len(x)), cell] + own).clip(0)
+                yield part.assign(cell=cell, far=np.sqrt(far + (width + 8) * 2.0**-51 * sums))
 
     return rows.mapInPandas(run, "row bigint, id bigint, query boolean, v array<bigint>, cell int, far double")
 

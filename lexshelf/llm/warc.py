@@ -11,7 +11,8 @@ Archives are compressed record by record, one gzip member each, and bounded by A
 Defined cases: a null payload is empty, a null URL is ``-``, bytes that no URI may hold are percent-encoded (and ``#`` in a page's URL), repeated rows are
 records of their own (of equal largest ids one is the response), a null id is written as ``null`` and comes last in choosing a response, an empty table
 gives no rows, columns that are not named are ignored, a head without a blank line is all of its record, and dates of fewer than 14 digits are
-filled up. A file that ends inside a record, lacks its version block or names other fields raises an error.
+filled up. A file that ends inside a record, lacks its version block, names other fields or holds a header line without an address and a date raises an
+error; a later record whose URL begins with ``filedesc:`` is one like others.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshelf.llm.common import join_cut, scratch_path, written
+from lexshelf.llm.common import join_cut, scratch_path, small, written
 
 LEAST = 1000
 #: Compressed bytes of one archive file, and payload bytes that a reader hands on at once.
 ARCHIVE_BYTES, BATCH_BYTES = 32 << 20, 2 << 20
-#: Digests (60 bytes each) up to which the table of shared payloads is broadcast.
-BROADCAST_DIGESTS = 200_000
+#: Rows (of some 60 bytes) up to which a table of shared payloads or of revisits is broadcast.
+BROADCAST_ROWS = 200_000
 #: Header fields by ARC version.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -45,6 +46,12 @@ ARC_FIELDS = {
 }
 #: What stands for an unknown address and type, and the characters that a URI may hold beside letters and digits.
 NO_ADDRESS, NO_TYPE, URI = ("0.0.0.0", "-", ""), ("no-type", "-", ""), "-._~:/?#[]@!$&'()*+,;=%"
+#: A header line by ARC version. The URL and the content type may hold spaces; an address and a date part them.
+ADDRESS = rb"[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]*|-"
+HEADER = {
+    1: re.compile(rb"(.*) (" + ADDRESS + rb") ([0-9]{4,14}|-) (.*) ([0-9]+)", re.DOTALL),
+    2: re.compile(rb"(.*) (" + ADDRESS + rb") ([0-9]{4,14}|-) (.*) ([0-9]{1,3}|-) ([^ ]+) ([^ ]+) ([0-9]+|-) ([^ ]+) ([0-9]+)", re.DOTALL),
+}
 DATE = "20240102030405"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 ID = "#id="
@@ -125,32 +132,36 @@ def opened(data: bytes) -> BinaryIO:
 
 
 def parse_arc(stream: BinaryIO) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
-    """offset (after inflating), header fields and content of each record, the version block included.
+    """offset (after inflating), header fields and content of each record; the first one is the version block.
 
-    The version block's first line names the version and its second line the fields; records are cut by declared length.
+    The version block's first line names the version and its second line the fields; records are cut by declared length. A header line in which an
+    address and a date do not stand where its version wants them raises an error.
     """
-    at, fields = 0, None
+    at, version = 0, None
     while line := stream.readline():
         start, at = at, at + len(line)
-        values = line.rstrip(b"\r\n").split(b" ")
-        if values == [b""]:
+        line = line.rstrip(b"\r\n")
+        if not line:
             continue
-        length = int(values[-1])
-        content = stream.read(length)
-        if len(content) < length:
+        declared = line.rpartition(b" ")[2]
+        if not declared.isdigit():
+            raise ValueError(f"no length in the header line at byte {start}")
+        content = stream.read(int(declared))
+        if len(content) < int(declared):
             raise ValueError(f"truncated record at byte {start}")
-        at += length
-        if kind_of(values[0], content) == "warcinfo":
+        at += len(content)
+        if version is None:
+            if not line.startswith(b"filedesc:"):
+                raise ValueError("no version block")
             said = content.decode("latin-1").split("\n")
             version = int(said[0].split(" ")[0])
             fields = said[1].strip("\r").split(" ") if len(said) > 1 and said[1].strip() else ARC_FIELDS[version]
             if fields != ARC_FIELDS.get(version):
                 raise ValueError(f"fields {fields} are not those of version {version}")
-        elif fields is None:
-            raise ValueError("no version block")
-        # A URL may hold spaces: the other fields are counted from the end.
-        values = [b" ".join(values[: len(values) - len(fields) + 1]), *values[len(values) - len(fields) + 1 :]]
-        yield start, dict(zip(fields, values, strict=True)), content
+        found = HEADER[version].fullmatch(line)
+        if not found:
+            raise ValueError(f"the header line at byte {start} is not one of version {version}: {line[:200]!r}")
+        yield start, dict(zip(ARC_FIELDS[version], found.groups(), strict=True)), content
 
 
 def http_parts(content: bytes) -> tuple[bytes, bytes]:
@@ -160,11 +171,19 @@ def http_parts(content: bytes) -> tuple[bytes, bytes]:
     return content[:cut], content[cut:]
 
 
-def kind_of(url: bytes, content: bytes) -> str:
-    """The WARC type: content that begins with a status line is a response, whatever its URL."""
-    if content.startswith(b"HTTP/"):
-        return "response"
-    return "warcinfo" if url.startswith(b"filedesc:") else "resource"
+def arc_rows(file: str, data: bytes) -> Iterator[tuple[dict, bytes, bytes]]:
+    """ARC_ROWS' columns, head and body of each record of a file.
+
+    The first record is its version block (warcinfo), content that begins with a status line a response, whatever its URL, and anything else a resource.
+    """
+    for n, (at, h, content) in enumerate(parse_arc(opened(data))):
+        kind = "warcinfo" if n == 0 else "response" if content.startswith(b"HTTP/") else "resource"
+        head, body = http_parts(content) if kind == "response" else (b"", content)
+        url = quote(h["URL"], safe=URI)
+        ip, date, own = (h[f].decode("latin-1") for f in ("IP-address", "Archive-date", "Content-type"))
+        name = uuid.uuid5(SPACE, f"{file.rpartition('/')[2]}:{at}:{url}")
+        row = {"record": str(name), "kind": kind, "url": url, "ip": ip, "date": date, "content_type": own, "size": len(body), "digest": hashlib.sha1(body).hexdigest(), "file": file, "at": at}
+        yield row, head, body
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -174,25 +193,21 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-ARC_ROWS = "record string, kind string, url string, ip string, date string, content_type string, size bigint, digest string"
+ARC_ROWS = "record string, kind string, url string, ip string, date string, content_type string, size bigint, digest string, file string, at bigint"
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """record (a synthesised UUID), kind, url, ip, date, content_type, size and digest (SHA-1, hex) of the payload, and, if asked for, head and body."""
+    """record (a synthesised UUID), kind, url, ip, date, content_type, size and digest (SHA-1, hex) of the payload, file and the byte in it (after inflating)
+    at which the record begins, and, if asked for, head and body."""
     schema = ARC_ROWS + (", head binary, body binary" if payloads else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, held = [], 0
-                for at, h, content in parse_arc(opened(packed.as_py())):
-                    kind = kind_of(h["URL"], content)
-                    head, body = http_parts(content) if kind == "response" else (b"", content)
-                    url, text = quote(h["URL"], safe=URI), lambda n: h[n].decode("latin-1")  # noqa: B023
-                    name = uuid.uuid5(SPACE, f"{file.rpartition('/')[2]}:{at}:{url}")
-                    row = (str(name), kind, url, text("IP-address"), text("Archive-date"), text("Content-type"), len(body), hashlib.sha1(body).hexdigest())
-                    rows.append((*row, head, body) if payloads else row)
-                    held += len(content) if payloads else 200
+                for row, head, body in arc_rows(file, packed.as_py()):
+                    rows.append((*row.values(), head, body) if payloads else tuple(row.values()))
+                    held += len(head) + len(body) if payloads else 300
                     if held >= BATCH_BYTES:
                         yield batch_of(rows, schema)
                         rows, held = [], 0
@@ -220,8 +235,8 @@ def stamp(date: str) -> str:
 
 
 def warc_record(r: dict) -> bytes:
-    """One record from a row of read_arc() with the columns of chosen()."""
-    kind = "revisit" if r["kind"] == "response" and r["response"] not in (None, r["record"]) else r["kind"]
+    """One record from a row of read_arc(), with the response that it revisits if it does."""
+    kind = "revisit" if r["response"] else r["kind"]
     block = r["head"] if kind == "revisit" else r["head"] + r["body"]
     sha = lambda h: "sha1:" + b32encode(bytes.fromhex(h)).decode()
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{r['record']}>", f"WARC-Date: {stamp(r['date'])}"]
@@ -244,21 +259,43 @@ def warc_record(r: dict) -> bytes:
     return "\r\n".join(head).encode("latin-1") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST, order: Column | None = None) -> None:
-    """Reads ARC files and writes WARC files: once for the digests alone, once for the payloads."""
-    shared = written(chosen(read_arc(spark, arc_path, payloads=False), least, order), "warc-shared")
-    keys, records = ["digest", "size"], read_arc(spark, arc_path)
-    if shared.count() <= BROADCAST_DIGESTS:
-        records = records.join(F.broadcast(shared.drop("n")), keys, "left")
+def revisits(records: DataFrame, least: int = LEAST, order: Column | None = None) -> DataFrame:
+    """file and verdicts: at, response, response_url and response_date of each of its records that is a revisit. records: read_arc() without payloads, written.
+
+    A file's verdicts are one row, no longer than the file has records.
+    """
+    shared = written(chosen(records, least, order), "warc-shared")
+    keys, responses = ["digest", "size"], records.where((F.col("kind") == "response") & (F.col("size") >= least)).select("digest", "size", "record", "file", "at")
+    if (n := shared.count()) <= BROADCAST_ROWS:
+        found = responses.join(small(shared.drop("n"), n, BROADCAST_ROWS), keys)
     else:
-        records = join_cut(records, shared.drop("n"), shared, keys, ["record"], "left")
-    names = records.columns
+        found = join_cut(responses, shared.drop("n"), shared, keys, ["record"])
+    verdict = F.struct("at", "response", "response_url", "response_date")
+    return found.where("record <> response").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.collect_list(verdict).alias("verdicts"))
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST, order: Column | None = None) -> None:
+    """Reads ARC files and writes WARC files: once for the digests alone, once for the payloads.
+
+    Payloads meet no other row. Each file gets the list of its revisits; where these lists are too many to broadcast, the files move to them, packed as they are.
+    """
+    found = written(revisits(written(read_arc(spark, arc_path, payloads=False), "warc-records"), least, order), "warc-revisits")
+    few = int(found.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS
+    verdicts = found.select(F.col("file").alias("path"), "verdicts").hint("broadcast" if few else "shuffle_hash")
+    files = archive_files(spark, arc_path).join(verdicts, "path", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (dict(zip(names, values, strict=True)) for b in batches for values in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        yield from filed(((lambda _, __, r=r: warc_record(r)) for r in rows), "converted")
+        def records() -> Iterator[Callable[[int, str], bytes]]:
+            for b in batches:
+                for file, packed, said in zip(*b.columns, strict=True):
+                    known = {v["at"]: v for v in said.as_py() or []}
+                    for row, head, body in arc_rows(file.as_py(), packed.as_py()):
+                        row |= {"head": head, "body": body, "response": None, **known.get(row["at"], {})}
+                        yield lambda _, __, r=row: warc_record(r)
+
+        yield from filed(records(), "converted")
 
-    write_files(records.mapInArrow(run, "value binary"), warc_path)
+    write_files(files.select("path", "content", "verdicts").mapInArrow(run, "value binary"), warc_path)
 
 
 def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:

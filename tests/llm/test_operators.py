@@ -607,7 +607,7 @@ def test_warc(spark, monkeypatch, size):
 
 
 def test_warc_by_shuffled_digests(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     pages = [(i, f"u{i}", ("same" if i % 3 else f"other{i}") * 400) for i in range(40)]
     got = warc.archive_pages(spark.createDataFrame(pages, "page_id int, url string, html string").repartition(4)).collect()
     assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter((i, *(("revisit", 38) if i % 3 and i != 38 else ("response", None))) for i, _, _ in pages)
@@ -624,6 +624,14 @@ def test_arc_versions():
         assert found[1][2] == b"body\n" and [text[at:].split(b" ")[0] for at, *_ in found] == [h["URL"].split(b" ")[0] for _, h, _ in found]
         with pytest.raises(ValueError, match="truncated"):
             list(warc.parse_arc(io.BytesIO(text + warc.arc_record(version, "http://c/", b"body", 0, name)[:-3])))
+        # Types and URLs with spaces, addresses of version 6, a later filedesc: record.
+        more = [("http://a/ 1 2", "::1", "text/html; charset=utf-8"), ("http://b/", "-", ""), ("filedesc://again", "10.0.0.1", "text/plain")]
+        text += b"".join(warc.arc_record(version, u, b"hello", 0, name, ip, kind) for u, ip, kind in more)
+        got = [(h["URL"].decode(), h["IP-address"].decode(), h["Content-type"].decode()) for _, h, _ in warc.parse_arc(io.BytesIO(text))]
+        assert got[3:] == more and [r["kind"] for r, _, _ in warc.arc_rows("f", text)] == ["warcinfo"] + ["resource"] * 5
+        for line in (b"http://a/ 20240101000000 text/html 5\nhello\n", b"http://a/ 1.2.3.4 soon text/html 5\nhello\n", b"http://a/ 1.2.3.4 20240101000000 text/html five\nhello\n"):
+            with pytest.raises(ValueError, match="header line"):
+                list(warc.parse_arc(io.BytesIO(warc.version_block(version, name) + line)))
     with pytest.raises(ValueError, match="no version block"):
         list(warc.parse_arc(io.BytesIO(warc.arc_record(1, "http://a/", b"x", 0, "n"))))
 
