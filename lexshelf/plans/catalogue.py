@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from lexshelf.sources import binarysink, records, snapshots
 from lexshelf.sources import parts as P
 from lexshelf.sources.dump import read_dump
 from lexshelf.streaming import dumpsource
+from lexshelf.streaming.observers import into_folder
 
 KEY, LIKE, REGEXP, BITS, PART = "M", "%the%", "[A-M].*", 100_000, 65_536
 
@@ -649,3 +651,35 @@ def tag_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = rows.select("stream", "whole", F.explode(cuts).alias("n")).select("stream", F.col("n").cast("bigint").alias("chunk"), F.substr("whole", F.col("n") * 1000 + 1, F.lit(1000)).alias("content"))
     found = tags.tag_events(chunks).where("kind = 'attribute'")
     return found.select(F.col("stream").alias("doc_id"), "name", "value", "pos")
+
+
+@query(f"""with {TITLES_SQL} select observer, title, count(*) as told from raw_v cross join (values ('long'), ('short'), ('unsteady')) o(observer)
+    where case observer when 'long' then length(title) >= 20 when 'short' then length(title) < 20 else true end group by observer, title""")
+def stream_observers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three observers of a stream over the dump. One fails in the second batch, after it wrote that, which stops the stream; started again, it is told of each title once."""
+    path = bz2_dump(spark, sf_dir)
+    home, size, calls = f"{path}-observed", P.ByteParts(path).size, []
+    told = {
+        "long": into_folder(f"{home}/long", lambda rows: rows.where("length(title) >= 20").select("title")),
+        "short": into_folder(f"{home}/short", lambda rows: rows.where("length(title) < 20").select("title")),
+    }
+    write = into_folder(f"{home}/unsteady", lambda rows: rows.where("title is not null").select("title"))
+
+    def unsteady(rows: DataFrame, batch: int) -> None:
+        calls.append(batch)
+        write(rows, batch)
+        if len(calls) == 2:
+            raise ValueError("broken off")
+
+    for _ in range(2):
+        stream = dumpsource.index_growing(spark, path, f"{home}/index", size // 4, observers={"unsteady": unsteady, **told})
+        try:
+            stream.processAllAvailable()
+        except StreamingQueryException as e:
+            if "observers failed" not in str(e):
+                raise
+        finally:
+            stream.stop()
+    parts = [spark.read.parquet(f"{home}/{name}").select(F.lit(name).alias("observer"), "title") for name in ("long", "short", "unsteady")]
+    again = F.lit(calls[1:3] == [calls[1]] * 2)  # the batch that was broken off was told once more
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(again).groupBy("observer", "title").agg(F.count(F.lit(1)).alias("told"))

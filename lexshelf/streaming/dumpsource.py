@@ -19,6 +19,7 @@ from lexshelf.operators.index import first_wins, read_index
 from lexshelf.schemas import TITLES
 from lexshelf.shared import there
 from lexshelf.sources.parts import AHEAD, CHUNK_BYTES, ByteParts, file_system
+from lexshelf.streaming.observers import Observer, Observers
 
 #: Bytes of a batch, and bytes that are searched for its last mark: two blocks at their largest.
 BATCH_BYTES, TAIL = 1 << 34, 2 * MOST_BITS // 8 + 64
@@ -114,12 +115,16 @@ def read_blocks(spark: SparkSession, path: str, position: str, most_bytes: int =
     return stream.option("maxBytesPerTrigger", most_bytes).option("chunkBytes", chunk_bytes).load()
 
 
-def index_growing(spark: SparkSession, dump: str, home: str, most_bytes: int = BATCH_BYTES, chunk_bytes: int = CHUNK_BYTES) -> StreamingQuery:
+def index_growing(
+    spark: SparkSession, dump: str, home: str, most_bytes: int = BATCH_BYTES, chunk_bytes: int = CHUNK_BYTES, observers: dict[str, Observer] | None = None
+) -> StreamingQuery:
     """Indexes a dump that grows, in batches of whole blocks, until it is stopped; started again, it goes on from the block after the last batch.
 
     Each batch writes its titles (and faults of blocks that cannot be read) as files of its own, which a repeated batch overwrites. No batch reads what earlier ones wrote:
-    titles_so_far keeps the first of each. processAllAvailable() waits for all that the dump holds now.
+    titles_so_far keeps the first of each. processAllAvailable() waits for all that the dump holds now. observers are told of each batch's rows of
+    block_titles() after these are indexed.
     """
+    told = Observers(f"{home}/told", observers or {})
 
     def add(batch: DataFrame, number: int) -> None:
         stage = f"{home}/found/batch={number}"
@@ -127,6 +132,7 @@ def index_growing(spark: SparkSession, dump: str, home: str, most_bytes: int = B
         found = batch.sparkSession.read.parquet(stage)
         first_wins(titles_only(found)).write.mode("overwrite").parquet(f"{home}/titles/batch={number}")
         block_faults(found).write.mode("overwrite").parquet(f"{home}/faults/batch={number}")
+        told.tell(found, number)
 
     rows = read_blocks(spark, dump, f"{home}/position", most_bytes, chunk_bytes)
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{home}/checkpoint").start()
