@@ -9,7 +9,12 @@ later offsets; positions take the identifiers of their new buckets, which are th
 3. Blocks that stay single in a shared bucket (the edges of passages) go on byte by byte, against one representative of each distinct block of
    their bucket. The bytes of such blocks travel to their bucket. There, 8-grams are the first identifiers, and each round sorts the positions that are
    left by their own identifier and the one 8, 16, 32, ... bytes on, as the rounds before have written it, up to length. These comparisons are
-   exact. Buckets of more than BUCKET_BYTES are not gathered: their windows are told apart by shuffled identifiers instead.
+   exact.
+4. Buckets of more than BUCKET_BYTES are split before that, in shuffled rounds. Equal windows hold their least q-gram at the same offset, so offsets are
+   halved from round to round: the windows of a cell of w offsets share length - w + 1 bytes around the q-gram. A cell's new identifier is made of the one it had and
+   of the w bytes at the later offset that the cell adds, and the next round takes it up. Cells with equal bytes are repeated from end to end, one of each kind stays to be compared with,
+   identifiers that are left to one kind leave, and buckets that have become small enough go to 3. Cells are compared by their bytes, so this is exact too, and
+   when w is 1 a cell is a window and nothing is left.
 
 Identifiers that move between tasks are hashes (of 54 bits for a q-gram, and 64 more for a block or a window), as only equality matters. Buckets of any size
 are counted, never gathered, and the rows of hot ones are dealt over several tasks. Whole texts move once, those with edges once more, compressed.
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +44,7 @@ PIECE = 1 << 19
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BYTE_NAMES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
 REPEATED, SINGLE, SAMPLE = 1, 2, 3
-#: Bytes of edge blocks of one bucket that a task refines at once (with about 80 bytes of work space for each).
+#: Bytes of edge blocks of one bucket that a task refines at once (with about 80 bytes of work space for each); larger buckets are split first.
 BUCKET_BYTES = 2 << 20
 #: Bytes of edge blocks that are dealt to one task.
 TASK_BYTES = 32 << 20
@@ -63,24 +69,36 @@ def names(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     q is a power of two, a quarter to a half of length; the least name is sought from both ends, so a tie shows as two places.
     """
+    grams, windows, width = gram_names(data, length)
+    place = np.arange(len(grams), dtype=np.uint64) & PLACE
+    left, right = least(grams | place, width), least(grams | (PLACE - place), width)
+    return left, (left & PLACE) != PLACE - (right & PLACE), windows
+
+
+def gram_names(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Names of all q-grams, with PLACE bits of zero, and of all windows; and how many q-grams a window has."""
     now, h, grams, q = BYTE_NAMES[np.frombuffer(data, np.uint8)], 1, None, 1
     while 2 * h <= length:
         grams, q = now, h
         now, h = refined(now[:-h], now[h:]), 2 * h
     windows = refined(now[: len(data) - length + 1], now[length - h :])
-    grams = now if grams is None else grams
-    place = np.arange(len(grams), dtype=np.uint64) & PLACE
-    grams = grams & ~PLACE
-    width = length - q + 1
+    return (now if grams is None else grams) & ~PLACE, windows, length - q + 1
 
-    def least(x: np.ndarray) -> np.ndarray:
-        span = 1
-        while 2 * span <= width:
-            x, span = np.minimum(x[:-span], x[span:]), 2 * span
-        return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
-    left, right = least(grams | place), least(grams | (PLACE - place))
-    return left, (left & PLACE) != PLACE - (right & PLACE), windows
+def least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width neighbours."""
+    span = 1
+    while 2 * span <= width:
+        x, span = np.minimum(x[:-span], x[span:]), 2 * span
+    return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+
+def anchors(data: bytes, length: int) -> np.ndarray:
+    """For each window the place of its least q-gram, of several the leftmost: equal windows have it at the same offset."""
+    grams, _, width = gram_names(data, length)
+    rank = np.unique(grams, return_inverse=True)[1].astype(np.uint64)
+    places = least(rank << np.uint64(32) | np.arange(len(grams), dtype=np.uint64), width)
+    return (places & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def grouped(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -132,7 +150,7 @@ def made(schema: str, *columns) -> pa.RecordBatch:
 
 
 BLOCK_ROWS = "bucket bigint, block bigint, key bigint, size int, start int, count int, weight int"
-WINDOW_ROWS = "bucket bigint, name bigint, key bigint, size int, start int, copies int"
+CELL_ROWS = "bucket bigint, key bigint, size int, copies int, anchor int, starts array<int>, bytes binary"
 HITS = "key bigint, size int, start int, count int"
 
 
@@ -148,15 +166,6 @@ def whole_blocks(length: int):
     return run
 
 
-def window_names(edges: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
-    """bucket, name, key, size, start and copies of every window of edge blocks."""
-    parts = edges.column("bytes").to_pylist()
-    _, _, windows = names(b"".join(parts), length)
-    at, part, inside = located(parts, length)
-    bucket, key, size, start, copies = (edges.column(n).to_numpy(zero_copy_only=False)[part] for n in ("bucket", "key", "size", "start", "copies"))
-    return bucket, windows[at].view(np.int64), key, size, start + inside, copies
-
-
 def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices with about PIECE bytes."""
     upto = np.cumsum(batch.column("bytes").to_pandas().str.len().to_numpy(np.int64)) // PIECE if batch.num_rows else np.zeros(0)
@@ -166,15 +175,77 @@ def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def window_rows(length: int):
+def cells(length: int):
+    """Edge blocks, cut where the place of the windows' leftmost least q-gram changes; anchor is that place in bytes, and the offset of the q-gram in the first window.
+
+    What comes again inside a block is one row with several starts.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece in pieces_of(b):
-                yield made(WINDOW_ROWS, *window_names(piece, length))
+                parts = piece.column("bytes").to_pylist()
+                data = b"".join(parts)
+                at, part, inside = located(parts, length)
+                anchor = anchors(data, length)[at]
+                first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
+                found: dict[tuple[int, int, bytes], list[int]] = {}
+                for i, n in zip(first.tolist(), np.diff(np.r_[first, len(at)]).tolist(), strict=True):
+                    s = int(at[i])
+                    found.setdefault((int(part[i]), int(anchor[i]) - s, data[s : s + n + length - 1]), []).append(int(inside[i]))
+                of = np.array([p for p, _, _ in found])
+                bucket, key, size, start, copies = (piece.column(n).to_numpy(zero_copy_only=False)[of] for n in ("bucket", "key", "size", "start", "copies"))
+                starts = [[int(base) + i for i in at] for base, at in zip(start, found.values(), strict=True)]
+                columns = [pa.array(bucket), pa.array(key), pa.array(size), pa.array(copies), pa.array([a for _, a, _ in found], pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array([x for *_, x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CELL_ROWS.split(", ")])
 
     return run
 
 
+def halved(rows: DataFrame, width: int, length: int, begin: bool) -> DataFrame:
+    """rows (CELL_ROWS) cut into cells of width offsets, each in the bucket of its old identifier and of the bytes that it adds; to begin with, of all bytes that its windows share."""
+    n = F.octet_length("bytes") - (length - 1)
+    rows = rows.withColumn("least", F.col("anchor") - n + 1)
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("least") / width).cast("int"), F.floor(F.col("anchor") / width).cast("int"))))
+    last = F.least(F.col("anchor"), F.col("cell") * width + (width - 1))
+    count = last - F.greatest("least", F.col("cell") * width) + 1
+    rows = rows.withColumns({"shift": F.col("anchor") - last, "last": last, "bytes": F.substr("bytes", F.col("anchor") - last + 1, count + (length - 1))})
+    at, shared = F.col("last") - F.col("cell") * width + 1, length - width + 1
+    added = F.substr("bytes", at, F.lit(shared)) if begin else F.substr("bytes", F.when(F.col("cell") % 2 == 0, at + (shared - width)).otherwise(at), F.lit(width))
+    return rows.select(
+        F.xxhash64("bucket", "cell", added).alias("bucket"), "key", "size", "copies", F.col("last").alias("anchor"), F.transform("starts", lambda x: x + F.col("shift")).alias("starts"), "bytes",
+    )
+
+
+def split(rows: DataFrame, length: int) -> tuple[DataFrame | None, DataFrame]:
+    """Of edge blocks in large buckets: rows like them in small ones, and the repeated windows (HITS) that were found on the way."""
+    rows = rows.mapInArrow(cells(length), CELL_ROWS)
+    width, begin, small_ones, hits = 1, True, [], []
+    while 4 * width <= length:
+        width *= 2
+    while width:
+        made = written(halved(rows, width, length, begin), "suffix-cells")
+        begin = False
+        mark = F.xxhash64("key", "size", "starts")
+        kinds = made.groupBy("bucket", "bytes").agg(F.sum(F.size("starts") * F.col("copies")).alias("times"), F.count(F.lit(1)).alias("n"), F.min(mark).alias("sample"))
+        kinds = written(kinds, "suffix-kinds")
+        told = written(join_cut(made, kinds.drop("n"), kinds, ["bucket", "bytes"], ["key", "starts"]), "suffix-told")
+        again = told.where("times > 1 and copies = 1").select("key", "size", F.explode("starts").alias("start"), (F.octet_length("bytes") - (length - 1)).alias("count"))
+        hits.append(again)
+        if width == 1:
+            break
+        of_bucket = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).alias("total"), F.min("times").alias("fewest"))
+        of_bucket = written(of_bucket.where("n > 1 and fewest = 1").drop("fewest"), "suffix-open")
+        one = told.where((F.col("times") == 1) | (mark == F.col("sample"))).withColumn("copies", F.when(F.col("times") == 1, F.lit(1)).otherwise(2))
+        one = written(join_cut(one, of_bucket.drop("n"), of_bucket, ["bucket"], ["key", "starts"]).drop("times", "sample"), "suffix-kept")
+        small_ones.append(one.where(F.col("total") <= BUCKET_BYTES).select("key", "size", "bucket", F.col("starts")[0].alias("start"), "copies", "bytes"))
+        rows = one.where(F.col("total") > BUCKET_BYTES).drop("total")
+        if rows.isEmpty():
+            break
+        width //= 2
+    return reduce(DataFrame.unionByName, small_ones) if small_ones else None, reduce(DataFrame.unionByName, hits)
+
+
 def repeated(parts: list[bytes], copies: np.ndarray, length: int) -> np.ndarray:
     """Places in the joined parts where a string of length begins that begins elsewhere in some part too; a part counts as often as copies says.
 
@@ -346,12 +417,12 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     n_hot = hot.count()
     tasks = tasks_for(docs, int(of_bucket.agg(F.sum("n")).first()[0] or 0), TASK_BYTES)
     cool = edges if not n_hot else edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_anti")
-    hits = cool.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "size", "start").mapInArrow(bucket_hits(length), HITS)
+    more = None
     if n_hot:
-        windows = edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_semi").mapInArrow(window_rows(length), WINDOW_ROWS)
-        again = written(windows.groupBy("bucket", "name").agg(F.sum("copies").alias("n")).where("n > 1"), "suffix-windows")
-        more = join_cut(windows.where("copies = 1"), again.drop("n"), again, ["bucket", "name"], ["key", "start"]).select("key", "size", "start", F.lit(1).alias("count"))
-        hits = hits.unionByName(more)
+        parted, more = split(edges.join(small(hot, n_hot, BROADCAST_BUCKETS), "bucket", "left_semi"), length)
+        cool = cool if parted is None else cool.unionByName(parted)
+    hits = cool.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "size", "start").mapInArrow(bucket_hits(length), HITS)
+    hits = hits if more is None else hits.unionByName(more)
     hit = hits.groupBy("key", "size").agg(F.collect_list(F.struct("start", "count")).alias("b")).select("key", "size", F.col("b.start").alias("at"), F.col("b.count").alias("count"))
     known = first.where("packed is null").select("id", "size", *(x.split()[0] for x in RESULT.split(", ")))
     # Only blocks that stand once keep a text open, and no block of repeated rows does, so here each key has one row.

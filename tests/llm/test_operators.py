@@ -61,7 +61,7 @@ def test_suffix(docs, length):
     assert got == want
 
 
-@pytest.mark.parametrize("size", [1 << 21, 0])
+@pytest.mark.parametrize("size", [1 << 21, 3000, 0])
 def test_suffix_edges(spark, monkeypatch, size):
     rng = np.random.default_rng(3)
     base = bytes(rng.integers(97, 101, 3000, np.uint8)).decode()
@@ -73,6 +73,32 @@ def test_suffix_edges(spark, monkeypatch, size):
     assert got == want
 
 
+@pytest.mark.parametrize(("length", "size"), [(200, 60_000), (200, 0), (64, 4000), (50, 0), (7, 0), (1, 0)])
+def test_suffix_large_buckets(spark, monkeypatch, length, size):
+    """A passage with neighbours of every kind, repeated lines of dashes, and runs of one letter, in buckets that must be split."""
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", size)
+    rng = np.random.default_rng(length)
+    say = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    passage, rule, ends = say(230), "-" * 70, [say(40) for _ in range(4)]
+    rows = [(i, say(60) + ends[i % 4] + passage + ends[i // 4 % 4] + say(60)) for i in range(40)]
+    rows += [(100 + i, rule.join(say(50 + i % 3) for _ in range(5))) for i in range(12)]
+    rows += [(200 + i, "a" * (300 + 7 * i) + say(5)) for i in range(6)] + [(300 + i, "ab" * 200 + passage[: 150 + i]) for i in range(5)]
+    rows += [(400, rows[0][1]), (400, rows[0][1]), (401, None), (402, "")]
+    got = Counter(tuple(r)[:5] for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string").repartition(3), length=length).collect())
+    assert got == Counter((r[0], *x) for r, x in zip(rows, removed([(r[1] or "").encode() for r in rows], length), strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=40), min_size=1, max_size=4), st.integers(1, 20))
+def test_anchors(texts, length):
+    """Equal windows have their anchor at the same offset, wherever they stand."""
+    offset = {}
+    for t in (t.encode() * 3 for t in texts):
+        if len(t) >= length:
+            for i, a in enumerate(suffix.anchors(t, length).tolist()):
+                assert offset.setdefault(t[i : i + length], a - i) == a - i
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(1, 20), st.integers(0, 63))
 def test_refinement_of_buckets(texts, length, twice):
