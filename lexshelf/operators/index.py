@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexshelf.schemas import FINISHED, INITIAL, TITLE_CHARS, TITLES, conform
+from lexshelf.shared import there
 
 
 def first_wins(titles: DataFrame) -> DataFrame:
@@ -29,6 +30,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TITLES).parquet(path)
 
 
+def first_titles(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each title of an index that runs or batches appended to without reading it: the first by block and position, whichever of them wrote it. Empty before the first write."""
+    return first_wins(read_index(spark, path)) if there(spark, path) else spark.createDataFrame([], TITLES)
+
+
 def state_of(state: Column) -> Column:
     """A missing state is INITIAL."""
     return F.coalesce(state, F.lit(INITIAL))

@@ -11,15 +11,14 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshelf.operators import titleindex
+from lexshelf.operators import states, titleindex
 from lexshelf.operators.blocks import as_catalog, find_blocks
-from lexshelf.operators.index import is_complete, latest_block, read_index, with_events
+from lexshelf.operators.index import first_titles, is_complete, latest_block
 from lexshelf.plans import leases
 from lexshelf.schemas import BLOCKS
 from lexshelf.sources.parts import ByteParts
 from lexshelf.streaming.incremental import index_blocks, table_or_none
 
-EVENTS = "block_no bigint, index_state int, seq bigint"
 #: Bytes of a dump that are scanned between two commits of the catalog.
 SCAN_BYTES = 1 << 38
 
@@ -47,7 +46,7 @@ def fingerprint(dump: str) -> str:
 
 def catalog(spark: SparkSession, home: str) -> DataFrame:
     """The block catalog with its latest states."""
-    return with_events(table_or_none(spark, f"{home}/blocks", BLOCKS), table_or_none(spark, f"{home}/events", EVENTS))
+    return states.catalog(table_or_none(spark, f"{home}/blocks", BLOCKS), f"{home}/states")
 
 
 def scan(spark: SparkSession, dump: str, home: str, scan_bytes: int = SCAN_BYTES, most_scans: int | None = None) -> None:
@@ -91,11 +90,11 @@ def built(spark: SparkSession, dump: str, home: str, expected_bytes: int | None,
     todo = catalog(spark, home)
     if most_blocks is not None:
         todo = todo.where("index_state = 0").orderBy("block_no").limit(most_blocks)
-    index_blocks(spark, todo, dump, f"{home}/titles", f"{home}/events")
-    titles = read_index(spark, f"{home}/titles").agg(F.count(F.lit(1))).first()[0]
+    index_blocks(spark, todo, dump, f"{home}/titles", f"{home}/states")
+    titles = first_titles(spark, f"{home}/titles").count()
     return is_complete(catalog(spark, home)).withColumns({"blocks": F.lit(catalog(spark, home).count()), "titles": F.lit(titles)})
 
 
 def publish(spark: SparkSession, home: str, partitions: int | None = None) -> str:
     """Publishes the titles that are indexed so far as a new version, which searches open from now on: TitleIndex(spark, home)."""
-    return titleindex.publish(read_index(spark, f"{home}/titles"), home, partitions)
+    return titleindex.publish(first_titles(spark, f"{home}/titles"), home, partitions)

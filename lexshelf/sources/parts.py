@@ -6,7 +6,9 @@ partition, however large the parts are.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,8 @@ class ByteParts:
         self.fs, base = file_system(path)
         base = base.rstrip("/")
         if files is not None:
-            self.files, self.size = files, sum(n for _, n in files)
+            self.files = files
+            self.measure()
             return
         if self.fs.get_file_info(base).type == fs.FileType.Directory:
             found = [f for f in self.fs.get_file_info(fs.FileSelector(base)) if f.base_name[0] not in "._"]
@@ -46,21 +49,25 @@ class ByteParts:
             found = [f for f in self.fs.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True)) if f.base_name == name or f.base_name.startswith(name + ".") and f.base_name[len(name) + 1 :].isdigit()]
             parts = sorted((f for f in found if f.base_name != name), key=lambda f: int(f.base_name[len(name) + 1 :])) or found
         self.files = [(f.path, f.size) for f in parts if f.is_file]
-        self.size = sum(n for _, n in self.files)
+        self.measure()
+
+    def measure(self) -> None:
+        """Where each file ends, and so all of them."""
+        self.ends = list(accumulate(n for _, n in self.files))
+        self.size = self.ends[-1] if self.ends else 0
 
     def about(self, start: int, stop: int) -> tuple[list[tuple[str, int]], int]:
-        """The files that hold bytes from start up to stop, and the first byte of the first one."""
-        out, at, first = [], 0, 0
-        for path, n in self.files:
-            if at < stop and at + n > start:
-                first = first if out else at
-                out.append((path, n))
-            at += n
-        return out, first
+        """The files that hold bytes from start up to stop, and the first byte of the first one; found by halving, as a dump has very many chunks and parts."""
+        if stop <= start:
+            return [], 0
+        i = bisect_right(self.ends, start)  # the first file that ends beyond start
+        own = self.files[i : bisect_left(self.ends, stop) + 1]
+        return own, self.ends[i] - own[0][1] if own else 0
 
     def read(self, start: int, stop: int) -> bytes:
-        out, at = [], 0
-        for path, n in self.files:
+        files, at = self.about(start, stop)
+        out = []
+        for path, n in files:
             a, b = max(start, at), min(stop, at + n)
             if a < b:
                 with self.fs.open_input_file(path) as f:

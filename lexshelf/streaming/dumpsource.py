@@ -15,9 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 
 from lexshelf.operators.blocks import MOST_BITS, block_faults, block_titles, decode, marks, titles_only
-from lexshelf.operators.index import first_wins, read_index
-from lexshelf.schemas import TITLES
-from lexshelf.shared import there
+from lexshelf.operators.index import first_titles, first_wins
 from lexshelf.sources.parts import AHEAD, CHUNK_BYTES, ByteParts, file_system
 from lexshelf.streaming.observers import Observer, Observers
 
@@ -140,7 +138,7 @@ def index_growing(
 
 def titles_so_far(spark: SparkSession, home: str) -> DataFrame:
     """One row for each title that the batches found, the first by block and position."""
-    return first_wins(read_index(spark, f"{home}/titles")) if there(spark, f"{home}/titles") else spark.createDataFrame([], TITLES)
+    return first_titles(spark, f"{home}/titles")
 
 
 def batches(spark: SparkSession, home: str) -> DataFrame:

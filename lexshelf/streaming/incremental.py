@@ -1,7 +1,7 @@
 """Incremental, restartable indexing with Structured Streaming.
 
-Each batch writes its new titles first and its state after them, so a batch that is repeated adds nothing twice: titles are
-unique in the index by an anti-join, not by state kept in memory for every title.
+Each batch or run appends its titles first and its state after them, and reads nothing of what others wrote, so its cost does not grow with the index. Titles
+that come again, in later batches or because a run was repeated, are told apart where the index is read or published (index.first_titles), not by state kept for every title.
 """
 
 from __future__ import annotations
@@ -10,18 +10,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from lexshelf.operators import states
 from lexshelf.operators.blocks import as_catalog, block_titles, blocks_done, find_blocks, titles_only
-from lexshelf.operators.index import first_wins, new_titles, pending, with_events
-from lexshelf.schemas import FINISHED, TITLES
+from lexshelf.operators.index import first_wins, pending
+from lexshelf.schemas import FINISHED
 from lexshelf.shared import there
 from lexshelf.sources.parts import ByteParts
 
-#: The index by batches, and what a stream of files has.
-BATCHES = T.StructType([*TITLES.fields, T.StructField("batch", T.IntegerType())])
+#: What a stream of files has.
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -61,7 +60,7 @@ def ranges_of(dump: ByteParts, names: set[str]) -> list[tuple[int, int]]:
 
 
 def index_stream(spark: SparkSession, folder: str, index_path: str, checkpoint: str, files_per_trigger: int = 16) -> StreamingQuery:
-    """Adds the titles of new dump files in folder to the index and ends when all are read; rerun it, or stop() it and rerun it, to go on.
+    """Adds the titles of new dump files in folder to the index (read it by first_titles) and ends when all are read; rerun it, or stop() it and rerun it, to go on.
 
     The folder's files in order of name are one run of bytes, to which positions refer (fetch_markup takes them with the folder), so new files must have later
     names. The stream itself carries names only; blocks are sought and decoded in the ranges of the batch's files.
@@ -74,23 +73,25 @@ def index_stream(spark: SparkSession, folder: str, index_path: str, checkpoint:
         if not blocks:
             return
         titles = titles_only(block_titles(reduce(DataFrame.unionByName, blocks), folder))
-        known = table_or_none(own, index_path, BATCHES).where(F.col("batch") < number)
         # One folder for each batch, overwritten if the batch is repeated.
-        new_titles(titles, known).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        first_wins(titles).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
 
     rows = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path")
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_blocks(spark: SparkSession, blocks: DataFrame, dump: str, index_path: str, events_path: str) -> None:
-    """Indexes the pending blocks of a catalog, and appends titles, then events for the blocks that were read to their end (K4)."""
-    events = table_or_none(spark, events_path, "block_no bigint, index_state int, seq bigint")
-    todo = pending(with_events(as_catalog(blocks), events))
+def index_blocks(spark: SparkSession, blocks: DataFrame, dump: str, index_path: str, states_home: str, most_deltas: int = states.MOST_DELTAS) -> None:
+    """Indexes the pending blocks of a catalog, and appends titles, then events for the blocks that were read to their end (K4).
+
+    The states of blocks are those of operators.states: a delta for each run, merged into a base when there are more than most_deltas.
+    """
+    todo = pending(states.catalog(as_catalog(blocks), states_home))
     found = block_titles(todo, dump)
-    stage = f"{events_path}-found"
+    stage = f"{states_home}-found"
     found.write.mode("overwrite").parquet(stage)
     found = spark.read.parquet(stage)
-    known = table_or_none(spark, index_path, TITLES)
-    new_titles(first_wins(titles_only(found)), known).write.mode("append").parquet(index_path)
+    first_wins(titles_only(found)).write.mode("append").parquet(index_path)
     done = todo.join(blocks_done(found), "block_start_bits").select("block_no", F.lit(FINISHED).alias("index_state"), F.unix_millis(F.current_timestamp()).alias("seq"))
-    done.write.mode("append").parquet(events_path)
+    states.append(done, states_home)
+    if states.compact(spark, states_home, most_deltas):
+        states.vacuum(spark, states_home)

@@ -5,13 +5,17 @@ from __future__ import annotations
 import bz2
 import random
 import time
+from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexshelf.operators import blocks as B
 from lexshelf.operators import index as I
 from lexshelf.operators import search as S
+from lexshelf.operators import states
 from lexshelf.operators.pages import broken_pages, parse_pages, titles_of
 from lexshelf.operators.titleindex import TitleIndex
 from lexshelf.plans import stages
@@ -162,8 +166,26 @@ def test_index_blocks_is_idempotent(spark, dump, blocks, tmp_path):
     for _ in range(2):
         index_blocks(spark, blocks, path, index, events)
         assert I.read_index(spark, index).count() == I.read_index(spark, index).select("title").distinct().count() == 120
-    states = I.with_events(B.as_catalog(blocks), table_or_none(spark, events, "block_no bigint, index_state int, seq bigint"))
-    assert I.is_complete(states).first()[0] and {r.index_state for r in states.collect()} == {FINISHED}
+    now = states.catalog(B.as_catalog(blocks), events)
+    assert I.is_complete(now).first()[0] and {r.index_state for r in now.collect()} == {FINISHED}
+
+
+def test_index_of_many_runs(spark, dump, blocks, tmp_path):
+    """A run for each block, the last ones first, with states that are merged on the way, and two runs broken off between titles and states: the index is that of one run."""
+    path, index, home = str(dump[0] / "cut.xml.bz2"), str(tmp_path / "index"), str(tmp_path / "states")
+    numbers = sorted((r.block_no for r in blocks.collect()), reverse=True)
+    for i in range(0, len(numbers), 4):
+        some = blocks.where(F.col("block_no").isin(numbers[i : i + 4]))
+        if i in (0, 8):
+            I.first_wins(B.titles_only(B.block_titles(some, path))).write.mode("append").parquet(index)  # and no states
+        index_blocks(spark, some, path, index, home, most_deltas=1)
+    version, merged, deltas = states.opened(spark, home)
+    assert version and merged and len(deltas) <= 1
+    assert I.read_index(spark, index).count() > 120
+    want = I.first_wins(B.titles_only(B.block_titles(blocks, path))).collect()
+    assert Counter(map(tuple, I.first_titles(spark, index).collect())) == Counter(map(tuple, want)) and len(want) == 120
+    assert I.is_complete(states.catalog(B.as_catalog(blocks), home)).first()[0]
+    assert I.first_titles(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_stream(spark, dump, tmp_path):
@@ -185,8 +207,8 @@ def test_stream(spark, dump, tmp_path):
     run()
     (folder / "b.bz2").write_bytes(bz2.compress(b"<page><title>Page &amp; 007 \xc3\xa9</title></page><page><title>New</title></page>"))
     run()
-    found = I.read_index(spark, index)
-    assert found.count() == 121
+    found = I.first_titles(spark, index)
+    assert found.count() == 121 and I.read_index(spark, index).count() == 122
     fetched = {r.title: r.value for r in B.fetch_markup(found, str(folder)).collect()}
     assert len(fetched) == 121 and all(f"<title>{t.replace('&', '&amp;')}</title>" in v for t, v in fetched.items())
 
@@ -339,3 +361,14 @@ def test_properties(spark, tmp_path):
     stages.set_property(spark, path, "a", "3")
     stages.set_property(spark, path, "b", "4")
     assert {tuple(r) for r in stages.properties(spark, path, {"a": "1", "c": "5"}).collect()} == {("a", "3"), ("b", "4"), ("c", "5")}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=8), st.integers(0, 60), st.integers(0, 60))
+def test_files_of_a_range(sizes, start, stop):
+    """The files about a range are those that hold bytes of it, empty ones left aside, and the range's bytes are read from them alone."""
+    whole = parts.ByteParts("/", [(str(i), n) for i, n in enumerate(sizes)])
+    files, first = whole.about(start, stop)
+    held = [str(i) for i, n in enumerate(sizes) if n and sum(sizes[:i]) < stop and sum(sizes[: i + 1]) > start and start < stop]
+    assert [p for p, n in files if n] == held and whole.size == sum(sizes)
+    assert not held or first == sum(sizes[: int(files[0][0])])
