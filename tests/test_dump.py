@@ -7,6 +7,7 @@ import random
 import time
 from collections import Counter
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,6 +158,19 @@ def test_block_titles_and_fetch(spark, dump, blocks):
     assert sorted(map(tuple, pages.select("id", "title", "text").collect())) == sorted(map(tuple, lane.select("id", "title", "text").collect()))
 
 
+def test_fetched_pages_leave_in_bounded_frames(spark, dump, blocks, monkeypatch):
+    path, runs = str(dump[0] / "cut.xml.bz2"), []
+    found = B.titles_only(B.block_titles(blocks, path)).orderBy("block_start_bits", "title_start_pos").toPandas()
+    entries = spark.createDataFrame(found)
+    plain = type(entries).mapInPandas
+    monkeypatch.setattr(type(entries), "mapInPandas", lambda df, f, schema: (runs.append(f), plain(df, f, schema))[1])
+    B.fetch_markup(entries, path)
+    many = pd.concat([found] * 20).sort_values(["block_start_bits", "title_start_pos"])
+    lengths = [[len(v) for v in made["value"]] for made in runs[-1](iter([many]))]
+    assert sum(map(len, lengths)) == 20 * 120 and sum(map(sum, lengths)) > 5 * (4 << 20)
+    assert max(map(sum, lengths)) < (4 << 20) + 40_000
+
+
 def test_index_blocks_is_idempotent(spark, dump, blocks, tmp_path):
     path, index, events = str(dump[0] / "cut.xml.bz2"), str(tmp_path / "index"), str(tmp_path / "events")
     half = blocks.where("block_no < 6")
